@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from zephyrframe.llm import chat_format, decontamination, mixing, quality_classifier, quality_rules, secrets, sharding, simhash, token_count, token_files
 from zephyrframe.llm.common import read_table
+from zephyrframe.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,3 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op4_simhash, op5_decontamination, op6_secrets, op7_quality_rules, op8_quality_scores, op9_sharding, op10_token_files)}
-ORACLES: dict[str, str] = {}
