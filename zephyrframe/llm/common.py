@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(key, make: Callable):
+    """What `make` returns, made once in each Python worker and used by its later tasks.
+
+    For bounded helpers only, such as a tokenizer with its cache; results never depend on it.
+    """
+    store = sys.modules.setdefault("_zephyrframe_kept", types.ModuleType("_zephyrframe_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def text_rows(batch: pa.RecordBatch, column: str) -> Iterator[str]:
     """Texts of a batch one by one; a null text is the empty text."""
     for value in batch.column(column):

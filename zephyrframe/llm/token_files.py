@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zephyrframe.llm.common import shared_dir
+from zephyrframe.llm.common import kept, shared_dir
+from zephyrframe.llm.token_count import byte_symbols
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -114,12 +115,13 @@ MARKS = "!-&(-/:-@\\[-`{-~"
 
 
 class WordEncoder:
-    """Ids of whole texts from the tokenizers library, for tokenizers that drop white space.
+    """Ids of whole texts from the tokenizers library, for byte-level tokenizers that drop white space.
 
-    The library encodes each piece of text once and its ids are kept, up to a
-    bounded number of pieces. White space separates tokens for good, so pieces
-    are white-space chunks; in plain Latin-1 texts they are runs of letters,
-    single digits and runs of punctuation, which such a tokenizer always splits.
+    White space separates tokens for good, so a text is its white-space chunks;
+    in plain Latin-1 texts a chunk is runs of letters, single digits and runs of
+    punctuation, which such a tokenizer always splits. The library encodes each
+    piece once; ids of pieces and chunks are kept, up to a bounded number of
+    those seen first. Past it, new ones are encoded for their batch only.
     """
 
     def __init__(self, spec: str, cache: int = 300_000):
@@ -127,19 +129,20 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.last[number] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.cache = cache
+        #: Ids by chunk of plain texts (Latin-1, lower case), by piece of them, and by chunk of other texts (UTF-8).
+        self.chunks: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+        self.others: dict[bytes, bytes] = {}
         letters, marks = LETTERS.encode("latin-1"), MARKS.encode("latin-1")
         self.split = re.compile(b"[" + letters + b"]+|[0-9]|[" + marks + b"]+").findall
         plain = re.compile(b"[" + letters + marks + b"0-9 \n]")
         self.plain = bytes(b for b in range(256) if plain.match(bytes([b])))
+        self.symbols = dict(enumerate(byte_symbols()))
 
-    def pieces(self, text: str) -> tuple[list[bytes], bool]:
-        """The pieces of a text, and whether it is plain."""
+    def words(self, text: str) -> tuple[list[bytes], bool]:
+        """The chunks of a text, and whether it is plain."""
         if "<|" not in text:
             try:
                 raw = text.lower().encode("latin-1")
@@ -147,39 +150,50 @@ class WordEncoder:
                 pass
             else:
                 if not raw.translate(None, self.plain):
-                    return self.split(raw), True
+                    return raw.split(), True
         return text.encode().split(), False
 
-    def learn(self, new: list[bytes], known: dict[bytes, bytes], plain: bool) -> None:
-        """Encode pieces and keep their ids."""
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(new).decode("latin-1")], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(new):
-                raw, start = ids.tobytes(), 0
-                for w, e in zip(new, (4 * ends).tolist()):
-                    known[w] = raw[start:e]
-                    start = e
-                return
-        code = "latin-1" if plain else "utf-8"
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode(code) for w in new], add_special_tokens=False)):
-            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    def learn_plain(self, new: set[bytes]) -> list[bytes]:
+        """Keep the ids of plain chunks; returns the new pieces."""
+        runs, tokenize, pack, fresh = self.runs, self.model.tokenize, struct.pack, []
+        for chunk in new:
+            parts = self.split(chunk)
+            for part in parts:
+                if part not in runs:
+                    # The model takes a piece by its bytes' symbols; those of ASCII marks and letters are themselves.
+                    piece = part.decode("latin-1")
+                    ids = [t.id for t in tokenize(piece if part.isascii() else piece.encode().decode("latin-1").translate(self.symbols))]
+                    runs[part] = pack(f"<{len(ids)}I", *ids)
+                    fresh.append(part)
+            self.chunks[chunk] = runs[parts[0]] if len(parts) == 1 else b"".join(map(runs.__getitem__, parts))
+        return fresh
+
+    def learn_others(self, new: set[bytes]) -> None:
+        """Keep the ids of other chunks."""
+        listed = list(new)
+        for w, e in zip(listed, self.tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False)):
+            self.others[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def __call__(self, texts: list[str], end_id: int) -> list[bytes]:
         """For each text its ids and the end id as little-endian 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
-        for known, plain in ((self.runs, True), (self.known, False)):
-            seen = {w for words, p in split if p == plain for w in words}
-            if len(known) + len(seen) > self.cache:
-                known.clear()
-            if new := list(seen - known.keys()):
-                self.learn(new, known, plain)
+        split = [self.words(t) for t in texts]
+        new_plain = {w for words, plain in split if plain for w in words}.difference(self.chunks)
+        new_others = {w for words, plain in split if not plain for w in words}.difference(self.others)
+        new_runs = self.learn_plain(new_plain)
+        if new_others:
+            self.learn_others(new_others)
         end = struct.pack("<I", end_id)
-        return [b"".join([*map((self.runs if plain else self.known).__getitem__, words), end]) for words, plain in split]
+        out = [b"".join([*map((self.chunks if plain else self.others).__getitem__, words), end]) for words, plain in split]
+        for held, new in ((self.chunks, new_plain), (self.runs, new_runs), (self.others, new_others)):
+            if len(held) > self.cache:
+                for w in new:
+                    del held[w]
+        return out
 
 
 def _file_batches(spec, end_id: int, file_tokens: int, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, held, start = WordEncoder(spec.value), [], 0
+    # A worker that runs several tasks goes on with the pieces it knows.
+    encoder, held, start = kept(("WordEncoder", zlib.crc32(spec.value.encode())), lambda: WordEncoder(spec.value)), [], 0
     names = ["part", "start", "n_tokens", "ids", "ends", "codes"]
 
     def file() -> pa.RecordBatch:
