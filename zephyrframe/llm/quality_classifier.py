@@ -2,9 +2,10 @@
 
 One zstandard dictionary is built from text labelled good and one from text
 labelled bad. A text is cut into blocks, each block is compressed with either
-dictionary, and the normalised difference of the summed sizes,
-(bad - good) / (bad + good), becomes a probability by a logistic curve fitted
-on labelled rows that built neither dictionary.
+dictionary, and the difference of the summed sizes, bad - good, is normalised
+by the text's size. It becomes a probability by a logistic curve fitted on
+labelled rows that built neither dictionary. Normalising adds a few bytes to the
+difference and the size, so short texts, which tell little, lean to label 1.
 
 Training rows are a bounded, documented sample: for each class the `sample`
 rows of lowest hash of their id, as far as their texts stay within
@@ -12,7 +13,7 @@ rows of lowest hash of their id, as far as their texts stay within
 Everything else covers all data.
 
 Defined results: null, empty and untrained cases get the share of label 1 among
-the calibration rows (0.5 without any). Null labels and null ids are not learnt
+the labels learnt from (0.5 without any). Null labels and null ids are not learnt
 from; an id labelled both ways is not either. Repeated rows give repeated
 results. Only the named columns are read.
 """
@@ -20,7 +21,7 @@ results. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ class CompressionModel:
     prior: float
     block: int = 512
     level: int = 3
+    lead: float = 10.0
+    lead_bytes: float = 200.0
 
 
 class Scorer:
@@ -63,7 +66,7 @@ class Scorer:
             return None
         blocks = [raw[i : i + block] for i in range(0, len(raw), block)]
         good, bad = (sum(len(f(b)) for b in blocks) for f in self.compress)
-        return (bad - good) / (bad + good)
+        return (bad - good + self.model.lead) / (len(raw) + self.model.lead_bytes)
 
     def score(self, text: str) -> float:
         """The probability of label 1."""
@@ -96,7 +99,7 @@ def build_dictionary(texts: list[bytes], size: int, piece: int = 2048) -> bytes:
         return b"".join(texts)[-size:]
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000, sample_bytes: int = 16_000_000, dictionary: int = 65536, block: int = 512, level: int = 3) -> CompressionModel:
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000, sample_bytes: int = 16_000_000, dictionary: int = 49152, block: int = 512, level: int = 3) -> CompressionModel:
     """A model from the labelled rows for which `learn_from`, a condition on the id, holds.
 
     The driver gets at most 2 * sample ids and sizes, then at most 2 * sample_bytes of text.
@@ -138,11 +141,12 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
 
 def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score for each row, from its whole text; no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # Broadcast values are pickled by reference to their classes, so only plain ones are sent.
+    held = docs.sparkSession.sparkContext.broadcast(astuple(model))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = Scorer(CompressionModel(*held.value))
         for batch in batches:
             scores = [scorer.score(v.as_py() or "") for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
