@@ -201,6 +201,20 @@ def cell_geometry(cells: DataFrame, step: float, lat0: Column, lon0: Column) ->
     return cells.withColumns({"latitude": lat, "longitude": lon, "south": south, "west": west, "north": north, "east": east})
 
 
+def analysis_keep(value: Column, confidence: Column, before: Column, backward: Column, covered: Column, settings: Settings = DEFAULTS) -> Column:
+    """Cells of an analysis that are kept: known, trusted enough, and covered by the prior or gained by stations."""
+    floor = F.lit(settings.min_confidence)
+    gained = covered | (confidence - before >= floor) | (backward >= floor)
+    return F.coalesce(value.isNotNull() & ~F.isnan(value) & (confidence >= floor) & gained, F.lit(False))
+
+
+def forecast_keep(value: Column, confidence: Column, carried: Column, has_anchors: Column, settings: Settings = DEFAULTS) -> Column:
+    """Cells of a forecast that are kept: gained by stations, or carried there and, with anchors, not negligible."""
+    floor = F.lit(settings.min_confidence)
+    there = (carried >= floor) & ((value >= settings.min_concentration) | ~has_anchors)
+    return F.coalesce(value.isNotNull() & ~F.isnan(value) & (confidence >= floor) & ((confidence - carried >= floor) | there), F.lit(False))
+
+
 def bound_envelope(value: Column, lower: Column, upper: Column) -> tuple[Column, Column]:
     """Bounds widened to hold the value; missing ones stay missing."""
     return F.when(lower.isNotNull(), F.least(lower, value)), F.when(upper.isNotNull(), F.greatest(upper, value))

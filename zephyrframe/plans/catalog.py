@@ -725,6 +725,21 @@ def backward_innovation(spark, sf_dir):
     return shown(out.drop("field"))
 
 
+_MASKED = f"""SELECT grid_x, grid_y, CASE WHEN grid_x % 11 <> 0 THEN (grid_y % 3) * 5e-7::DOUBLE END AS v, (grid_x % 9) / 100.0e0 AS c, (grid_y % 7) / 100.0e0 AS b, (grid_x % 4) / 75.0e0 AS w, grid_y % 5 = 0 AS p FROM ({_MESH})"""
+
+
+@query(
+    f"""SELECT grid_x, grid_y, coalesce(v IS NOT NULL AND c >= 0.02 AND (p OR c - b >= 0.02 OR w >= 0.02), FALSE) AS analysis,
+    coalesce(v IS NOT NULL AND c >= 0.02 AND (c - b >= 0.02 OR (b >= 0.02 AND v >= 1e-6)), FALSE) AS forecast, coalesce(v IS NOT NULL AND c >= 0.02 AND (c - b >= 0.02 OR b >= 0.02), FALSE) AS nowcast FROM ({_MASKED})""",
+    "pst",
+)
+def grid_keep_mask(spark, sf_dir):
+    x, y = F.col("grid_x"), F.col("grid_y")
+    v, c, b, w = F.when(x % 11 != 0, (y % 3) * 5e-7), (x % 9) / 100.0, (y % 7) / 100.0, (x % 4) / 75.0
+    masks = {"analysis": grid.analysis_keep(v, c, b, w, y % 5 == 0), "forecast": grid.forecast_keep(v, c, b, F.lit(True)), "nowcast": grid.forecast_keep(v, c, b, F.lit(False))}
+    return _mesh(spark).select("grid_x", "grid_y", *[m.alias(k) for k, m in masks.items()])
+
+
 _FIELD = "SELECT x AS grid_x, y AS grid_y, ((x * 7 + y * 13) % 17)::DOUBLE AS value, ((x + y) % 7) - 3.0e0 AS wind_u, ((x * 2 + y) % 5) - 2.0e0 AS wind_v, 4.0e0 + (x * y) % 36 AS diffusivity FROM generate_series(0, 29) a(x), generate_series(0, 19) b(y)"
 
 
