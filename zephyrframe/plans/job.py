@@ -97,10 +97,11 @@ class Warehouse:
         """Fields of the retention window up to a cutoff, folded in order of time; older frames go."""
         at = moment(cutoff)
         start = shift_hours(at, -self.settings.retention_hours - 2)
-        recent = readings.within(self.table("hourly"), "bucket_start", start, at)
+        active = F.col("substance_code").isin(*self.settings.gases)
+        recent = readings.within(self.table("hourly"), "bucket_start", start, at).filter(active)
         live = readings.weather(self.table("weather"), "live_forecast", start)
         try:
-            ahead = anchors.forecast_anchors(self.table("predictions").filter(F.col("data_cutoff") <= at), recent, posts, live)
+            ahead = anchors.forecast_anchors(self.table("predictions").filter((F.col("data_cutoff") <= at) & active), recent, posts, live)
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
