@@ -6,15 +6,18 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that end a word in the white-space word rule, as a Java and Python class.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a slim table that one task writes.
+ROWS_A_FILE = 500_000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` below `sf_dir`, read by Spark from wherever that is."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,29 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Cuts lineage: a lost executor costs no earlier work, and later reads see
-    true sizes, so joins are planned on facts.
+    true sizes, so joins are planned on facts. With `rows`, how many rows there
+    are at most, a task writes up to ROWS_A_FILE of them, so a small table is
+    no heap of tiny files and a large one is still written by many tasks.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept(key, make: Callable):
-    """What `make` returns, made once in each Python worker and used by its later tasks.
+def kept(name: str, key, make: Callable):
+    """What `make` returns for a key, made once in each Python worker and used by its later tasks.
 
-    For bounded helpers only, such as a tokenizer with its cache; results never depend on it.
+    One for each name; another key takes its place. For bounded helpers only,
+    such as a tokenizer with its cache; results never depend on it.
     """
     store = sys.modules.setdefault("_zephyrframe_kept", types.ModuleType("_zephyrframe_kept")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
-
-
-def text_rows(batch: pa.RecordBatch, column: str) -> Iterator[str]:
-    """Texts of a batch one by one; a null text is the empty text."""
-    for value in batch.column(column):
-        yield value.as_py() or ""
+    if name not in store or store[name][0] != key:
+        store.pop(name, None)
+        store[name] = (key, make())
+    return store[name][1]

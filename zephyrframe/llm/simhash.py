@@ -197,13 +197,14 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the smallest label among neighbours and then the label of
     that label, so rounds grow with the logarithm of a component's length.
     """
-    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m")).select("fp", F.least("fp", "m").alias("root")))
+    size = 2 * edges.count()
+    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), size)
+    labels = materialize(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m")).select("fp", F.least("fp", "m").alias("root")), size)
     while True:
         seen = both.join(labels.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("m"))
         near = labels.join(seen, "fp").select("fp", F.least("root", "m").alias("next"), F.col("root").alias("was"))
         jump = labels.select(F.col("fp").alias("next"), F.col("root").alias("far"))
-        moved = materialize(near.join(jump, "next").select("fp", F.least("next", "far").alias("root"), "was"))
+        moved = materialize(near.join(jump, "next").select("fp", F.least("next", "far").alias("root"), "was"), size)
         labels = moved.select("fp", "root")
         if moved.filter("root != was").isEmpty():
             return labels

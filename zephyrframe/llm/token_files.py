@@ -193,7 +193,7 @@ class WordEncoder:
 
 def _file_batches(spec, end_id: int, file_tokens: int, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # A worker that runs several tasks goes on with the pieces it knows.
-    encoder, held, start = kept(("WordEncoder", zlib.crc32(spec.value.encode())), lambda: WordEncoder(spec.value)), [], 0
+    encoder, held, start = kept("WordEncoder", zlib.crc32(spec.value.encode()), lambda: WordEncoder(spec.value)), [], 0
     names = ["part", "start", "n_tokens", "ids", "ends", "codes"]
 
     def file() -> pa.RecordBatch:
