@@ -9,8 +9,8 @@ equal (source, size), so its cost follows the number of different sizes.
 
 Rates become whole copies by stratum. Strata are laid out from the largest size
 down and the running sum of expected copies is rounded, so that the words taken
-are off by about half a document; then one stratum for each power of two of
-size takes up what is left, from large to small. Within a stratum, copies are
+are off by about half a document; then one stratum for each eighth of a power of
+two of size takes up what is left, from large to small. Within a stratum, copies are
 dealt by hash of the id, in slots, so no stratum is ever gathered in one task.
 
 Sums that decide anything are exact (decimals and integers), so reruns agree.
@@ -35,6 +35,8 @@ from zephyrframe.llm.common import WORD, materialize
 
 #: Binary places of expected copies.
 PLACES = 20
+#: Tables by source are written as one file, as they fit a window in one task anyway.
+ONE_FILE = 1
 #: Rows of a stratum that are ranked together.
 SLOT_ROWS = 1024
 
@@ -50,7 +52,7 @@ def source_targets(rows: DataFrame, weights: Sequence[float], share: float, cap:
     `rows` has source and size. Sources by ascending cap for each weight fill up
     first; the others share what is left by weight.
     """
-    sums = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")))
+    sums = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), ONE_FILE)
     numbered = sums.withColumn("s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("s") - 1, F.lit(len(weights))) + 1).cast("int"))
     capped = numbered.withColumn("weight", weight).withColumn("most", cap * F.col("source_size"))
@@ -62,7 +64,7 @@ def source_targets(rows: DataFrame, weights: Sequence[float], share: float, cap:
     level = capped.withColumn("level", left / open_weight).withColumn("full", F.col("most") <= F.col("level") * F.col("weight"))
     first_open = F.min_by("level", F.when(~F.col("full"), F.col("most") / F.col("weight"))).over(whole)
     target = F.when(F.col("full"), F.col("most")).otherwise(F.coalesce(first_open, F.lit(0.0)) * F.col("weight"))
-    return materialize(level.withColumn("target", F.least("most", target)).select("s", "source", "source_size", "n_rows", "target"))
+    return materialize(level.withColumn("target", F.least("most", target)).select("s", "source", "source_size", "n_rows", "target"), ONE_FILE)
 
 
 def solve_tilts(strata: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-9, rounds: int = 80) -> DataFrame:
@@ -71,7 +73,8 @@ def solve_tilts(strata: DataFrame, sources: DataFrame, cap: float, tolerance: fl
     Newton steps on the logarithm of both sides, kept within the bracket found so far.
     """
     state = materialize(
-        sources.select("s", "source_size", "n_rows", "target", (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)).alias("done"), F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+        sources.select("s", "source_size", "n_rows", "target", (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)).alias("done"), F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")),
+        ONE_FILE,
     )
     for _ in range(rounds):
         if state.filter("not done").isEmpty():
@@ -94,7 +97,7 @@ def solve_tilts(strata: DataFrame, sources: DataFrame, cap: float, tolerance: fl
         step = F.when(inside, step).otherwise((low + high) / 2)
         near = F.abs(F.col("taken") - F.col("target")) <= tolerance * F.col("target")
         done = F.col("done") | near | F.coalesce(high - low <= 1e-15 * (1 + F.abs(tilt)), F.lit(False))
-        state = materialize(now.withColumn("done2", done).withColumn("tilt", F.when(F.col("done2"), tilt).otherwise(step)).select("s", "source_size", "n_rows", "target", F.col("done2").alias("done"), "tilt", "low", "high"))
+        state = materialize(now.withColumn("done2", done).withColumn("tilt", F.when(F.col("done2"), tilt).otherwise(step)).select("s", "source_size", "n_rows", "target", F.col("done2").alias("done"), "tilt", "low", "high"), ONE_FILE)
     full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
     return state.select("s", F.when(~full, F.col("tilt")).alias("tilt"))
 
@@ -112,11 +115,12 @@ def round_strata(strata: DataFrame, sources: DataFrame, tilts: DataFrame, cap: i
     summed = rated.join(bands, ["s", "band"]).withColumn("upto", F.col("above") + F.sum("part").over(within))
     half = 1 << (PLACES - 1)
     rounded = lambda c: F.shiftright(c + half, PLACES)
-    first = materialize(summed.select("s", "size", "m", "n", "unit", (rounded(F.col("upto")) - rounded(F.col("upto") - F.col("part"))).alias("copies")))
+    size = strata.count()
+    first = materialize(summed.select("s", "size", "m", "n", "unit", (rounded(F.col("upto")) - rounded(F.col("upto") - F.col("part"))).alias("copies")), size)
     taken = first.groupBy("s").agg(F.sum(F.col("copies") * F.col("unit")).alias("taken"))
     one = F.struct("unit", "size", "m", "n", "copies")
-    chosen = first.filter("unit > 0").withColumn("power", F.floor(F.log2("unit")).cast("int")).groupBy("s", "power").agg(F.max_by(one, F.struct("n", -F.col("unit"), -F.col("size"))).alias("one"))
-    # At most 64 powers of two for each source.
+    chosen = first.filter("unit > 0").withColumn("part", F.floor(8 * F.log2("unit")).cast("int")).groupBy("s", "part").agg(F.max_by(one, F.struct("n", -F.col("unit"), -F.col("size"))).alias("one"))
+    # At most eight times 63 for each source.
     lists = chosen.groupBy("s").agg(F.sort_array(F.collect_list("one"), asc=False).alias("ones")).join(taken, "s").join(sources.select("s", "target"), "s")
 
     def take_up(state: Column, x: Column) -> Column:
@@ -128,7 +132,7 @@ def round_strata(strata: DataFrame, sources: DataFrame, tilts: DataFrame, cap: i
 
     start = F.struct((F.col("target") - F.col("taken")).cast("double").alias("left"), F.array().cast("array<struct<size:bigint,m:bigint,change:bigint>>").alias("changes"))
     changes = lists.select("s", F.inline(F.aggregate("ones", start, take_up, lambda s: s["changes"])))
-    return materialize(first.join(changes, ["s", "size", "m"], "left").select("s", "size", "m", "n", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")))
+    return materialize(first.join(changes, ["s", "size", "m"], "left").select("s", "size", "m", "n", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")), size)
 
 
 def deal_copies(units: DataFrame, strata: DataFrame) -> DataFrame:
