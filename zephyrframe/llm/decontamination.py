@@ -21,7 +21,7 @@ item each. Only the named columns are read.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zephyrframe.llm.common import materialize
+from zephyrframe.llm.common import kept, materialize
 
 #: Bytes outside words become a space, A-Z become a-z; bytes of non-ASCII characters are word bytes.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -167,10 +167,20 @@ def spans(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def _sent(context, block: list[tuple[str | None, str]], window: int):
+    """A block of items as a broadcast variable, under a name of its own."""
+    return context.broadcast((uuid.uuid4().hex, block, window))
+
+
+def _automaton(sent) -> ItemAutomaton:
+    """The automaton of a broadcast block, built once in a worker."""
+    name, items, window = sent.value
+    return kept("ItemAutomaton", name, lambda: ItemAutomaton([(k, words_of(text)) for k, (_, text) in enumerate(items)], window))
+
+
 def _scan_batches(block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    items, window = block.value
-    automaton = ItemAutomaton([(k, words_of(text)) for k, (_, text) in enumerate(items)], window)
-    names = [name for name, _ in items]
+    automaton = _automaton(block)
+    names = [name for name, _ in block.value[1]]
     for batch in batches:
         counts, hits, runs, which = [], [], [], []
         for value in batch.column(1):
@@ -218,7 +228,7 @@ def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], FOUND)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 500_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 100_000) -> DataFrame:
     """id, n_words, runs (start, end, start, end, ... of hit words), items: one row for each row of `docs`."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words long, n_hit long, runs array<long>, items array<string>"
@@ -226,7 +236,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     context = docs.sparkSession.sparkContext
     parts = []
     for block in item_blocks(benchmark, item_col, item_text_col, block_words):
-        held = context.broadcast((block, window))
+        held = _sent(context, block, window)
         parts.append(rows.mapInArrow(lambda batches, held=held: _scan_batches(held, batches), schema))
     if len(parts) == 1:
         return parts[0]
@@ -249,7 +259,7 @@ def judge(found: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataFram
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, share: int = 20, item_col: str = "item_id", item_text_col: str = "text", block_words: int = 500_000) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, share: int = 20, item_col: str = "item_id", item_text_col: str = "text", block_words: int = 100_000) -> DataFrame:
     """`docs` without its contaminated rows, all columns kept.
 
     With one block of items, rows are judged where they are read and nothing is
@@ -261,11 +271,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
         found = find_contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_words)
         bad = judge(found, "__id", share).filter("contaminated").select("__id").distinct()
         return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    held = docs.sparkSession.sparkContext.broadcast((block, window))
+    held = _sent(docs.sparkSession.sparkContext, block, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, size = held.value
-        automaton = ItemAutomaton([(k, words_of(text)) for k, (_, text) in enumerate(items)], size)
+        automaton = _automaton(held)
         for batch in batches:
             keep = []
             for value in batch.column(text_col):
@@ -282,7 +291,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Removed words take the characters up to the next kept word with them; everything else stays as it was.
     """
-    block, *more = item_blocks(benchmark, names.get("item_col", "item_id"), names.get("item_text_col", "text"), names.get("block_words", 500_000))
+    block, *more = item_blocks(benchmark, names.get("item_col", "item_id"), names.get("item_text_col", "text"), names.get("block_words", 100_000))
     held = docs.sparkSession.sparkContext.broadcast(([block, *more], window))
     kind = docs.schema[id_col].dataType.simpleString()
 
