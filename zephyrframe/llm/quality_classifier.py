@@ -113,10 +113,9 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     joined = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"])
     within = Window.partitionBy("label").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, 0)
     sized = joined.select("id", "label", "order", F.octet_length("text").alias("size")).withColumn("upto", F.sum("size").over(within)).filter(F.col("upto") <= sample_bytes)
-    ids = [r[0] for r in sized.select("id").collect()]
-    if not ids:
+    rows = joined.join(F.broadcast(sized.select("id")), "id", "left_semi").select("label", "order", "id", "text").collect()
+    if not rows:
         return CompressionModel(b"", b"", 0.0, 0.0, 0.5, block, level)
-    rows = joined.filter(F.col("id").isin(ids)).select("label", "order", "id", "text").collect() if len(ids) < 500 else joined.join(F.broadcast(sized.select("id")), "id", "left_semi").select("label", "order", "id", "text").collect()
     by: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: (r["order"], r["id"])):
         by[r["label"]].append(r["text"].encode())
