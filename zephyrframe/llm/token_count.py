@@ -16,13 +16,16 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zephyrframe.llm.common import kept
+
 #: Fixed values of the byte-level split rule: contractions, letters, digits, others, white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^{S}\p{L}\p{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: White space as the Unicode property has it (the control characters 1C-1F do not belong to it).
@@ -106,20 +109,18 @@ class MergeCounter:
                 continue
             except KeyError:
                 pass
-            if len(cache) > self.cache_size:
-                cache.clear()
             for p in pieces:
                 n = cache.get(p)
                 if n is None:
                     n = self.piece(p)
-                    if len(p) <= 64:
+                    # Those seen first stay: they are the frequent ones.
+                    if len(p) <= 64 and len(cache) < self.cache_size:
                         cache[p] = n
                 total += n
         return total
 
 
-def _count_batches(make: Callable[[], MergeCounter], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = make()
+def _count_batches(counter: MergeCounter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, tokens = [], []
         for value in batch.column(1):
@@ -139,7 +140,9 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _count_batches(lambda: MergeCounter(vocabulary.value), batches)
+        text = vocabulary.value
+        # A worker that runs several tasks goes on with the pieces it knows.
+        return _count_batches(kept("MergeCounter", zlib.crc32(text.encode()), lambda: MergeCounter(text)), batches)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
