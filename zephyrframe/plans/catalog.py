@@ -46,21 +46,22 @@ def at(hour: int) -> Column:
     return F.timestamp_seconds(F.lit(hour * 3600))
 
 
-#: Means of two-place decimals over 2, 4, 8, ... rows lie halfway between six-place decimals; a small shift tells both engines where they go.
+#: Means of two-place decimals may lie halfway between six-place decimals, and the order of a sum decides
+#: where such a value goes; a small shift before rounding decides it the same way in both engines.
 OFF_TIES = 1e-7
 
 
-def shown(df: DataFrame, shift: float = 0.0, **hours: str) -> DataFrame:
+def shown(df: DataFrame, **hours: str) -> DataFrame:
     """Instants as hour numbers (by keyword: new name and old) and floats rounded."""
     df = df.withColumns({n: S.hour_number(F.col(o)) for n, o in hours.items()}) if hours else df
     df = df.drop(*[o for n, o in hours.items() if o not in hours])
     floats = [f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")]
-    return df.select(*[F.round(F.col(c).cast("double") + shift, 6).alias(c) if c in floats else F.col(c) for c in df.columns])
+    return df.select(*[F.round(F.col(c).cast("double") + OFF_TIES, 6).alias(c) if c in floats else F.col(c) for c in df.columns])
 
 
-def r(*columns: str, shift: float = 0.0) -> str:
+def r(*columns: str) -> str:
     """SQL that rounds columns under their names."""
-    return ", ".join(f"round({c.split(' AS ')[0]} + {shift!r}::DOUBLE, 6) AS {c.split(' AS ')[-1]}" for c in columns)
+    return ", ".join(f"round({c.split(' AS ')[0]} + {OFF_TIES!r}::DOUBLE, 6) AS {c.split(' AS ')[-1]}" for c in columns)
 
 
 KEYS = "post AS monitoring_post_id, code AS substance_code"
@@ -223,26 +224,26 @@ _OVER = "OVER (PARTITION BY post ORDER BY h ROWS BETWEEN {} PRECEDING AND CURREN
 _ROLLED = [c for w in frames.WINDOWS for o in [_OVER.format(w - 1)] for c in (f"avg(g_NO2) {o} AS target_rolling_mean_{w}", f"CASE WHEN count(g_NO2) {o} >= 2 THEN stddev_pop(g_NO2) {o} END AS target_rolling_std_{w}")]
 
 
-@query("SELECT post AS monitoring_post_id, h AS hour, " + r(*_ROLLED, shift=OFF_TIES) + " FROM dns", "dns")
+@query("SELECT post AS monitoring_post_id, h AS hour, " + r(*_ROLLED) + " FROM dns", "dns")
 def rolling_features(spark, sf_dir):
     h = S.hourly(spark, sf_dir)
     dense = frames.calendar(h).join(frames.pivot_gases(h), ["monitoring_post_id", "source_bucket"], "left")
-    return shown(frames.add_rolling(dense, "NO2").drop(*[f"gas_{g}" for g in GASES]), OFF_TIES, hour="source_bucket")
+    return shown(frames.add_rolling(dense, "NO2").drop(*[f"gas_{g}" for g in GASES]), hour="source_bucket")
 
 
 _STATS = ("raw_hourly_mean", "raw_hourly_median", "hourly_min", "hourly_max", "hourly_p95", "hourly_std")
 
 
 @query(
-    f"""SELECT o.post AS monitoring_post_id, o.code AS substance_code, o.h AS hour, {r(*_STATS, shift=OFF_TIES)}, samples_count,
-    {r('avg(v) ' + "OVER (PARTITION BY o.post, o.code ORDER BY o.h ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)" + ' AS target_rolling_mean_6', shift=OFF_TIES)} FROM own o
+    f"""SELECT o.post AS monitoring_post_id, o.code AS substance_code, o.h AS hour, {r(*_STATS)}, samples_count,
+    {r('avg(v) ' + "OVER (PARTITION BY o.post, o.code ORDER BY o.h ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)" + ' AS target_rolling_mean_6')} FROM own o
     LEFT JOIN hourly x ON x.post = o.post AND x.code = o.code AND x.h = o.h""",
     "own",
     "hourly",
 )
 def target_stats_join(spark, sf_dir):
     out = frames.gas_frames(S.hourly(spark, sf_dir))
-    return shown(out, OFF_TIES, hour="source_bucket").select("monitoring_post_id", "substance_code", "hour", *_STATS, "samples_count", "target_rolling_mean_6")
+    return shown(out, hour="source_bucket").select("monitoring_post_id", "substance_code", "hour", *_STATS, "samples_count", "target_rolling_mean_6")
 
 
 @query(
