@@ -40,7 +40,7 @@ def fixture(seed=7):
         if k % 3 == 0:
             text += "; " + items[k % 25][1].upper() + " tail " * r.randint(0, 400)
         docs.append((k, text))
-    return [*docs, (200, None), (201, ""), (202, "zz YY, xx"), docs[0], (None, "zz yy xx aa")], items
+    return [*docs, (200, None), (201, ""), (202, "zz YY, xx"), docs[0], (0, "zz yy xx"), (None, "zz yy xx aa"), (None, "two other words aa")], items
 
 
 @pytest.mark.parametrize("block_words", [500_000, 40])
@@ -50,14 +50,10 @@ def test_hits_equal_brute_force(spark, block_words):
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = D.judge(D.find_contamination(docs, bench, block_words=block_words))
     want = sorted(((k, *brute(t, items)) for k, t in rows), key=repr)
-    if block_words < 100:  # rows of one id and length are told apart by nothing else
-        want, got = sorted(set(want), key=repr), sorted(set(as_set(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")), key=repr)
-        assert got == want
-    else:
-        assert as_set(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    assert as_set(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
     kept = D.remove_contaminated(docs, bench, block_words=block_words)
     assert kept.columns == docs.columns
-    assert sorted({repr(r["doc_id"]) for r in kept.collect()}) == sorted({repr(w[0]) for w in want if not w[5]})
+    assert sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(repr(w[0]) for w in want if not w[5])
 
 
 def test_automaton_on_long_random_items():
@@ -71,11 +67,12 @@ def test_automaton_on_long_random_items():
         assert (len(hit), int(hit.sum()), len(found)) == want[:3]
 
 
-def test_spans_are_removed(spark):
+@pytest.mark.parametrize("block_words", [100_000, 10])
+def test_spans_are_removed(spark, block_words):
     item = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, "a b, " + item.upper() + ". " + "c d " * 300), (2, item), (3, "clean text"), (4, None)], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["removed_words"]) for r in D.remove_spans(docs, bench).collect()}
+    bench = spark.createDataFrame([(1, item), (2, "other words of an item"), (3, None)], "item_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["removed_words"]) for r in D.remove_spans(docs, bench, block_words=block_words).collect()}
     assert got[1] == ("a b, " + "c d " * 300, 20) and got[2] == (None, 20) and got[3] == ("clean text", 0) and got[4] == (None, 0)
 
 

@@ -16,26 +16,30 @@ results are joined. The number of words of one pass never depends on the documen
 Defined results: null texts have no words, no hits and are not contaminated;
 null item texts and empty tables hit nothing. Null item ids count as no id in
 items_sha256. Repeated rows give repeated results; repeated item ids are one
-item each. Only the named columns are read.
+item each. Rows are told apart by id and text. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrframe.llm.common import kept, materialize
 
 #: Bytes outside words become a space, A-Z become a-z; bytes of non-ASCII characters are word bytes.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: The words that `words_of` gives, where they stand in a text.
+_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-
-FOUND = ["id", "n_words", "n_hit", "runs", "items"]
+#: What a pass over the documents gives.
+FOUND = ["id", "digest", "n_words", "n_hit", "runs", "items"]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -183,14 +187,14 @@ def _scan_batches(block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     names = [name for name, _ in block.value[1]]
     for batch in batches:
         counts, hits, runs, which = [], [], [], []
-        for value in batch.column(1):
+        for value in batch.column(2):
             words = words_of(value.as_py() or "")
             hit, found = automaton.scan(words)
             counts.append(len(words))
             hits.append(int(hit.sum()))
             runs.append([x for s in spans(hit) for x in s] if found else [])
             which.append(sorted({names[k] for k in found} - {None}))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(which, pa.list_(pa.string()))], FOUND)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(which, pa.list_(pa.string()))], FOUND)
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
@@ -222,35 +226,44 @@ def _merge_runs(many: list[list[int]]) -> list[int]:
 
 def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        runs = [_merge_runs(x or []) for x in batch.column(3).to_pylist()]
-        items = [sorted({i for part in x or [] for i in part}) for x in batch.column(4).to_pylist()]
+        runs = [_merge_runs(x or []) for x in batch.column(4).to_pylist()]
+        items = [sorted({i for part in x or [] for i in part}) for x in batch.column(5).to_pylist()]
         hits = [sum(x[1::2]) - sum(x[::2]) for x in runs]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], FOUND)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hits, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], FOUND)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 100_000) -> DataFrame:
-    """id, n_words, runs (start, end, start, end, ... of hit words), items: one row for each row of `docs`."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words long, n_hit long, runs array<long>, items array<string>"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _same_row(left: DataFrame, right: DataFrame) -> Column:
+    """Rows of one id and one text; null ids are alike."""
+    return left["id"].eqNullSafe(right["id"]) & (left["digest"] == right["digest"])
+
+
+def _found(docs: DataFrame, blocks: Iterable[list[tuple[str | None, str]]], id_col: str, text_col: str, window: int) -> DataFrame:
+    """The columns of FOUND for each row of `docs`; digest is a hash of the text."""
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, digest long, n_words long, n_hit long, runs array<long>, items array<string>"
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
     parts = []
-    for block in item_blocks(benchmark, item_col, item_text_col, block_words):
+    for block in blocks:
         held = _sent(context, block, window)
         parts.append(rows.mapInArrow(lambda batches, held=held: _scan_batches(held, batches), schema))
     if len(parts) == 1:
         return parts[0]
-    # Several blocks: only documents with hits are gathered again, by id and words.
+    # Several blocks: only documents with hits are gathered again.
     first = materialize(parts[0])
-    more = [first.filter("size(runs) > 0")] + [p.filter("size(runs) > 0") for p in parts[1:]]
-    merged = more[0]
-    for part in more[1:]:
+    hits = [p.filter("size(runs) > 0") for p in [first, *parts[1:]]]
+    merged = hits[0]
+    for part in hits[1:]:
         merged = merged.unionByName(part)
-    merged = merged.groupBy("id", "n_words").agg(F.max("n_hit").alias("n_hit"), F.collect_set("runs").alias("runs"), F.collect_set("items").alias("items"))
+    merged = merged.groupBy("id", "digest", "n_words").agg(F.max("n_hit").alias("n_hit"), F.collect_set("runs").alias("runs"), F.collect_set("items").alias("items"))
     merged = merged.mapInArrow(_merge_blocks, schema)
-    own = first.select("id", "n_words")
-    joined = own.join(merged.select(F.col("id").alias("__id"), F.col("n_words").alias("__n"), "n_hit", "runs", "items"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("n_words") == F.col("__n")), "left")
-    return joined.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("runs", F.array().cast("array<long>")).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    own = first.select("id", "digest", "n_words")
+    none = {"n_hit": F.lit(0), "runs": F.array().cast("array<long>"), "items": F.array().cast("array<string>")}
+    return own.join(merged, _same_row(own, merged), "left").select(own["id"], own["digest"], own["n_words"], *[F.coalesce(merged[c], v).alias(c) for c, v in none.items()])
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 100_000) -> DataFrame:
+    """id, n_words, n_hit, runs (start, end, start, end, ... of hit words), items: one row for each row of `docs`."""
+    return _found(docs, item_blocks(benchmark, item_col, item_text_col, block_words), id_col, text_col, window).drop("digest")
 
 
 def judge(found: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataFrame:
@@ -263,14 +276,14 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     """`docs` without its contaminated rows, all columns kept.
 
     With one block of items, rows are judged where they are read and nothing is
-    shuffled. With more, the judged ids are joined back; rows of one id go together.
+    shuffled. With more, the contaminated rows' ids and digests are joined back.
     """
     blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
-    block = next(blocks)
-    if next(blocks, None) is not None:
-        found = find_contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_words)
-        bad = judge(found, "__id", share).filter("contaminated").select("__id").distinct()
-        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    block, second = next(blocks), next(blocks, None)
+    if second is not None:
+        found = _found(docs, chain([block, second], blocks), id_col, text_col, window)
+        bad = found.filter((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest")), "left_anti")
     held = _sent(docs.sparkSession.sparkContext, block, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,43 +299,36 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     return docs.mapInArrow(run, docs.schema)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, min_words: int = 13, share: int = 20, **names) -> DataFrame:
+def cut_runs(text: str | None, n_words: int, runs: list[int], min_words: int, share: int) -> tuple[str | None, int]:
+    """A text without its runs of at least `min_words` hit words, and how many words went; None if contaminated."""
+    n_hit = sum(runs[1::2]) - sum(runs[::2])
+    if n_hit and share * n_hit >= n_words:
+        return None, n_words
+    long_runs = [(s, e) for s, e in zip(runs[::2], runs[1::2]) if e - s >= min_words]
+    if not long_runs:
+        return text, 0
+    places = [m.start() for m in _WORDS.finditer(text)] + [len(text)]
+    for s, e in reversed(long_runs):
+        text = text[: places[s]] + text[places[e] :]
+    return text, sum(e - s for s, e in long_runs)
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, min_words: int = 13, share: int = 20, item_col: str = "item_id", item_text_col: str = "text", block_words: int = 100_000) -> DataFrame:
     """id, text, removed_words: contaminated texts become null, other texts lose hit spans of at least `min_words` words.
 
-    Removed words take the characters up to the next kept word with them; everything else stays as it was.
+    Removed words take the characters up to the next kept word with them; everything
+    else stays as it was. The runs of hit words are joined to the texts by id and
+    digest, so a task holds one block's automaton, however many items there are.
     """
-    block, *more = item_blocks(benchmark, names.get("item_col", "item_id"), names.get("item_text_col", "text"), names.get("block_words", 100_000))
-    held = docs.sparkSession.sparkContext.broadcast(([block, *more], window))
-    kind = docs.schema[id_col].dataType.simpleString()
+    runs = _found(docs, item_blocks(benchmark, item_col, item_text_col, block_words), id_col, text_col, window)
+    runs = materialize(runs.filter("size(runs) > 0").select("id", "digest", "n_words", "runs").dropDuplicates(["id", "digest"]))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    joined = rows.join(runs, _same_row(rows, runs), "left").select(rows["id"], rows["text"], "n_words", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        blocks, size = held.value
-        automata = [ItemAutomaton([(k, words_of(text)) for k, (_, text) in enumerate(items)], size) for items in blocks]
-        word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
         for batch in batches:
-            texts, removed = [], []
-            for value in batch.column(1):
-                text = value.as_py()
-                words = words_of(text or "")
-                hit = np.zeros(len(words), bool)
-                for a in automata:
-                    hit |= a.scan(words)[0]
-                n = int(hit.sum())
-                if n and share * n >= len(words):
-                    texts.append(None)
-                    removed.append(len(words))
-                    continue
-                gone = 0
-                places = [m.start() for m in word.finditer(text)] if n else []
-                for s, e in reversed(spans(hit)):
-                    if e - s >= min_words:
-                        text = text[: places[s]] + (text[places[e] :] if e < len(places) else "")
-                        gone += e - s
-                texts.append(text)
-                removed.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["id", "text", "removed_words"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, text string, removed_words long").withColumnRenamed("id", id_col)
+            cut = [cut_runs(t.as_py(), n, r or [], min_words, share) for t, n, r in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in cut], pa.string()), pa.array([n for _, n in cut], pa.int64())], ["id", "text", "removed_words"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(run, f"id {kind}, text string, removed_words long").withColumnRenamed("id", id_col)
