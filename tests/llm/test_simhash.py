@@ -84,3 +84,12 @@ def test_one_row_of_each_group_stays(spark, docs, doc_rows):
     assert sorted(i for i in ids if i is not None) == sorted(want)
     assert ids.count(None) == 2
     assert simhash.keep_one(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    r = random.Random(2)
+    first, second = (" ".join(str(r.random()) for _ in range(60)) for _ in range(2))
+    for order in (0, 1):
+        rows = [(3, first), (5, second), (5, first), (5, second), (6, second)]
+        docs = spark.createDataFrame(rows[::-1] if order else rows, "doc_id long, text string").repartition(3)
+        assert as_set(simhash.keep_one(docs), "doc_id", "text") == [(3, first), (5, second)]

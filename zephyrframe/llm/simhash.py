@@ -68,15 +68,15 @@ def _signed(value: int) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [_signed(fingerprint(v.as_py() or "")) for v in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "fp"])
+        prints = [_signed(fingerprint(v.as_py() or "")) for v in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the fingerprint as a signed 64-bit integer), one row for each row."""
+    """id, digest (a hash of the text) and fp (the fingerprint as a signed 64-bit integer), one row for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, f"id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, f"id {kind}, digest long, fp long")
 
 
 def merge_labels(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
@@ -210,24 +210,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, tile: int = 8192) -> DataFrame:
-    """One row for each row of `docs`: id, fingerprint (16 hex digits), component_id."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, tile: int = 8192) -> DataFrame:
+    """id, digest, fp and component_id: one row for each row of `docs`."""
     own = materialize(fingerprints(docs, id_col, text_col))
     prints = materialize(own.groupBy("fp").agg(F.min("id").alias("first")))
     edges = materialize(links(prints.select("fp"), prints.count(), radius, tile))
     roots = components(edges)
-    classes = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(lowest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return own.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, tile: int = 8192) -> DataFrame:
+    """One row for each row of `docs`: id, fingerprint (16 hex digits), component_id."""
+    found = classes(docs, id_col, text_col, radius, tile)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """The rows of `docs` without near copies: of each group the row with the smallest id stays.
 
-    Rows that repeat one id count as one document. Rows with a null id can't be
-    told apart and stay.
+    Rows of one id with different texts are judged by their own texts; where
+    several of them lie in the group that their id leads, the one of smallest
+    digest stays. Rows with a null id can't be told apart and stay.
     """
-    kept = near_duplicates(docs, id_col, text_col, radius).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    leads = classes(docs, id_col, text_col, radius).filter(F.col("id") == F.col("component_id"))
+    kept = leads.groupBy("id").agg(F.min("digest").alias("__digest")).select(F.col("id").alias("__id"), "__digest")
+    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest"))
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept, same, "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
