@@ -236,6 +236,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     leads = classes(docs, id_col, text_col, radius).filter(F.col("id") == F.col("component_id"))
     kept = leads.groupBy("id").agg(F.min("digest").alias("__digest")).select(F.col("id").alias("__id"), "__digest")
-    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest"))
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, same, "left_semi").dropDuplicates([id_col])
+    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__own", F.xxhash64(text_col))
+    same = (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    # Rows of an id that are left share one digest; naming it too lets the join's partitioning serve both steps.
+    named = named.join(kept, same, "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
