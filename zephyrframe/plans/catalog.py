@@ -168,6 +168,22 @@ def history_span(spark, sf_dir):
     return span.select(*[F.unix_date(f"{c}_date").cast("long").alias(f"{c}_day") for c in ("start", "end")])
 
 
+def _weather_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with an hour's number and what a payload has of it."""
+    w = S.live(spark, sf_dir).join(S.posts(spark).select(F.col("id").alias("monitoring_post_id"), "latitude", "longitude"), "monitoring_post_id")
+    n = S.hour_number(F.col("bucket_start"))
+    return w.select("monitoring_post_id", "latitude", "longitude", n.alias("n"), F.struct(n.alias("h"), F.date_format(F.to_utc_timestamp(F.timestamp_seconds(n * 3600), F.current_timezone()), "yyyy-MM-dd'T'HH:mm").alias("t"), "air_temp", "hor_win_spd").alias("x"))
+
+
+def _flattened(rows: DataFrame, *part: str) -> DataFrame:
+    """One payload for each post and part, flattened again."""
+    packed = rows.groupBy("monitoring_post_id", "latitude", "longitude", *part).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    hours = F.struct(F.col("x.t").alias("time"), F.col("x.air_temp").alias("temperature_2m"), F.slice(F.col("x.hor_win_spd"), 1, 5).alias("wind_speed_10m"))
+    payload = F.to_json(F.struct("latitude", "longitude", hours.alias("hourly")), {"ignoreNullFields": "false"})
+    flat = weather_feed.flatten_payloads(packed.select("monitoring_post_id", payload.alias("payload")), "live_forecast")
+    return shown(flat.select("monitoring_post_id", "bucket_start", "air_temp", "hor_win_spd", "model_latitude"), hour="bucket_start")
+
+
 @query(
     f"""SELECT post AS monitoring_post_id, h AS hour, {r('air_temp', 'CASE WHEN h - lo < 5 THEN hor_win_spd END AS hor_win_spd', 'lat AS model_latitude')} FROM (
     SELECT *, min(h) OVER () AS lo FROM wx) JOIN pst USING (post) WHERE h - lo < 48""",
@@ -175,16 +191,21 @@ def history_span(spark, sf_dir):
     "pst",
 )
 def weather_json_flatten(spark, sf_dir):
-    """Payloads with a short array and eleven missing ones."""
-    w = S.live(spark, sf_dir).join(S.posts(spark).select(F.col("id").alias("monitoring_post_id"), "latitude", "longitude"), "monitoring_post_id")
-    n = S.hour_number(F.col("bucket_start"))
-    first = w.agg(F.min(n).alias("lo"))
-    rows = w.join(F.broadcast(first), n - F.col("lo") < 48).select("monitoring_post_id", "latitude", "longitude", F.struct(n.alias("h"), F.date_format(F.to_utc_timestamp(F.timestamp_seconds(n * 3600), F.current_timezone()), "yyyy-MM-dd'T'HH:mm").alias("t"), "air_temp", "hor_win_spd").alias("x"))
-    packed = rows.groupBy("monitoring_post_id", "latitude", "longitude").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    hours = F.struct(F.col("x.t").alias("time"), F.col("x.air_temp").alias("temperature_2m"), F.slice(F.col("x.hor_win_spd"), 1, 5).alias("wind_speed_10m"))
-    payload = F.to_json(F.struct("latitude", "longitude", hours.alias("hourly")), {"ignoreNullFields": "false"})
-    flat = weather_feed.flatten_payloads(packed.select("monitoring_post_id", payload.alias("payload")), "live_forecast")
-    return shown(flat.select("monitoring_post_id", "bucket_start", "air_temp", "hor_win_spd", "model_latitude"), hour="bucket_start")
+    """Payloads with a short array and eleven missing ones; the first 48 hours, as its SQL has them."""
+    rows = _weather_rows(spark, sf_dir)
+    first = rows.agg(F.min("n").alias("lo"))
+    return _flattened(rows.join(F.broadcast(first), F.col("n") - F.col("lo") < 48))
+
+
+@query(
+    f"""SELECT post AS monitoring_post_id, h AS hour, {r('air_temp', 'CASE WHEN k <= 5 THEN hor_win_spd END AS hor_win_spd', 'lat AS model_latitude')} FROM (
+    SELECT *, row_number() OVER (PARTITION BY post, h // 24 ORDER BY h) AS k FROM wx) JOIN pst USING (post)""",
+    "wx",
+    "pst",
+)
+def weather_json_flatten_all(spark, sf_dir):
+    """All hours, in one such payload for each post and day."""
+    return _flattened(_weather_rows(spark, sf_dir).withColumn("day", F.expr("n div 24")), "day")
 
 
 # --- features ---------------------------------------------------------------
