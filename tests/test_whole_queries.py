@@ -13,3 +13,20 @@ def test_all_hours_of_weather_are_flattened(spark):
     found = QUERIES["weather_json_flatten_all"](spark, SF).collect()
     assert len(found) == len(want) > 5 * 48
     assert {(r.monitoring_post_id, r.hour): r.air_temp for r in found} == want
+
+
+def test_persistence_has_the_posts_of_the_baseline(spark):
+    columns = ["monitoring_post_id", "substance_code", "hour", "persistence"]
+    found = {tuple(r) for r in QUERIES["persistence_all_posts"](spark, SF).select(columns).collect()}
+    assert found == {tuple(r) for r in QUERIES["physical_baseline"](spark, SF).select(columns).collect()}
+    assert {r[0] for r in found} == {1, 2, 3, 4, 5}
+
+
+def test_neighbours_take_every_active_post(spark, monkeypatch):
+    from zephyrframe.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog.neighbours, "upwind_values", lambda values, places: seen.append(places) or values)
+    monkeypatch.setattr(catalog.neighbours, "summarize_upwind", lambda values, radius: values)
+    catalog._spatial(spark, SF)
+    assert {r.monitoring_post_id for r in seen[0].collect()} == {1, 2, 3, 4, 5, 6}

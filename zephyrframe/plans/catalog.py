@@ -313,8 +313,7 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = S.active(spark).filter("monitoring_post_id < 6")
-    return neighbours.summarize_upwind(neighbours.upwind_values(_values(spark, sf_dir), places), DEFAULTS.influence_meters)
+    return neighbours.summarize_upwind(neighbours.upwind_values(_values(spark, sf_dir), S.active(spark)), DEFAULTS.influence_meters)
 
 
 @query(f"SELECT {KEYS}, h AS hour, {r('upwind AS spatial_upwind_value', 'mean AS spatial_neighbor_mean', 'most AS spatial_neighbor_max', 'weight AS spatial_weight_sum', 'n AS spatial_neighbor_count', 'nearest AS spatial_min_distance_km')} FROM spt", "spt")
@@ -347,13 +346,22 @@ def physical_baseline(spark, sf_dir):
     return shown(_baseline(spark, sf_dir), hour="source_bucket").select("monitoring_post_id", "substance_code", "hour", "physical_baseline", "persistence")
 
 
-@query(f"SELECT {KEYS}, h AS hour, {r('lag0 AS persistence')} FROM bas WHERE post < 5", "bas")
-def persistence(spark, sf_dir):
-    h = S.hourly(spark, sf_dir).filter("monitoring_post_id < 5")
+def _persistence(h: DataFrame) -> DataFrame:
     frame = frames.gas_frames(h).withColumn("persistence", evaluation.persistence()).filter("persistence is not null")
     return shown(frame.select("monitoring_post_id", "substance_code", "source_bucket", "persistence"), hour="source_bucket")
 
 
+@query(f"SELECT {KEYS}, h AS hour, {r('lag0 AS persistence')} FROM bas WHERE post < 5", "bas")
+def persistence(spark, sf_dir):
+    """Posts with raw samples, as its SQL has them."""
+    return _persistence(S.hourly(spark, sf_dir).filter("monitoring_post_id < 5"))
+
+
+@query(f"SELECT {KEYS}, h AS hour, {r('lag0 AS persistence')} FROM bas", "bas")
+def persistence_all_posts(spark, sf_dir):
+    return _persistence(S.hourly(spark, sf_dir))
+
+
 # --- evaluation ---------------------------------------------------------------
 
 
