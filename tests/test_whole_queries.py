@@ -1,5 +1,6 @@
 """Registered queries do the whole job: no hours, posts or trees are left out."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from zephyrframe.plans import samples as S
@@ -30,3 +31,19 @@ def test_neighbours_take_every_active_post(spark, monkeypatch):
     monkeypatch.setattr(catalog.neighbours, "summarize_upwind", lambda values, radius: values)
     catalog._spatial(spark, SF)
     assert {r.monitoring_post_id for r in seen[0].collect()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_forecast_is_of_the_whole_model(spark, monkeypatch):
+    from zephyrframe.operators import model
+    from zephyrframe.settings import DEFAULTS, Settings
+
+    used = []
+
+    def stopped(features, settings=DEFAULTS):
+        used.append(settings)
+        raise RuntimeError("no need to fit")
+
+    monkeypatch.setattr(model, "estimator", stopped)
+    with pytest.raises(RuntimeError, match="no need to fit"):
+        QUERIES["residual_forecast"](spark, SF)
+    assert used == [Settings()] and (used[0].iterations, used[0].depth) == (300, 6)

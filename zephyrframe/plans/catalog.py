@@ -854,9 +854,8 @@ def residual_forecast(spark, sf_dir):
     """Held-out predictions of boosted trees on the baseline's residual."""
     from zephyrframe.plans.job import training_frame
 
-    settings = Settings(iterations=20, depth=3)
-    rows = model.with_correction_target(training_frame(S.hourly(spark, sf_dir), S.active(spark), S.live(spark, sf_dir), settings)).persist()
-    split = evaluation.assign_split(rows, settings.test_fraction)
-    artifact = model.fit(split.filter("not is_test").drop("is_test"), settings)
+    rows = model.with_correction_target(training_frame(S.hourly(spark, sf_dir), S.active(spark), S.live(spark, sf_dir))).persist()
+    split = evaluation.assign_split(rows, DEFAULTS.test_fraction)
+    artifact = model.fit(split.filter("not is_test").drop("is_test"))
     out = model.evaluate(split.filter("is_test").drop("is_test"), artifact)
     return shown(out.select("monitoring_post_id", "substance_code", "target_start", "target_value", "physical_baseline", "predicted"), hour="target_start")
