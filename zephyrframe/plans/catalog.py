@@ -624,13 +624,31 @@ def cell_geometry(spark, sf_dir):
     return shown(grid.cell_geometry(_mesh(spark), STEP, F.lit(_LAT0), F.lit(_LON0)).select("grid_x", "grid_y", "latitude", "south", "east"))
 
 
-def _stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with the weather of one hour, as stations of field 1."""
-    w = S.live(spark, sf_dir).filter(F.col("bucket_start") == at(FROM_HOUR))
+def _weathered(spark: SparkSession, w: DataFrame) -> DataFrame:
+    """Posts with weather, as stations of field 1."""
     u, v = X.wind_vector(F.col("hor_win_spd"), F.col("hor_win_dir"))
     return _placed(spark).join(w, "monitoring_post_id").withColumns({"field": F.lit(1), "u": u, "v": v, "innovation": F.col("monitoring_post_id") * 1.5 - 3, "confidence": 1.0 / F.col("monitoring_post_id")})
 
 
+def _stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations of one hour, as the SQL has them; the queries named _hours have all."""
+    return _weathered(spark, S.live(spark, sf_dir).filter(F.col("bucket_start") == at(FROM_HOUR)))
+
+
+HOURS = ["field", "hour"]
+
+
+def _stations_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations of every hour, which is a key of the field."""
+    return _weathered(spark, S.live(spark, sf_dir).withColumn("hour", S.hour_number(F.col("bucket_start"))))
+
+
+def _mesh_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mesh of all posts for every hour of the weather."""
+    hours = S.live(spark, sf_dir).select(S.hour_number(F.col("bucket_start")).alias("hour")).distinct()
+    return grid.mesh(hours.crossJoin(F.broadcast(_placed(spark))).withColumn("field", F.lit(1)), HOURS, STEP, _PAD)
+
+
 _STATIONS = f"""SELECT s.*, w.hor_win_spd, w.hor_win_dir, w.boundary_layer_height, coalesce(sin(radians(fmod(hor_win_dir + 180, 360))) * hor_win_spd, 0) AS u, coalesce(cos(radians(fmod(hor_win_dir + 180, 360))) * hor_win_spd, 0) AS v,
     s.post * 1.5e0 - 3 AS innovation, 1.0e0 / s.post AS confidence FROM ({_XY}) s JOIN wx w ON w.post = s.post AND w.h = {FROM_HOUR}"""
 
@@ -648,6 +666,12 @@ def knn_idw(spark, sf_dir):
     return shown(out.drop("field"))
 
 
+@query()
+def knn_idw_hours(spark, sf_dir):
+    out = grid.nearest_idw(_mesh_hours(spark, sf_dir), _stations_hours(spark, sf_dir), HOURS, ["grid_x", "grid_y"], "boundary_layer_height")
+    return shown(out.drop("field"))
+
+
 @query(
     f"""SELECT post AS monitoring_post_id, {r('CASE WHEN d <= 400 THEN val ELSE -1 END AS sampled')} FROM (SELECT p.post, arg_min(m.grid_x * 1.0 + m.grid_y, sqrt(pow(m.x - p.x, 2) + pow(m.y - p.y, 2))) AS val, min(sqrt(pow(m.x - p.x, 2) + pow(m.y - p.y, 2))) AS d
     FROM ({_XY}) p, (SELECT * FROM ({_MESH}) WHERE (grid_x + grid_y) % 3 <> 0) m GROUP BY p.post)""",
@@ -716,10 +740,24 @@ _PAIRS = f"""SELECT *, CASE WHEN sp > 0.1 THEN u / sp ELSE 0 END AS eu, CASE WHE
     SELECT m.grid_x, m.grid_y, s.post, m.x - s.x AS dx, m.y - s.y AS dy, s.u, s.v, sqrt(s.u * s.u + s.v * s.v) AS sp FROM ({_MESH}) m, ({_STATIONS}) s)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stations(spark, sf_dir).select("field", "monitoring_post_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "u", "v")
+def _correlated(cells: DataFrame, stations: DataFrame, keys: list[str]) -> DataFrame:
+    s = stations.select(*keys, "monitoring_post_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "u", "v")
     rho = grid.correlation(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"), F.col("u"), F.col("v"), DEFAULTS.influence_meters)
-    return _mesh(spark).join(F.broadcast(s), "field").withColumn("rho", rho)
+    return cells.join(s, keys).withColumn("rho", rho)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _correlated(_mesh(spark), F.broadcast(_stations(spark, sf_dir)), ["field"])
+
+
+def _pairs_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _correlated(_mesh_hours(spark, sf_dir), _stations_hours(spark, sf_dir), HOURS)
+
+
+def _single() -> dict[str, Column]:
+    """Updates by post 2, the single observation."""
+    bg, bc = (F.col("grid_x") % 5).cast("double"), (F.col("grid_y") % 4) / 4.0
+    return grid.single_update(bg, bc, F.lit(2.0), F.lit(0.3), F.lit(7.5), F.lit(0.8), F.col("rho"))
 
 
 @query(f"SELECT grid_x, grid_y, post AS monitoring_post_id, {r(_RHO + ' AS rho')} FROM ({_PAIRS})", "pst", "wx")
@@ -727,6 +765,11 @@ def anisotropic_correlation(spark, sf_dir):
     return shown(_pairs(spark, sf_dir).select("grid_x", "grid_y", "monitoring_post_id", "rho"))
 
 
+@query()
+def anisotropic_correlation_hours(spark, sf_dir):
+    return shown(_pairs_hours(spark, sf_dir).select("hour", "grid_x", "grid_y", "monitoring_post_id", "rho"))
+
+
 @query(
     f"""SELECT grid_x, grid_y, {r('greatest(0, bg + inc) AS value', 'greatest(0, least(1, greatest(bc, 1 - greatest(0, least(1, sv - cov * cov / sys))))) AS confidence', 'inc AS increment')} FROM (
     SELECT *, cov * (7.5 - 2.0) / sys AS inc FROM (SELECT *, rho * sqrt(sv * 0.7e0) AS cov, 0.7e0 + 0.2e0 AS sys FROM (
@@ -736,9 +779,13 @@ def anisotropic_correlation(spark, sf_dir):
 )
 def oi_single_observation(spark, sf_dir):
     rows = _pairs(spark, sf_dir).filter("monitoring_post_id = 2")
-    bg, bc = (F.col("grid_x") % 5).cast("double"), (F.col("grid_y") % 4) / 4.0
-    out = grid.single_update(bg, bc, F.lit(2.0), F.lit(0.3), F.lit(7.5), F.lit(0.8), F.col("rho"))
-    return shown(rows.select("grid_x", "grid_y", *[v.alias(k) for k, v in out.items()]))
+    return shown(rows.select("grid_x", "grid_y", *[v.alias(k) for k, v in _single().items()]))
+
+
+@query()
+def oi_single_observation_hours(spark, sf_dir):
+    rows = _pairs_hours(spark, sf_dir).filter("monitoring_post_id = 2")
+    return shown(rows.select("hour", "grid_x", "grid_y", *[v.alias(k) for k, v in _single().items()]))
 
 
 @query(
@@ -755,6 +802,12 @@ def backward_innovation(spark, sf_dir):
     return shown(out.drop("field"))
 
 
+@query()
+def backward_innovation_hours(spark, sf_dir):
+    out = grid.backward_correction(_mesh_hours(spark, sf_dir), _stations_hours(spark, sf_dir), HOURS, ["grid_x", "grid_y"], STEP)
+    return shown(out.drop("field"))
+
+
 _MASKED = f"""SELECT grid_x, grid_y, CASE WHEN grid_x % 11 <> 0 THEN (grid_y % 3) * 5e-7::DOUBLE END AS v, (grid_x % 9) / 100.0e0 AS c, (grid_y % 7) / 100.0e0 AS b, (grid_x % 4) / 75.0e0 AS w, grid_y % 5 = 0 AS p FROM ({_MESH})"""
 
 
