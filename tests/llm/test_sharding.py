@@ -36,3 +36,19 @@ def test_growing_moves_rows_to_the_new_shard_only(spark, docs, tmp_path):
 
 def test_empty_table(no_docs):
     assert S.shard_rows(no_docs).count() == 0
+
+
+def test_stored_map_loses_and_doubles_no_rows(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    few = S.materialize(S.slot_bytes(S.sized_rows(docs.orderBy("doc_id").limit(5))))
+    first = S.materialize(S.slot_map(few, 3))
+    second = S.materialize(S.grow_map(first, few, 3))
+    for m in (first, second):
+        S.write_map(m, path)
+    placed = S.shard_rows(docs, 4, mapping=spark.read.parquet(path)).collect()
+    assert len(placed) == docs.count()
+    latest = {r["virtual_slot"]: r["shard"] for r in second.collect()}
+    assert all(r["shard"] == latest.get(r["virtual_slot"], r["virtual_slot"] % 4) for r in placed)
+    for k in range(4):
+        mine = sorted(r["slot"] for r in placed if r["shard"] == k)
+        assert mine == list(range(len(mine)))

@@ -79,11 +79,22 @@ def write_map(mapping: DataFrame, path: str) -> None:
     mapping.write.mode("append").partitionBy("version").parquet(path)
 
 
+def whole_map(mapping: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
+    """virtual_slot, shard: the latest version of a map, and a place for each slot in use that was empty when it was made."""
+    if "version" in mapping.columns:
+        mapping = mapping.join(F.broadcast(mapping.agg(F.max("version").alias("version"))), "version")
+    known = sums.select("virtual_slot").join(F.broadcast(mapping.select("virtual_slot", "shard")), "virtual_slot", "left")
+    return known.select("virtual_slot", F.coalesce("shard", F.pmod("virtual_slot", F.lit(shards))).cast("int").alias("shard"))
+
+
 def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, mapping: DataFrame | None = None) -> DataFrame:
-    """id, size, text_crc32, virtual_slot, shard, slot for each row; texts are never shuffled."""
+    """id, size, text_crc32, virtual_slot, shard, slot for each row; texts are never shuffled.
+
+    Of a stored mapping the latest version counts; a slot that it lacks goes to the shard `virtual_slot` mod `shards`.
+    """
     rows = materialize(sized_rows(docs, id_col, text_col, slots))
     sums = materialize(slot_bytes(rows))
-    mapping = slot_map(sums, shards) if mapping is None else mapping
+    mapping = slot_map(sums, shards) if mapping is None else whole_map(mapping, sums, shards)
     # Rows of a shard before each of its virtual slots: a sum over the map, which has `slots` rows at most.
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(mapping.join(sums, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("offset")))
