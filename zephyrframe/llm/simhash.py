@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zephyrframe.llm.common import materialize
+from zephyrframe.llm.common import hot_keys, join_spread, materialize, unused
 
 SHINGLE = 4
 SEED = 42
@@ -195,30 +195,33 @@ def components(edges: DataFrame) -> DataFrame:
     """(fp, root): for each fingerprint on an edge the smallest fingerprint of its component.
 
     Every round takes the smallest label among neighbours and then the label of
-    that label, so rounds grow with the logarithm of a component's length.
+    that label, so rounds grow with the logarithm of a component's length. Hubs of
+    many edges and roots of many fingerprints are dealt over several tasks.
     """
     size = 2 * edges.count()
     both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), size)
+    hubs = hot_keys(both, ["b"])
     labels = materialize(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m")).select("fp", F.least("fp", "m").alias("root")), size)
     while True:
-        seen = both.join(labels.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("m"))
-        near = labels.join(seen, "fp").select("fp", F.least("root", "m").alias("next"), F.col("root").alias("was"))
-        jump = labels.select(F.col("fp").alias("next"), F.col("root").alias("far"))
-        moved = materialize(near.join(jump, "next").select("fp", F.least("next", "far").alias("root"), "was"), size)
+        beside = join_spread(both, labels.select(F.col("fp").alias("b"), "root"), ["b"], "a", hubs)
+        seen = beside.groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("m"))
+        near = materialize(labels.join(seen, "fp").select("fp", F.least("root", "m").alias("next"), F.col("root").alias("was")), size)
+        far = join_spread(near, labels.select(F.col("fp").alias("next"), F.col("root").alias("far")), ["next"], "fp")
+        moved = materialize(far.select("fp", F.least("next", "far").alias("root"), "was"), size)
         labels = moved.select("fp", "root")
         if moved.filter("root != was").isEmpty():
             return labels
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, tile: int = 8192) -> DataFrame:
-    """id, digest, fp and component_id: one row for each row of `docs`."""
+    """id, digest, fp, root (the fingerprint that names the group) and component_id: one row for each row of `docs`."""
     own = materialize(fingerprints(docs, id_col, text_col))
     prints = materialize(own.groupBy("fp").agg(F.min("id").alias("first")))
     edges = materialize(links(prints.select("fp"), prints.count(), radius, tile))
-    roots = components(edges)
-    rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = materialize(prints.join(components(edges), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp")
+    named = join_spread(rooted, lowest, ["root"], "fp").select("fp", "root", "component_id")
+    return join_spread(own, named, ["fp"], "id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, tile: int = 8192) -> DataFrame:
@@ -230,14 +233,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """The rows of `docs` without near copies: of each group the row with the smallest id stays.
 
-    Rows of one id with different texts are judged by their own texts; where
-    several of them lie in the group that their id leads, the one of smallest
-    digest stays. Rows with a null id can't be told apart and stay.
+    Rows of one id with different texts are judged by their own texts: each group
+    keeps one row, of its smallest id the one of smallest digest. Rows with a null
+    id come last, so they stay only in groups of nothing else, one for each group.
     """
-    leads = classes(docs, id_col, text_col, radius).filter(F.col("id") == F.col("component_id"))
-    kept = leads.groupBy("id").agg(F.min("digest").alias("__digest")).select(F.col("id").alias("__id"), "__digest")
-    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__own", F.xxhash64(text_col))
-    same = (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__digest"))
-    # Rows of an id that are left share one digest; naming it too lets the join's partitioning serve both steps.
-    named = named.join(kept, same, "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    found = materialize(classes(docs, id_col, text_col, radius).select("id", "digest", "root"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
+    own, lead_id, lead = unused(docs, "__own", "__id", "__digest")
+    leads = materialize(found.groupBy("root").agg(first).select(F.col("first.id").alias(lead_id), F.col("first.digest").alias(lead)))
+    named = docs.withColumn(own, F.xxhash64(text_col))
+    known = named.filter(F.col(id_col).isNotNull())
+    # Rows of an id and digest are alike; naming both lets the join's partitioning serve both steps.
+    known = known.join(leads.filter(F.col(lead_id).isNotNull()), (F.col(id_col) == F.col(lead_id)) & (F.col(own) == F.col(lead)), "left_semi").dropDuplicates([id_col, own])
+    # Rows without an id may be many of one text, so they are made one before they meet the leads.
+    nameless = named.filter(F.col(id_col).isNull()).dropDuplicates([own])
+    nameless = nameless.join(leads.filter(F.col(lead_id).isNull()).select(lead), F.col(own) == F.col(lead), "left_semi")
+    return known.unionByName(nameless).drop(own)
