@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import as_set, clashing
@@ -28,3 +29,8 @@ def test_odd_texts_equal_the_library():
 
 def test_empty_table(no_docs):
     assert token_count.count_tokens(no_docs, PATH).count() == 0
+
+
+def test_other_rules_are_refused():
+    with pytest.raises(ValueError):
+        token_count.MergeCounter(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())

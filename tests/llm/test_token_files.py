@@ -39,7 +39,7 @@ def test_encoder_equals_the_library():
     for at in range(0, len(texts), 9):
         some = texts[at : at + 9]
         for t, raw in zip(some, encoder(some, 2)):
-            assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids + [2], t
+            assert np.frombuffer(raw, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids + [2], t
 
 
 @pytest.mark.parametrize("file_tokens", [1_000_000, 500])
@@ -59,3 +59,48 @@ def test_digests_equal_brute_force(docs, doc_rows, file_tokens, tmp_path):
 
 def test_empty_table(no_docs, tmp_path):
     assert token_files.token_digests(no_docs, PATH, path=str(tmp_path / "none")).count() == 0
+
+
+def test_any_vocabulary_equals_the_library(docs, doc_rows, tmp_path):
+    """Files with other rules than the dealt one's are encoded by the library, whole text by whole text."""
+    import glob
+    import json
+    import os
+
+    folder = os.path.dirname(PATH)
+    paths = sorted(glob.glob(f"{folder}/*.json"))
+    wide = json.load(open(PATH, encoding="utf-8"))
+    wide["added_tokens"].append(wide["added_tokens"][-1] | {"id": 70000, "content": "<|wide|>"})
+    (tmp_path / "wide.json").write_text(json.dumps(wide), encoding="utf-8")
+    assert len(paths) > 1
+    for n, path in enumerate([*paths, str(tmp_path / "wide.json")]):
+        library = Tokenizer.from_file(path)
+        encoder = token_files.WordEncoder(open(path, encoding="utf-8").read())
+        texts = ["Hello World 123 ABC", "a <|endoftext|> b<|wide|>", "  two  spaces\n", ""] + [t or "" for _, t, *_ in doc_rows[:20]]
+        for t, raw in zip(texts, encoder(texts, 2)):
+            assert np.frombuffer(raw, f"<u{2 if encoder.kind == 'H' else 4}").tolist() == library.encode(t, add_special_tokens=False).ids + [2], (path, t)
+    out = token_files.token_digests(docs, paths[0], path=str(tmp_path / "ids"))
+    library = Tokenizer.from_file(paths[0])
+    want = sorted(((k, zlib.crc32(np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes())) for k, t, *_ in doc_rows), key=repr)
+    assert as_set(out, "doc_id", "ids_crc32") == want
+
+
+def test_lookups_read_the_stored_files(spark, docs, tmp_path):
+    path = str(tmp_path / "ids")
+    token_files.write_token_files(docs, PATH, path, file_tokens=700)
+    library = Tokenizer.from_file(PATH)
+    rows = {r["doc_id"]: r for r in token_files.read_digests(spark, path).collect() if r["doc_id"] is not None}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for k in (0, 7, 144):
+        ids = library.encode(texts[k] or "", add_special_tokens=False).ids + [2]
+        assert {tuple(r["tokens"]) for r in token_files.tokens_of(spark, path, [k]).collect()} == {tuple(ids)}
+        for at in {0, len(ids) // 2, len(ids) - 1}:
+            assert token_files.token_at(spark, path, rows[k]["start"] + at) == ids[at]
+    with pytest.raises(IndexError):
+        token_files.token_at(spark, path, 10**12)
+    import glob
+
+    import pyarrow.parquet as pq
+
+    kinds = {pq.read_metadata(f).row_group(0).column(c).compression for f in glob.glob(path + "/*.parquet") for c in range(6) if pq.read_metadata(f).num_row_groups}
+    assert kinds == {"UNCOMPRESSED"}

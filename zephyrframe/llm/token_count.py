@@ -41,11 +41,22 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def byte_level(spec: dict) -> bool:
+    """Whether a vocabulary file has the rules that are counted here: byte-level pieces by SPLIT, no normaliser, plain merges."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    pieces = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    special = not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("normalized", "lstrip", "rstrip", "single_word"))
+    return model.get("type") == "BPE" and plain and pieces and special and not spec.get("normalizer")
+
+
 class MergeCounter:
-    """Counts tokens of texts; holds ranks by symbol pair and a bounded cache of pieces."""
+    """Counts tokens of texts; holds ranks by symbol pair and a bounded cache of pieces. Raises for other rules than `byte_level`."""
 
     def __init__(self, vocabulary: str, cache: int = 400_000):
         spec = json.loads(vocabulary)
+        if not byte_level(spec):
+            raise ValueError("the vocabulary isn't a byte-level one without normaliser, so its tokens can't be counted by these merges")
         ids = spec["model"]["vocab"]
         self.base = [ids[s] for s in byte_symbols()]
         self.ranks = {}

@@ -6,11 +6,13 @@ before every 512th bit) leads to their places on the next level. So any token is
 read by a few array accesses, and a document's ids are one contiguous range on
 every level; nothing else is decoded.
 
-Documents are range-partitioned by id, tokenised in ascending order (null ids
-last; rows of equal id by their text's hash) and written as Parquet rows that
-each hold one file of about `file_tokens` ids: the codes, the documents' ids and
-their starts. A document is never split over files, so a file is larger than
-that only by its last document.
+Texts are tokenised where they are read and never shuffled: their ids, 16 bits
+each where the vocabulary allows, are written, range-partitioned by document id
+(null ids last; rows of equal id by their text's hash) and written as Parquet
+rows that each hold one file of about `file_tokens` ids: the codes, the documents'
+ids and their ends. The codes are stored uncompressed, a file to a page, so a
+lookup reads one file's bytes as they are. A document is never split over files,
+so a file is larger than `file_tokens` only by its last document.
 
 Defined results: a null or empty text has the end id only. Repeated rows are
 documents of their own. An empty table gives no files and no rows. Only the id
@@ -19,12 +21,12 @@ and text columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zephyrframe.llm.common import kept, shared_dir
+from zephyrframe.llm.common import kept, materialize, scratch_path
 from zephyrframe.llm.token_count import byte_symbols
 
 MAGIC = b"DAC1"
@@ -112,16 +114,34 @@ class Codes:
 #: Latin-1 letters in lower case, and ASCII punctuation but the apostrophe, which contractions use.
 LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 MARKS = "!-&(-/:-@\\[-`{-~"
+#: The rules of a vocabulary file under which white space separates tokens for good and pieces can be named beforehand.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
-class WordEncoder:
-    """Ids of whole texts from the tokenizers library, for byte-level tokenizers that drop white space.
+def known_rules(spec: dict) -> bool:
+    """Whether a vocabulary file has the rules above, and special strings that begin with "<|" and stand for themselves."""
+    plain = all(t["content"].startswith("<|") and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens", []))
+    model = spec["model"]
+    chance = model.get("dropout") or model.get("fuse_unk") or model.get("continuing_subword_prefix")
+    return spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER and plain and not chance and not (spec.get("truncation") or spec.get("padding"))
+
 
-    White space separates tokens for good, so a text is its white-space chunks;
-    in plain Latin-1 texts a chunk is runs of letters, single digits and runs of
-    punctuation, which such a tokenizer always splits. The library encodes each
-    piece once; ids of pieces and chunks are kept, up to a bounded number of
-    those seen first. Past it, new ones are encoded for their batch only.
+class WordEncoder:
+    """Ids of whole texts from the tokenizers library.
+
+    Under the rules above (`known_rules`) a text is its white-space chunks, and in
+    plain Latin-1 texts a chunk is runs of letters, single digits and runs of
+    punctuation, which such a tokenizer always splits. The library's model encodes
+    each piece once; ids of pieces and chunks are kept, up to a bounded number of
+    those seen first. Past it, new ones are encoded for their batch only. Under
+    any other rules the library encodes every whole text.
     """
 
     def __init__(self, spec: str, cache: int = 300_000):
@@ -129,6 +149,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known = known_rules(json.loads(spec))
         self.model = self.tokenizer.model
         self.cache = cache
         #: Ids by chunk of plain texts (Latin-1, lower case), by piece of them, and by chunk of other texts (UTF-8).
@@ -140,6 +163,8 @@ class WordEncoder:
         plain = re.compile(b"[" + letters + marks + b"0-9 \n]")
         self.plain = bytes(b for b in range(256) if plain.match(bytes([b])))
         self.symbols = dict(enumerate(byte_symbols()))
+        #: Bytes of an id: two where every id fits.
+        self.kind = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
 
     def words(self, text: str) -> tuple[list[bytes], bool]:
         """The chunks of a text, and whether it is plain."""
@@ -163,7 +188,7 @@ class WordEncoder:
                     # The model takes a piece by its bytes' symbols; those of ASCII marks and letters are themselves.
                     piece = part.decode("latin-1")
                     ids = [t.id for t in tokenize(piece if part.isascii() else piece.encode().decode("latin-1").translate(self.symbols))]
-                    runs[part] = pack(f"<{len(ids)}I", *ids)
+                    runs[part] = pack(f"<{len(ids)}{self.kind}", *ids)
                     fresh.append(part)
             self.chunks[chunk] = runs[parts[0]] if len(parts) == 1 else b"".join(map(runs.__getitem__, parts))
         return fresh
@@ -172,17 +197,19 @@ class WordEncoder:
         """Keep the ids of other chunks."""
         listed = list(new)
         for w, e in zip(listed, self.tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False)):
-            self.others[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            self.others[w] = struct.pack(f"<{len(e.ids)}{self.kind}", *e.ids)
 
     def __call__(self, texts: list[str], end_id: int) -> list[bytes]:
-        """For each text its ids and the end id as little-endian 32-bit integers."""
+        """For each text its ids and the end id as little-endian integers of `kind`."""
+        end = struct.pack("<" + self.kind, end_id)
+        if not self.known:
+            return [struct.pack(f"<{len(e.ids)}{self.kind}", *e.ids) + end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [self.words(t) for t in texts]
         new_plain = {w for words, plain in split if plain for w in words}.difference(self.chunks)
         new_others = {w for words, plain in split if not plain for w in words}.difference(self.others)
         new_runs = self.learn_plain(new_plain)
         if new_others:
             self.learn_others(new_others)
-        end = struct.pack("<I", end_id)
         out = [b"".join([*map((self.chunks if plain else self.others).__getitem__, words), end]) for words, plain in split]
         for held, new in ((self.chunks, new_plain), (self.runs, new_runs), (self.others, new_others)):
             if len(held) > self.cache:
@@ -191,31 +218,37 @@ class WordEncoder:
         return out
 
 
-def _file_batches(spec, end_id: int, file_tokens: int, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode_batches(spec, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # A worker that runs several tasks goes on with the pieces it knows.
-    encoder, held, start = kept("WordEncoder", zlib.crc32(spec.value.encode()), lambda: WordEncoder(spec.value)), [], 0
+    encoder = kept("WordEncoder", zlib.crc32(spec.value.encode()), lambda: WordEncoder(spec.value))
+    width = struct.calcsize("<" + encoder.kind)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            some = batch.slice(at, 128)
+            coded = encoder([v.as_py() or "" for v in some.column(2)], end_id)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([width] * len(coded), pa.int32()), pa.array(coded, pa.binary())], ["id", "digest", "width", "tokens"])
+
+
+def _file_batches(file_tokens: int, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, start, size = [], 0, 0
     names = ["part", "start", "n_tokens", "ids", "ends", "codes"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary()]
 
     def file() -> pa.RecordBatch:
-        nonlocal held, start
-        ids = np.frombuffer(b"".join(x[2] for x in held), "<u4")
-        ends = np.cumsum([len(x[2]) // 4 for x in held])
+        nonlocal held, start, size
+        ids = np.concatenate([x[2] for x in held])
+        ends = np.cumsum([len(x[2]) for x in held])
         out = [[held[0][1]], [start], [len(ids)], [[x[0] for x in held]], [ends.tolist()], [encode(ids)]]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary()]
-        held, start = [], start + len(ids)
+        held, start, size = [], start + len(ids), 0
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names)
 
-    size = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            some = batch.slice(at, 128)
-            coded = encoder([v.as_py() or "" for v in some.column(1)], end_id)
-            for key, part, ids in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), coded):
-                held.append((key, part, ids))
-                size += len(ids) // 4
-                if size >= file_tokens:
-                    yield file()
-                    size = 0
+        for key, part, width, raw in zip(batch.column("id").to_pylist(), batch.column("part").to_pylist(), batch.column("width").to_pylist(), batch.column("tokens")):
+            ids = np.frombuffer(raw.as_buffer(), f"<u{width}")
+            held.append((key, part, ids))
+            size += len(ids)
+            if size >= file_tokens:
+                yield file()
     if held:
         yield file()
 
@@ -228,15 +261,56 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType
-    arrow = to_arrow_type(kind)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keys = [F.col("id").asc_nulls_last(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
-    files = dealt.mapInArrow(
-        lambda batches: _file_batches(spec, end_id, file_tokens, arrow, batches),
-        f"part int, start long, n_tokens long, ids array<{kind.simpleString()}>, ends array<long>, codes binary",
-    )
-    files.write.option("parquet.block.size", 16 << 20).parquet(path)
+    arrow, named = to_arrow_type(kind), kind.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    coded = materialize(rows.mapInArrow(lambda batches: _encode_batches(spec, end_id, batches), f"id {named}, digest long, width int, tokens binary"))
+    keys = [F.col("id").asc_nulls_last(), F.col("digest")]
+    dealt = coded.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "width", "tokens", F.spark_partition_id().alias("part"))
+    files = dealt.mapInArrow(lambda batches: _file_batches(file_tokens, arrow, batches), f"part int, start long, n_tokens long, ids array<{named}>, ends array<long>, codes binary")
+    # A page takes one file's codes, as they exceed a page's size, and holds them as they are.
+    files.write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(path)
+
+
+def bases(files: DataFrame) -> DataFrame:
+    """part, base: the ids before each partition of the write; as many rows as it had partitions, which is a setting."""
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+
+
+def token_at(spark: SparkSession, path: str, position: int) -> int:
+    """The id at a place among all documents' ids, from the one stored file that holds it.
+
+    The places of files are read alone; of the codes only that file's are read, and of them a few bytes a level.
+    """
+    files = spark.read.parquet(path)
+    first = F.col("base") + F.col("start")
+    places = files.select("part", "start", "n_tokens").join(F.broadcast(bases(files)), "part")
+    found = places.filter((first <= position) & (F.lit(position) < first + F.col("n_tokens"))).select("part", "start", (F.lit(position) - first).alias("at")).first()
+    if found is None:
+        raise IndexError(position)
+    content = files.filter((F.col("part") == found["part"]) & (F.col("start") == found["start"])).select("codes").first()[0]
+    return Codes(content)[found["at"]]
+
+
+def tokens_of(spark: SparkSession, path: str, ids: Sequence, id_col: str = "doc_id") -> DataFrame:
+    """id, tokens of the named documents, read by range from the files that hold them."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    files = spark.read.parquet(path)
+    kind = files.schema["ids"].dataType.elementType
+    arrow, wanted = to_arrow_type(kind), set(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held, ends, content = (batch.column(c)[k].as_py() for c in range(3))
+                codes, found = Codes(content), [n for n, name in enumerate(held) if name in wanted]
+                tokens = [codes.slice(ends[n - 1] if n else 0, ends[n]).tolist() for n in found]
+                yield pa.RecordBatch.from_arrays([pa.array([held[n] for n in found], arrow), pa.array(tokens, pa.list_(pa.int64()))], ["id", "tokens"])
+
+    some = files.filter(F.arrays_overlap("ids", F.array(*[F.lit(i).cast(kind) for i in wanted])))
+    return some.select("ids", "ends", "codes").mapInArrow(run, f"id {kind.simpleString()}, tokens array<long>").withColumnRenamed("id", id_col)
 
 
 def _read_batches(kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,16 +333,12 @@ def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
     files = spark.read.parquet(path)
     kind = files.schema["ids"].dataType.elementType
     arrow = to_arrow_type(kind)
-    # One row for each partition of the write: their number is a setting, not the corpus.
-    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     rows = files.select("part", "start", "ids", "ends", "codes").mapInArrow(lambda batches: _read_batches(arrow, batches), f"id {kind.simpleString()}, part int, start_in_part long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(base), "part").select(F.col("id").alias(id_col), (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(bases(files)), "part").select(F.col("id").alias(id_col), (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None, file_tokens: int = 1_000_000) -> DataFrame:
     """Write the files, then return the digests read back from them."""
-    path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = path or scratch_path(docs.sparkSession, "tokens")
     write_token_files(docs, tokenizer_path, path, id_col, text_col, end_id, file_tokens)
     return read_digests(docs.sparkSession, path, id_col)
