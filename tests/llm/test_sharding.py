@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+import xxhash
+
 from tests.llm.conftest import as_set, clashing
 from zephyrframe.llm import sharding as S
 
@@ -26,7 +28,7 @@ def test_growing_moves_rows_to_the_new_shard_only(spark, docs, tmp_path):
     first = S.materialize(S.slot_map(sums, 3))
     second = S.grow_map(first, sums, 3)
     before, after = ({r["virtual_slot"]: r["shard"] for r in m.collect()} for m in (first, second))
-    assert before.keys() == after.keys() and all(after[k] in (v, 3) for k, v in before.items()) and 3 in after.values()
+    assert before.keys() == after.keys() == set(range(S.SLOTS)) and all(after[k] in (v, 3) for k, v in before.items()) and 3 in after.values()
     for m in (first, second):
         S.write_map(m, str(tmp_path / "map"))
     assert {r["version"] for r in spark.read.parquet(str(tmp_path / "map")).select("version").distinct().collect()} == {1, 2}
@@ -48,7 +50,41 @@ def test_stored_map_loses_and_doubles_no_rows(spark, docs, tmp_path):
     placed = S.shard_rows(docs, 4, mapping=spark.read.parquet(path)).collect()
     assert len(placed) == docs.count()
     latest = {r["virtual_slot"]: r["shard"] for r in second.collect()}
-    assert all(r["shard"] == latest.get(r["virtual_slot"], r["virtual_slot"] % 4) for r in placed)
+    assert len(latest) == S.SLOTS and all(r["shard"] == latest[r["virtual_slot"]] for r in placed)
+    part = spark.read.parquet(path).filter("virtual_slot < 2000")
+    held = {k: v for k, v in latest.items() if k < 2000}
+    assert all(r["shard"] == held.get(r["virtual_slot"], r["virtual_slot"] % 4) for r in S.shard_rows(docs, 4, mapping=part).collect())
     for k in range(4):
         mine = sorted(r["slot"] for r in placed if r["shard"] == k)
         assert mine == list(range(len(mine)))
+
+
+def brute(rows, shards, slots=S.SLOTS):
+    """Slots by XXH64 of id and checksum, the heaviest first to the lightest shard, and places in the order of slot, id and checksum."""
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    placed = []
+    for k, text in rows:
+        raw = (text or "").encode()
+        h = 42 if k is None else xxhash.xxh64(k.to_bytes(8, "little", signed=True), seed=42).intdigest()
+        h = xxhash.xxh64(zlib.crc32(raw).to_bytes(8, "little"), seed=h).intdigest()
+        placed.append((signed(h) % slots, k, zlib.crc32(raw), len(raw) + 1))
+    weight = defaultdict(int)
+    for v, *_, size in placed:
+        weight[v] += size
+    loads, shard = [0] * shards, {}
+    for v in sorted(weight, key=lambda v: (-weight[v], v)):
+        shard[v] = min(range(shards), key=lambda k: (loads[k], k))
+        loads[shard[v]] += weight[v]
+    seen, out = defaultdict(int), []
+    for v, k, crc, size in sorted(placed, key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2])):
+        out.append((k, size, crc, v, shard[v], seen[shard[v]]))
+        seen[shard[v]] += 1
+    return sorted(out, key=repr)
+
+
+def test_shards_and_places_equal_brute_force(docs, doc_rows, tmp_path, spark):
+    columns = ("doc_id", "size", "text_crc32", "virtual_slot", "shard", "slot")
+    path = str(tmp_path / "map")
+    assert as_set(S.shard_rows(clashing(docs), 16, map_path=path), *columns) == brute([r[:2] for r in doc_rows], 16)
+    stored = spark.read.parquet(path)
+    assert stored.count() == S.SLOTS and {r[0] for r in stored.select("version").distinct().collect()} == {1}

@@ -2,8 +2,9 @@
 
 Every row is hashed into one of a fixed number of virtual slots. Bytes are
 summed by slot, and a versioned map gives each slot a shard: heaviest slots
-first, each to the shard with fewest bytes so far. Rebalancing edits the map, so
-only the rows of moved slots move.
+first, each to the shard with fewest bytes so far. The map covers all slots, is
+stored by version and read back; the latest version counts. Rebalancing edits the
+map, so only the rows of moved slots move.
 
 All of it is built from DataFrame functions. The map has as many rows as there
 are slots, a fixed parameter, so it may be gathered in one row and broadcast.
@@ -19,11 +20,11 @@ then id, then checksum. An empty table gives no rows. Other columns are not read
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zephyrframe.llm.common import materialize
+from zephyrframe.llm.common import materialize, scratch_path
 
 SLOTS = 4096
 
@@ -38,8 +39,12 @@ def slot_bytes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows"))
 
 
-def slot_map(sums: DataFrame, shards: int, version: int = 1) -> DataFrame:
-    """version, virtual_slot, shard: slots from heaviest to lightest, each to the lightest shard so far."""
+def slot_map(sums: DataFrame, shards: int, version: int = 1, slots: int = SLOTS) -> DataFrame:
+    """version, virtual_slot, shard: all slots from heaviest to lightest, each to the lightest shard so far; empty ones by number."""
+    every = sums.sparkSession.range(slots).select(F.col("id").cast("int").alias("virtual_slot"))
+    every = every.join(sums, "virtual_slot", "left").select("virtual_slot", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    full, empty = every.filter("bytes > 0"), every.filter("bytes = 0")
+    spare = empty.select(F.lit(version).alias("version"), "virtual_slot", F.pmod("virtual_slot", F.lit(shards)).cast("int").alias("shard"))
     heaviest = F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), F.col("virtual_slot"))))
     loads = F.array(*[F.struct(F.lit(0).cast("long").alias("load"), F.lit(k).alias("shard")) for k in range(shards)])
 
@@ -49,8 +54,8 @@ def slot_map(sums: DataFrame, shards: int, version: int = 1) -> DataFrame:
         return F.struct(grown.alias("loads"), F.concat(state["dealt"], F.array(F.struct(slot["virtual_slot"].alias("virtual_slot"), least["shard"].alias("shard")))).alias("dealt"))
 
     start = F.struct(loads.alias("loads"), F.array().cast("array<struct<virtual_slot:int,shard:int>>").alias("dealt"))
-    dealt = sums.agg(heaviest.alias("slots")).select(F.inline(F.aggregate("slots", start, deal, lambda s: s["dealt"])))
-    return dealt.select(F.lit(version).alias("version"), "virtual_slot", "shard")
+    dealt = full.agg(heaviest.alias("slots")).select(F.inline(F.aggregate("slots", start, deal, lambda s: s["dealt"])))
+    return dealt.select(F.lit(version).alias("version"), "virtual_slot", "shard").unionByName(spare)
 
 
 def grow_map(current: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
@@ -60,7 +65,7 @@ def grow_map(current: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
     """
     total = sums.agg((F.sum("bytes") / (shards + 1)).alias("fair"))
     lightest = Window.partitionBy("shard").orderBy("bytes", "virtual_slot")
-    weighed = current.join(F.broadcast(sums), "virtual_slot")
+    weighed = current.join(F.broadcast(sums.select("virtual_slot", "bytes")), "virtual_slot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
     weighed = weighed.withColumn("upto", F.sum("bytes").over(lightest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("load", F.sum("bytes").over(Window.partitionBy("shard")))
     fair = F.broadcast(total)
     moved = weighed.join(fair, F.col("upto") <= F.col("load") - F.col("fair"), "left")
@@ -75,29 +80,46 @@ def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def write_map(mapping: DataFrame, path: str) -> None:
-    """Add a version of the map to the stored ones."""
-    mapping.write.mode("append").partitionBy("version").parquet(path)
+    """Add a version of the map to the stored ones; one file, as a map has no more rows than there are slots."""
+    mapping.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
-def whole_map(mapping: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
-    """virtual_slot, shard: the latest version of a map, and a place for each slot in use that was empty when it was made."""
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """virtual_slot, shard: the latest stored version of the map."""
+    return latest_version(spark.read.parquet(path))
+
+
+def latest_version(mapping: DataFrame) -> DataFrame:
+    """virtual_slot, shard of the highest version that a map holds."""
     if "version" in mapping.columns:
         mapping = mapping.join(F.broadcast(mapping.agg(F.max("version").alias("version"))), "version")
-    known = sums.select("virtual_slot").join(F.broadcast(mapping.select("virtual_slot", "shard")), "virtual_slot", "left")
+    return mapping.select("virtual_slot", "shard")
+
+
+def whole_map(mapping: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
+    """virtual_slot, shard of each slot in use; one that the map's latest version lacks goes to `virtual_slot` mod `shards`."""
+    known = sums.select("virtual_slot").join(F.broadcast(latest_version(mapping)), "virtual_slot", "left")
     return known.select("virtual_slot", F.coalesce("shard", F.pmod("virtual_slot", F.lit(shards))).cast("int").alias("shard"))
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, mapping: DataFrame | None = None) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, mapping: DataFrame | None = None, map_path: str | None = None) -> DataFrame:
     """id, size, text_crc32, virtual_slot, shard, slot for each row; texts are never shuffled.
 
-    Of a stored mapping the latest version counts; a slot that it lacks goes to the shard `virtual_slot` mod `shards`.
+    Without a mapping, version 1 is made from the slots' bytes, stored below
+    `map_path` (or the shared folder) and read back. Of a mapping the latest version
+    counts; a slot that it lacks goes to the shard `virtual_slot` mod `shards`.
     """
+    spark = docs.sparkSession
     rows = materialize(sized_rows(docs, id_col, text_col, slots))
-    sums = materialize(slot_bytes(rows))
-    mapping = slot_map(sums, shards) if mapping is None else whole_map(mapping, sums, shards)
+    sums = materialize(slot_bytes(rows), slots)
+    if mapping is None:
+        map_path = map_path or scratch_path(spark, "slot-map")
+        write_map(slot_map(sums, shards, slots=slots), map_path)
+        mapping = read_map(spark, map_path)
+    placed_slots = whole_map(mapping, sums, shards)
     # Rows of a shard before each of its virtual slots: a sum over the map, which has `slots` rows at most.
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialize(mapping.join(sums, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("offset")))
+    offsets = materialize(placed_slots.join(sums, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("offset")), slots)
     inside = Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size")
     placed = rows.withColumn("__rank", F.row_number().over(inside)).join(F.broadcast(offsets), "virtual_slot")
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "virtual_slot", "shard", (F.col("offset") + F.col("__rank") - 1).alias("slot"))
