@@ -51,6 +51,7 @@ def test_hits_equal_brute_force(spark, block_words):
     out = D.judge(D.find_contamination(docs, bench, block_words=block_words))
     want = sorted(((k, *brute(t, items)) for k, t in rows), key=repr)
     assert as_set(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    docs = docs.withColumns({"__id": D.F.lit("x"), "__digest": D.F.lit("y")})
     kept = D.remove_contaminated(docs, bench, block_words=block_words)
     assert kept.columns == docs.columns
     assert sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(repr(w[0]) for w in want if not w[5])
@@ -60,6 +61,7 @@ def test_automaton_on_long_random_items():
     r = random.Random(11)
     items = [(str(k), " ".join(r.choice("abc") for _ in range(r.randint(1, 200)))) for k in range(12)]
     automaton = D.ItemAutomaton([(k, D.words_of(t)) for k, (_, t) in enumerate(items)], 13)
+    automaton = D.ItemAutomaton.unpacked(automaton.packed())
     for _ in range(60):
         doc = " ".join(r.choice("abcd") for _ in range(300))
         hit, found = automaton.scan(D.words_of(doc))

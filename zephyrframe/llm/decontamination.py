@@ -8,10 +8,12 @@ none, is one window. Words inside an occurrence of a window are hit; spans of
 hit words are what the operator removes, and a document with `share` times its
 hit words at or above its words is contaminated.
 
-The automaton is broadcast, so its size is checked: items are dealt into blocks
-of at most `block_words` words (an item longer than that makes a block of its
-own), one automaton and one pass over the documents each, and the passes'
-results are joined. The number of words of one pass never depends on the documents.
+The automaton is built once, as flat arrays (about 60 bytes a word), and broadcast,
+so its size is checked: items are dealt into blocks of at most `block_words` words
+(an item longer than that makes a block of its own), one automaton and one pass
+over the documents each. With several blocks a pass writes what it found and its
+broadcast is released before the next, so one automaton at a time is held; the
+passes' results are joined. The size of a pass never depends on the documents.
 
 Defined results: null texts have no words, no hits and are not contaminated;
 null item texts and empty tables hit nothing. Null item ids count as no id in
@@ -21,8 +23,10 @@ item each. Rows are told apart by id and text. Only the named columns are read.
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zephyrframe.llm.common import kept, materialize
+from zephyrframe.llm.common import kept, materialize, unused
 
 #: Bytes outside words become a space, A-Z become a-z; bytes of non-ASCII characters are word bytes.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -48,73 +52,89 @@ def words_of(text: str) -> list[bytes]:
 
 
 class ItemAutomaton:
-    """A generalised suffix automaton over words, with the windows each state ends."""
+    """A generalised suffix automaton over words, with the windows each state ends.
+
+    States are numbers into flat arrays. A state's first move lies in two of
+    them; the few states with more moves have the others in a dictionary.
+    """
 
     def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         short: dict[int, list[tuple[int, int]]] = {}
         paths = []
         for number, words in items:
-            state, path = 0, []
+            state, path = 0, array("i")
             for w in words:
                 state = self._extend(state, self.ids.setdefault(w, len(self.ids)))
                 path.append(state)
             paths.append((number, path))
         # Later words may have cloned states, so the places of windows are looked up at the end.
-        full: dict[int, set[int]] = {}
+        ends: set[tuple[int, int]] = set()
         for number, path in paths:
             n = len(path)
             if n and n < window:
                 short.setdefault(self._holding(path[-1], n), []).append((n, number))
-            for state in path[window - 1 :]:
-                full.setdefault(self._holding(state, window), set()).add(number)
+            ends.update((self._holding(state, window), number) for state in path[window - 1 :])
+        #: The items of whole windows by state: those of state k are `full[first[k] : first[k + 1]]`.
         size = len(self.length)
+        counts = np.bincount([state for state, _ in ends], minlength=size) if ends else np.zeros(size, np.int64)
+        self.first = array("i", np.concatenate(([0], np.cumsum(counts))).astype(np.int32).tobytes())
+        self.full = array("i", [number for _, number in sorted(ends)])
         #: For each state: the state on its suffix path that ends whole windows, or -1.
-        self.anchor = [-1] * size
+        self.anchor = array("i", [-1]) * size
         #: For each state: the nearest state on its suffix path (itself included) that ends short items, or -1.
-        self.near = [-1] * size
-        for state in sorted(range(size), key=self.length.__getitem__):
+        self.near = array("i", [-1]) * size
+        for state in np.argsort(np.frombuffer(self.length, np.int32), kind="stable").tolist():
             up = self.link[state]
-            if state in full:
-                self.anchor[state] = state
-            elif up >= 0:
-                self.anchor[state] = self.anchor[up]
+            self.anchor[state] = state if counts[state] else self.anchor[up] if up >= 0 else -1
             self.near[state] = state if state in short else self.near[up] if up >= 0 else -1
-        self.full = {k: frozenset(v) for k, v in full.items()}
         self.short = short
         self.shortest = min((n for v in short.values() for n, _ in v), default=window)
 
+    def _move(self, state: int, word: int) -> int:
+        if self.word[state] == word:
+            return self.to[state]
+        moves = self.more.get(state)
+        return moves.get(word, -1) if moves else -1
+
+    def _set(self, state: int, word: int, to: int) -> None:
+        if self.word[state] in (word, -1):
+            self.word[state], self.to[state] = word, to
+        else:
+            self.more.setdefault(state, {})[word] = to
+
     def _extend(self, last: int, word: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if word in nxt[last]:
-            q = nxt[last][word]
-            return q if length[q] == length[last] + 1 else self._clone(last, q, word)
-        state = self._state(length[last] + 1, {})
+        q = self._move(last, word)
+        if q >= 0:
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, word)
+        state = self._state(self.length[last] + 1)
         p = last
-        while p >= 0 and word not in nxt[p]:
-            nxt[p][word] = state
-            p = link[p]
+        while p >= 0 and (q := self._move(p, word)) < 0:
+            self._set(p, word, state)
+            p = self.link[p]
         if p < 0:
-            link[state] = 0
+            self.link[state] = 0
         else:
-            q = nxt[p][word]
-            link[state] = q if length[q] == length[p] + 1 else self._clone(p, q, word)
+            self.link[state] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, word)
         return state
 
-    def _state(self, length: int, moves: dict[int, int]) -> int:
-        self.next.append(moves)
-        self.length.append(length)
-        self.link.append(0)
+    def _state(self, length: int) -> int:
+        for held, value in ((self.word, -1), (self.to, -1), (self.link, 0), (self.length, length)):
+            held.append(value)
         return len(self.length) - 1
 
     def _clone(self, p: int, q: int, word: int) -> int:
-        copy = self._state(self.length[p] + 1, dict(self.next[q]))
+        copy = self._state(self.length[p] + 1)
+        self.word[copy], self.to[copy] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[copy] = dict(self.more[q])
         self.link[copy], self.link[q] = self.link[q], copy
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = copy
+        while p >= 0 and self._move(p, word) == q:
+            self._set(p, word, copy)
             p = self.link[p]
         return copy
 
@@ -127,25 +147,30 @@ class ItemAutomaton:
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
         """Which words are hit, and the numbers of the items whose windows occur."""
         n, window, shortest = len(words), self.window, self.shortest
-        nxt, link, lengths, anchor, near = self.next, self.link, self.length, self.anchor, self.near
+        first_word, first_to, more, link, lengths, near = self.word, self.to, self.more, self.link, self.length, self.near
         delta = np.zeros(n + 1, np.int64)
         found: set[int] = set()
+        whole: set[int] = set()
         state = matched = 0
         for at, word in enumerate(map(self.ids.get, words)):
             if word is None:
                 state = matched = 0
                 continue
-            moves = nxt[state]
-            while word not in moves:
+            while True:
+                if first_word[state] == word:
+                    after = first_to[state]
+                    break
+                moves = more.get(state)
+                if moves is not None and (after := moves.get(word, -1)) >= 0:
+                    break
                 state = link[state]
                 if state < 0:
                     break
-                moves = nxt[state]
                 matched = lengths[state]
             if state < 0:
                 state = matched = 0
                 continue
-            state = moves[word]
+            state = after
             matched += 1
             if matched < shortest:
                 continue
@@ -153,7 +178,7 @@ class ItemAutomaton:
                 # Strings of `window` words end here; the state that holds them is on the suffix path.
                 delta[at + 1 - window] += 1
                 delta[at + 1] -= 1
-                found |= self.full[anchor[state]]
+                whole.add(self.anchor[state])
             u = near[state]
             while u >= 0:
                 for size, number in self.short[u]:
@@ -162,8 +187,25 @@ class ItemAutomaton:
                         delta[at + 1] -= 1
                         found.add(number)
                 u = near[link[u]] if link[u] >= 0 else -1
+        for k in whole:
+            found.update(self.full[self.first[k] : self.first[k + 1]])
         return np.cumsum(delta[:-1]) > 0, found
 
+    #: The parts that a scan needs, as plain values.
+    PARTS = ("window", "ids", "word", "to", "more", "link", "length", "first", "full", "anchor", "near", "short", "shortest")
+
+    def packed(self) -> bytes:
+        """The automaton as bytes of plain values."""
+        return pickle.dumps([getattr(self, name) for name in self.PARTS], pickle.HIGHEST_PROTOCOL)
+
+    @classmethod
+    def unpacked(cls, content: bytes) -> ItemAutomaton:
+        """The automaton of such bytes."""
+        out = cls.__new__(cls)
+        for name, value in zip(cls.PARTS, pickle.loads(content)):
+            setattr(out, name, value)
+        return out
+
 
 def spans(hit: np.ndarray) -> list[tuple[int, int]]:
     """Runs of hit words as (start, end), end exclusive."""
@@ -172,19 +214,20 @@ def spans(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sent(context, block: list[tuple[str | None, str]], window: int):
-    """A block of items as a broadcast variable, under a name of its own."""
-    return context.broadcast((uuid.uuid4().hex, block, window))
+    """The automaton of a block of items as a broadcast variable: a name of its own, the items' ids and the packed automaton."""
+    packed = ItemAutomaton([(k, words_of(text)) for k, (_, text) in enumerate(block)], window).packed()
+    return context.broadcast((uuid.uuid4().hex, [name for name, _ in block], packed))
 
 
 def _automaton(sent) -> ItemAutomaton:
-    """The automaton of a broadcast block, built once in a worker."""
-    name, items, window = sent.value
-    return kept("ItemAutomaton", name, lambda: ItemAutomaton([(k, words_of(text)) for k, (_, text) in enumerate(items)], window))
+    """The automaton of a broadcast block, unpacked once in a worker."""
+    name, _, packed = sent.value
+    return kept("ItemAutomaton", name, lambda: ItemAutomaton.unpacked(packed))
 
 
 def _scan_batches(block, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     automaton = _automaton(block)
-    names = [name for name, _ in block.value[1]]
+    names = block.value[1]
     for batch in batches:
         counts, hits, runs, which = [], [], [], []
         for value in batch.column(2):
@@ -242,17 +285,23 @@ def _found(docs: DataFrame, blocks: Iterable[list[tuple[str | None, str]]], id_c
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, digest long, n_words long, n_hit long, runs array<long>, items array<string>"
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
-    parts = []
-    for block in blocks:
-        held = _sent(context, block, window)
-        parts.append(rows.mapInArrow(lambda batches, held=held: _scan_batches(held, batches), schema))
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: only documents with hits are gathered again.
-    first = materialize(parts[0])
-    hits = [p.filter("size(runs) > 0") for p in [first, *parts[1:]]]
-    merged = hits[0]
-    for part in hits[1:]:
+    blocks = iter(blocks)
+    block, second = next(blocks), next(blocks, None)
+
+    def scanned(held) -> DataFrame:
+        return rows.mapInArrow(lambda batches: _scan_batches(held, batches), schema)
+
+    if second is None:
+        return scanned(_sent(context, block, window))
+    # Several blocks: each pass is written, all rows by the first and rows with hits by the others.
+    passes = []
+    for k, some in enumerate(chain([block, second], blocks)):
+        held = _sent(context, some, window)
+        passes.append(materialize(scanned(held) if k == 0 else scanned(held).filter("size(runs) > 0")))
+        held.destroy()
+    first = passes[0]
+    merged = first.filter("size(runs) > 0")
+    for part in passes[1:]:
         merged = merged.unionByName(part)
     merged = merged.groupBy("id", "digest", "n_words").agg(F.max("n_hit").alias("n_hit"), F.collect_set("runs").alias("runs"), F.collect_set("items").alias("items"))
     merged = merged.mapInArrow(_merge_blocks, schema)
@@ -261,7 +310,7 @@ def _found(docs: DataFrame, blocks: Iterable[list[tuple[str | None, str]]], id_c
     return own.join(merged, _same_row(own, merged), "left").select(own["id"], own["digest"], own["n_words"], *[F.coalesce(merged[c], v).alias(c) for c, v in none.items()])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 100_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 1_000_000) -> DataFrame:
     """id, n_words, n_hit, runs (start, end, start, end, ... of hit words), items: one row for each row of `docs`."""
     return _found(docs, item_blocks(benchmark, item_col, item_text_col, block_words), id_col, text_col, window).drop("digest")
 
@@ -272,7 +321,7 @@ def judge(found: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataFram
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, share: int = 20, item_col: str = "item_id", item_text_col: str = "text", block_words: int = 100_000) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, share: int = 20, item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1_000_000) -> DataFrame:
     """`docs` without its contaminated rows, all columns kept.
 
     With one block of items, rows are judged where they are read and nothing is
@@ -282,8 +331,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     block, second = next(blocks), next(blocks, None)
     if second is not None:
         found = _found(docs, chain([block, second], blocks), id_col, text_col, window)
-        bad = found.filter((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest")), "left_anti")
+        name, own = unused(docs, "__id", "__digest")
+        bad = found.filter((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select(F.col("id").alias(name), F.col("digest").alias(own)).distinct()
+        return docs.join(bad, F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(own)), "left_anti")
     held = _sent(docs.sparkSession.sparkContext, block, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +363,7 @@ def cut_runs(text: str | None, n_words: int, runs: list[int], min_words: int, sh
     return text, sum(e - s for s, e in long_runs)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, min_words: int = 13, share: int = 20, item_col: str = "item_id", item_text_col: str = "text", block_words: int = 100_000) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, min_words: int = 13, share: int = 20, item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1_000_000) -> DataFrame:
     """id, text, removed_words: contaminated texts become null, other texts lose hit spans of at least `min_words` words.
 
     Removed words take the characters up to the next kept word with them; everything
