@@ -50,6 +50,12 @@ def test_round_trip(spark):
     assert {c for c, r in got.items() if r["valid"]} == {1, -7, 5}
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")]
+    got = C.digests(C.format_conversations(spark.createDataFrame(rows, SCHEMA).repartition(2))).collect()
+    assert sorted((r["conv_id"] is None, r["n_turns"], r["loss_chars"]) for r in got) == [(False, 1, 0), (True, 1, 0), (True, 1, 0), (True, 1, 1)]
+
+
 def test_empty_table(spark):
     assert C.digests(C.format_conversations(spark.createDataFrame([], SCHEMA))).count() == 0
 

@@ -72,9 +72,17 @@ def test_large_stratum_and_repeated_ids(spark):
     for s in ("hot", "b"):
         assert abs(sum(r["taken"] for r in got[s]) - got[s][0]["target"]) <= 5
     assert len({r["copies"] for r in got["rep"]}) == 1 and len(got["rep"]) == 40
+    docs = docs.withColumns({c: M.F.lit("x") for c in ("__id", "__source", "__size", "__copies", "__words", "__copy")})
     mixed = M.mixed_rows(docs, weights=(1, 1, 1))
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for v in got.values() for r in v)
 
 
 def test_empty_table(no_docs):
     assert M.mix(no_docs).count() == 0 and M.mixed_rows(no_docs).count() == 0
+
+
+def test_tilts_that_do_not_settle_raise(spark):
+    strata = spark.createDataFrame([(1, 10, 1, 5, 10, 1.0)], "s int, size long, m long, n long, unit long, x double")
+    sources = spark.createDataFrame([(1, "a", 50, 5, 77.0)], "s int, source string, source_size long, n_rows long, target double")
+    with pytest.raises(ArithmeticError):
+        M.solve_tilts(strata, sources, 2, rounds=1)

@@ -37,7 +37,15 @@ def test_policies_and_ablations(spark):
     assert Q.policy_table(spark).count() == len(Q.POLICIES)
 
 
+def test_stored_ledger_serves_all_policies(spark, docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    book = Q.stored_ledger(docs, path=path)
+    assert as_set(book, *book.columns) == as_set(Q.ledger(docs), *book.columns)
+    assert as_set(Q.read_ledger(spark, path), *book.columns) == as_set(Q.stored_ledger(docs, path=path), *book.columns)
+
+
 def test_rows_that_pass_stay_whole(docs):
+    docs = clashing(docs).withColumns({"__measures": Q.F.lit("x"), "measures": Q.F.lit("y")})
     kept = Q.keep_passing(docs)
     assert kept.schema == docs.schema
     want = Q.apply_policy(Q.ledger(docs)).filter("kept")

@@ -10,8 +10,9 @@ All of it is built from DataFrame functions. A conversation is one output row,
 so its turns are gathered in one place; that is bounded by the conversation.
 
 Defined results: null texts and roles are empty. Turns of equal number are
-ordered by role, then text; null turns come first. Rows with a null
-conversation id form one conversation. Roles the machine does not know make a
+ordered by role, then text; null turns come first. A row with a null
+conversation id belongs to no other row: it is a conversation of one turn, so
+such rows are never gathered. Roles the machine does not know make a
 conversation invalid, and bear no loss. Repeated rows are turns of their own; an
 empty table gives no conversations. Only the named columns are read.
 """
@@ -67,7 +68,9 @@ def final_state(roles: Column, template: ChatTemplate) -> Column:
 def format_conversations(turns: DataFrame, template: ChatTemplate = ChatTemplate(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, segments (array of text, loss), formatted, valid: one row for each conversation."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    grouped = turns.groupBy(F.col(conv_col).alias("conv")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    named, alone = turns.filter(F.col(conv_col).isNotNull()), turns.filter(F.col(conv_col).isNull())
+    grouped = named.groupBy(F.col(conv_col).alias("conv")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    grouped = grouped.unionByName(alone.select(F.col(conv_col).alias("conv"), F.array(turn).alias("turns")))
 
     def segments(t: Column) -> Column:
         def segment(text: Column, loss: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zephyrframe.llm.common import WORD, materialize
+from zephyrframe.llm.common import HOT_KEYS, HOT_ROWS, WORD, join_spread, materialize, unused
 
 #: Binary places of expected copies.
 PLACES = 20
@@ -76,9 +76,11 @@ def solve_tilts(strata: DataFrame, sources: DataFrame, cap: float, tolerance: fl
         sources.select("s", "source_size", "n_rows", "target", (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)).alias("done"), F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")),
         ONE_FILE,
     )
-    for _ in range(rounds):
+    for at in range(rounds + 1):
         if state.filter("not done").isEmpty():
             break
+        if at == rounds:
+            raise ArithmeticError(f"{state.filter('not done').count()} sources have no tilt after {rounds} rounds")
         rate = F.exp(F.least(F.col("tilt") * F.col("x"), F.lit(100.0)))
         words = F.col("n") * F.col("unit")
         exact = lambda c: F.sum(c.cast("decimal(38,9)"))  # noqa: E731  sums that don't depend on the order of rows
@@ -137,7 +139,10 @@ def round_strata(strata: DataFrame, sources: DataFrame, tilts: DataFrame, cap: i
 
 def deal_copies(units: DataFrame, strata: DataFrame) -> DataFrame:
     """The units (id, s, size, m) with copies: those of a stratum by hash of the id."""
-    cut = units.join(strata, ["s", "size", "m"]).withColumn("cuts", F.ceil(F.col("n") / SLOT_ROWS)).withColumn("hash", F.xxhash64("id"))
+    # A size that a third of all documents share is one stratum; its units are dealt over several tasks.
+    most = max(HOT_ROWS, units.count() // HOT_KEYS)
+    hot = materialize(strata.filter(F.col("n") > most).select("s", "size", "m", F.ceil(F.col("n") / most).cast("int").alias("__cuts")), HOT_KEYS)
+    cut = join_spread(units, strata, ["s", "size", "m"], "id", hot).withColumn("cuts", F.ceil(F.col("n") / SLOT_ROWS)).withColumn("hash", F.xxhash64("id"))
     cut = cut.withColumn("cut", F.pmod("hash", "cuts"))
     keys = ["s", "size", "m", "cut"]
     counts = cut.filter("cuts > 1").groupBy(*keys).count()
@@ -168,7 +173,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, all columns kept."""
-    taken = mix(docs, id_col, source_col, text_col, **options).select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).filter("__copies > 0").distinct()
-    sized = docs.withColumn("__words", word_count(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    return sized.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, source, size, copies, words, copy = unused(docs, "__id", "__source", "__size", "__copies", "__words", "__copy")
+    mixed = mix(docs, id_col, source_col, text_col, **options)
+    taken = mixed.select(F.col(id_col).alias(own), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies)).filter(F.col(copies) > 0).distinct()
+    sized = docs.withColumn(words, word_count(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(own)) & F.col(source_col).eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    return sized.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

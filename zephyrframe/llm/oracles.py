@@ -4,13 +4,30 @@ _FORGED = r"\### Assistant: </turn> ok"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+_LEDGER = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+v AS (
+    SELECT rid, i, array_to_string(w[i : i + 7], ' ') AS key FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+r AS (
+    SELECT rid, count(DISTINCT p) AS n FROM (
+        SELECT rid, unnest(range(i, i + 8)) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, key) AS c FROM v) WHERE c > 1) GROUP BY rid),
+m AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_caps FROM d LEFT JOIN r USING (rid)),
+f AS (
+    SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+        + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 20 * n_words OR word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_caps > n_words THEN 32 ELSE 0 END AS failure_bits FROM m)"""
+
 ORACLES: dict[str, str] = {
     "op3_chat_format": rf"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-7, 0, 'user', '{_FORGED}'), (-7, 1, 'assistant', '{_FORGED}')),
 m AS (
-    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns
+    FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM t) GROUP BY conv_id, alone),
 g AS (
     SELECT conv_id, turns, list_transform(turns, lambda x: x.role) AS roles,
         array_to_string(list_transform(turns, lambda x: x.role || chr(10) || x.text || chr(10)), '') AS whole,
@@ -36,21 +53,13 @@ t AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)""",
-    "op7_quality_rules": r"""
-WITH d AS (
-    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
-v AS (
-    SELECT rid, i, array_to_string(w[i : i + 7], ' ') AS key FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
-r AS (
-    SELECT rid, count(DISTINCT p) AS n FROM (
-        SELECT rid, unnest(range(i, i + 8)) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, key) AS c FROM v) WHERE c > 1) GROUP BY rid),
-m AS (
-    SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-        coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_caps FROM d LEFT JOIN r USING (rid)),
-f AS (
-    SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
-        + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 20 * n_words OR word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_caps > n_words THEN 32 ELSE 0 END AS failure_bits FROM m)
+    "op7_quality_rules": _LEDGER
+    + """
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
     failure_bits % 4 > 0 AS base_failed, failure_bits = 0 AS kept, failure_bits::BIGINT AS failure_bits FROM f""",
+    "quality_rule_ablations": _LEDGER
+    + """
+SELECT version, rule, count(*) FILTER (failure_bits & bit > 0) AS failed, count(*) FILTER (failure_bits & mask = bit) AS rejected_alone FROM f,
+    (VALUES ('few_words', 1), ('repeated_passages', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16), ('capitals', 32)) r(rule, bit), (VALUES (1, 15), (2, 63)) p(version, mask)
+WHERE mask & bit > 0 GROUP BY ALL""",
 }

@@ -1,9 +1,10 @@
 """Quality rules as a ledger of failure bits and measurements.
 
 Every rule is evaluated once: a document's measurements are taken in one pass
-over its whole text and each rule adds one bit to `failure_bits`. Policies are
-versioned rows of masks over those bits; applying one, comparing versions and
-ablating single rules are bitwise work on the ledger alone, without the texts.
+over its whole text and each rule adds one bit to `failure_bits`. The ledger is
+stored by the version of its rules and read back. Policies are versioned rows of
+masks over those bits; applying one, comparing versions and ablating single rules
+are bitwise work on the stored ledger alone, without the texts.
 
 Defined results: a null or empty text has no words, fails `few_words` and no
 ratio rule. Repeated rows give repeated results, an empty table an empty ledger.
@@ -12,24 +13,28 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zephyrframe.llm.common import scratch_path, unused
+
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps"]
-#: Rules by bit: name and the condition on the measurements that makes a document fail.
-RULES = [
-    ("few_words", "n_words < 20"),
-    ("repeated_passages", "100 * n_repeat_words > 30 * n_words"),
-    ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
-    ("word_length", "word_chars > 20 * n_words or word_chars < 2 * n_words"),
-    ("capitals", "2 * n_caps > n_words"),
+#: Rules by bit: name and the condition on the measurements (a column by name) that makes a document fail.
+RULES: list[tuple[str, Callable[[Callable[[str], Column]], Column]]] = [
+    ("few_words", lambda m: m("n_words") < 20),
+    ("repeated_passages", lambda m: 100 * m("n_repeat_words") > 30 * m("n_words")),
+    ("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
+    ("duplicate_lines", lambda m: 100 * m("n_dup_lines") > 50 * m("n_lines")),
+    ("word_length", lambda m: (m("word_chars") > 20 * m("n_words")) | (m("word_chars") < 2 * m("n_words"))),
+    ("capitals", lambda m: 2 * m("n_caps") > m("n_words")),
 ]
+#: Version of the rules above, by which ledgers are stored; any change of a rule takes the next one.
+RULES_VERSION = 1
 BASE = ("few_words", "repeated_passages")
 #: Policies by name and version: the rules that reject.
 POLICIES = [
@@ -90,24 +95,48 @@ def measure(text: str) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines), sum(map(bytes.isupper, words))
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure(v.as_py() or "") for v in batch.column(1)]
-        columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(MEASURES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *MEASURES])
+def failure_bits(measured: Callable[[str], Column]) -> Column:
+    """One bit for each rule that the measurements fail."""
+    return sum((F.when(rule(measured), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)), F.lit(0)).cast("long")
 
 
-def failure_bits() -> Column:
-    """One bit for each rule that the measurements fail."""
-    return sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)), F.lit(0)).cast("long")
+def with_measures(docs: DataFrame, text_col: str = "text", name: str = "measures") -> DataFrame:
+    """The rows of `docs` with a struct of MEASURES under an unused name, taken in one pass where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [measure(v.as_py() or "") for v in batch.column(text_col)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(MEASURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, MEASURES)], [*batch.schema.names, name])
+
+    kind = "struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ">"
+    schema = docs.sparkSession.createDataFrame([], docs.schema).withColumn(name, F.lit(None).cast(kind)).schema
+    return docs.mapInArrow(run, schema)
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the measurements and failure_bits; one row for each row, no shuffle."""
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    measured = rows.mapInArrow(_measure_batches, f"id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
-    return measured.withColumn("failure_bits", failure_bits()).withColumnRenamed("id", id_col)
+    book = with_measures(rows).select(F.col("id").alias(id_col), "measures.*")
+    return book.withColumn("failure_bits", failure_bits(F.col))
+
+
+def store_ledger(book: DataFrame, path: str) -> None:
+    """Write a ledger below `path` under the version of its rules; that version's earlier ledger is replaced."""
+    book.write.mode("overwrite").parquet(f"{path}/rules_version={RULES_VERSION}")
+
+
+def read_ledger(spark: SparkSession, path: str, rules_version: int = RULES_VERSION) -> DataFrame:
+    """The stored ledger of a version of the rules."""
+    return spark.read.parquet(f"{path}/rules_version={rules_version}")
+
+
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The ledger of `docs`, written below `path` (or the shared folder) and read back, so that no policy reads a text again."""
+    spark = docs.sparkSession
+    path = path or scratch_path(spark, "ledger")
+    store_ledger(ledger(docs, id_col, text_col), path)
+    return read_ledger(spark, path)
 
 
 def policy_table(spark: SparkSession) -> DataFrame:
@@ -135,23 +164,8 @@ def ablations(book: DataFrame, policy: str = "production", version: int | None =
 
 
 def keep_passing(docs: DataFrame, text_col: str = "text", policy: str = "production", version: int | None = None) -> DataFrame:
-    """The rows of `docs` that pass a policy, all columns kept; judged where they are read."""
+    """The rows of `docs` that pass a policy, all columns kept; the bits are the ledger's, judged where rows are read."""
     bits = mask("base") | mask(policy, version)
-    spark = docs.sparkSession
-    fields = [f"__m_{m}" for m in MEASURES]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure(v.as_py() or "") for v in batch.column(text_col)]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *fields])
-
-    schema = spark.createDataFrame([], docs.schema).selectExpr("*", *[f"0L as {f}" for f in fields]).schema
-    measured = docs.mapInArrow(run, schema)
-    failed = F.lit(0)
-    for k, (_, rule) in enumerate(RULES):
-        if bits >> k & 1:
-            for m in MEASURES:
-                rule = rule.replace(m, f"__m_{m}")
-            failed = failed + F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0))
-    return measured.filter(failed == 0).drop(*fields)
+    (name,) = unused(docs, "__measures")
+    failed = failure_bits(lambda m: F.col(f"`{name}`.{m}"))
+    return with_measures(docs, text_col, name).filter(failed.bitwiseAND(F.lit(bits)) == 0).drop(name)

@@ -47,11 +47,18 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements, failure bits and the verdict of the production policy for each document."""
-    book = quality_rules.ledger(read_table(spark, sf_dir, "documents"))
+    """Measurements, failure bits and the verdict of the production policy for each document, from the stored ledger."""
+    book = quality_rules.stored_ledger(read_table(spark, sf_dir, "documents"))
     return quality_rules.apply_policy(book, "production").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each version of the production policy and each rule: documents that fail it, and those that it alone rejects; one ledger serves both."""
+    book = quality_rules.stored_ledger(read_table(spark, sf_dir, "documents"))
+    versions = [quality_rules.ablations(book, "production", v).select(F.lit(v).alias("version"), "rule", "failed", "rejected_alone") for v in (1, 2)]
+    return versions[0].unionByName(versions[1])
+
+
 def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document by two compressors; a fifth of the ids is held out from training."""
     docs = read_table(spark, sf_dir, "documents")
@@ -72,4 +79,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op4_simhash, op5_decontamination, op6_secrets, op7_quality_rules, op8_quality_scores, op9_sharding, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op4_simhash, op5_decontamination, op6_secrets, op7_quality_rules, op8_quality_scores, op9_sharding, op10_token_files, quality_rule_ablations)}
