@@ -57,12 +57,12 @@ def test_predictions_and_fields(spark, house, tmp_path):
     house.predict(posts, CUTOFF, back)
     ready = house.table("predictions").filter("status = 'ready'")
     assert ready.count() == eligible and ready.filter("predicted_value < 0 or lower_bound > upper_bound").count() == 0
-    house.build_fields(posts, CUTOFF)
+    house.build_fields(posts, [CUTOFF])
     stored = house.table("frames")
     kinds = {(r[0], r[1]) for r in stored.select("data_kind", "substance_code").distinct().collect()}
     assert kinds == {(k, g) for k in ("analysis", "forecast") for g in FAST.gases}
     n = stored.count()
-    house.build_fields(posts, CUTOFF)
+    house.build_fields(posts, [CUTOFF])
     assert house.table("frames").count() == n
     assert house.missing_cutoffs(posts, CUTOFF).count() >= 0
 

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from zephyrframe.settings import Settings
@@ -23,6 +24,24 @@ def test_stream_of_hours_is_upserted(spark, tmp_path):
     hourly_stream.upsert_hourly(stream, target, str(tmp_path / "cp")).awaitTermination()
     got = {r["bucket_start"].hour: (r["filtered_hourly_mean"], r["samples_count"]) for r in spark.read.parquet(target).collect()}
     assert got == {0: (3.0, 3), 1: (5.0, 1)}
+    first = spark.read.parquet(target).filter(F.hour("bucket_start") == 0).first()
+    assert (first["raw_hourly_mean"], first["raw_hourly_median"], first["hourly_p95"], first["hourly_min"]) == pytest.approx((3.0, 3.0, 4.8, 1.0))
+
+
+def test_median_of_three_equals_brute_force():
+    import random
+    from statistics import median
+
+    import numpy as np
+
+    r = random.Random(1)
+    values = [r.random() for _ in range(200)]
+    place, places = 0, []
+    for _ in values:
+        place = 0 if r.random() < 0.2 else place + 1 if places else 0
+        places.append(place)
+    want = [median(values[i - min(p, 2) : i + 1]) for i, p in enumerate(places)]
+    assert hourly_stream.median_of_three(np.array(values), np.array(places)).tolist() == want
 
 
 def test_causal_median_keeps_state_over_batches(spark, tmp_path):

@@ -3,8 +3,12 @@
     python -m zephyrframe.cli refresh --warehouse PATH --samples PATH --aggregated PATH [--cutoff T] [--full]
     python -m zephyrframe.cli weather --warehouse PATH --posts PATH --url URL (--live | --history)
     python -m zephyrframe.cli train --warehouse PATH --posts PATH
-    python -m zephyrframe.cli evaluate --warehouse PATH --posts PATH
-    python -m zephyrframe.cli run --warehouse PATH --posts PATH [--cutoff T]
+    python -m zephyrframe.cli evaluate --warehouse PATH --posts PATH [--holdouts]
+    python -m zephyrframe.cli run --warehouse PATH --posts PATH --samples PATH --aggregated PATH [--url URL] [--train-if-missing]
+    python -m zephyrframe.cli run --warehouse PATH --posts PATH --cutoff T [--train-if-missing]
+
+`run` refreshes, finds missing cutoffs, syncs live weather, predicts and builds fields;
+with a cutoff it predicts and builds that one alone.
 """
 
 from __future__ import annotations
@@ -13,10 +17,10 @@ import argparse
 import json
 from datetime import datetime
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from zephyrframe.operators import evaluation, model
+from zephyrframe.operators import model
+from zephyrframe.plans import backtest
 from zephyrframe.plans.job import Warehouse, current_cutoff, training_frame
 from zephyrframe.settings import Settings
 from zephyrframe.sources import readings, weather_feed
@@ -29,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--warehouse", required=True)
     for name in ("--samples", "--aggregated", "--posts", "--url", "--cutoff", "--start-date", "--end-date"):
         top.add_argument(name)
-    for name in ("--full", "--live", "--history"):
+    for name in ("--full", "--live", "--history", "--holdouts", "--train-if-missing"):
         top.add_argument(name, action="store_true")
     return top
 
@@ -38,10 +42,34 @@ def load_model(path: str) -> model.Artifact | None:
     """The current model, or None where none was stored."""
     try:
         return model.Artifact.load(f"{path}/model")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error):
-            return None
-        raise
+    except FileNotFoundError:
+        return None
+
+
+def sync_weather(house: Warehouse, posts: DataFrame, url: str, kind: str, params: dict) -> None:
+    """Fetch weather of all located posts, one request and partition each, and upsert it."""
+    places = [[r[0], r[1], r[2]] for r in readings.located_posts(posts).collect()]  # one request each
+    house.spark.dataSource.register(weather_feed.WeatherFeed)
+    options = {"url": url, "posts": json.dumps(places), "params": json.dumps(params), "timeout": house.settings.feed_timeout_seconds}
+    house.upsert_weather(weather_feed.flatten_payloads(house.spark.read.format("weather_feed").options(**options).load(), kind))
+
+
+LIVE = ("live_forecast", {"past_days": 2, "forecast_days": 3})
+
+
+def features(house: Warehouse, posts: DataFrame) -> DataFrame:
+    """The labelled training frame of the stored tables."""
+    return training_frame(house.table("hourly"), readings.active_posts(posts), readings.weather(house.table("weather"), "historical_forecast"), house.settings)
+
+
+def train(house: Warehouse, posts: DataFrame) -> dict:
+    """Fit a candidate and store it if it may replace the current model; a model of another contract doesn't compete."""
+    current = load_model(house.path)
+    mae = current.metadata["metrics"]["overall"]["mae"] if model.compatible(current, house.settings) else None
+    artifact, found = model.train(features(house, posts), mae, house.settings)
+    if artifact is not None:
+        artifact.save(f"{house.path}/model")
+    return found
 
 
 def main(arguments: list[str] | None = None) -> dict:
@@ -52,59 +80,36 @@ def main(arguments: list[str] | None = None) -> dict:
     house = Warehouse(spark, given.warehouse, settings)
     cutoff = datetime.fromisoformat(given.cutoff) if given.cutoff else current_cutoff(settings=settings)
     posts = spark.read.parquet(given.posts) if given.posts else None
+    url = given.url or settings.feed_url
     report: dict = {"status": "completed", "data_cutoff": cutoff.isoformat()}
     if given.command == "refresh":
         house.refresh_hourly(spark.read.parquet(given.samples), spark.read.parquet(given.aggregated), cutoff, given.full)
     elif given.command == "weather":
-        kind = "live_forecast" if given.live else "historical_forecast"
-        places = [[r[0], r[1], r[2]] for r in readings.located_posts(posts).collect()]  # one request each
-        params = {"past_days": 2, "forecast_days": 3}
+        kind, params = LIVE
         if not given.live:
             span = weather_feed.history_span(house.table("hourly")).first()
-            params = {"start_date": given.start_date or str(span["start_date"]), "end_date": given.end_date or str(span["end_date"])}
-        spark.dataSource.register(weather_feed.WeatherFeed)
-        feed = spark.read.format("weather_feed").options(url=given.url, posts=json.dumps(places), params=json.dumps(params), timeout=settings.feed_timeout_seconds).load()
-        house.upsert_weather(weather_feed.flatten_payloads(feed, kind))
-    elif given.command in ("train", "evaluate"):
-        frame = training_frame(house.table("hourly"), readings.active_posts(posts), readings.weather(house.table("weather"), "historical_forecast"), settings)
-        if given.command == "train":
-            current = load_model(given.warehouse)
-            mae = current.metadata["metrics"]["overall"]["mae"] if model.compatible(current, settings) else None
-            artifact, found = model.train(frame, mae, settings)
-            if artifact is not None:
-                artifact.save(f"{given.warehouse}/model")
-            report |= found
+            kind, params = "historical_forecast", {"start_date": given.start_date or str(span["start_date"]), "end_date": given.end_date or str(span["end_date"])}
+        sync_weather(house, posts, url, kind, params)
+    elif given.command == "train":
+        report |= train(house, posts)
+    elif given.command == "evaluate":
+        frame = features(house, posts)
+        if given.holdouts:
+            report |= {"rolling_windows": backtest.rolling_origins(frame, settings), "station_holdouts": backtest.station_holdouts(frame, settings)}
         else:
-            report["windows"] = evaluate(frame, settings)
+            report |= backtest.daily_windows(frame, settings)
     else:
-        cutoffs = [r[0] for r in house.missing_cutoffs(posts, cutoff).collect()] if given.cutoff is None else [cutoff]
+        if given.train_if_missing and not model.compatible(load_model(given.warehouse), settings):
+            report["training"] = train(house, posts)
         artifact = load_model(given.warehouse)
-        for at in sorted(cutoffs):
-            house.predict(posts, at, artifact)
-        if cutoffs:
-            house.build_fields(posts, max(cutoffs))
-        report["rebuilt_cutoffs"] = [str(c) for c in sorted(cutoffs)]
+        if given.cutoff:
+            report |= house.run_cutoffs(posts, [cutoff], artifact)
+        else:
+            sync = (lambda: sync_weather(house, posts, url, *LIVE)) if url else None
+            report |= house.run_due(posts, spark.read.parquet(given.samples), spark.read.parquet(given.aggregated), cutoff, artifact, sync)
     print(json.dumps(report, ensure_ascii=False, indent=2, default=str))
     return report
 
 
-def evaluate(frame, settings: Settings) -> list[dict]:
-    """Models fitted before each of the last three days, against persistence and the baseline on identical rows."""
-    rows = model.with_correction_target(frame).withColumn("persistence", evaluation.persistence(settings)).persist()
-    last = rows.agg(F.max("target_start").alias("last_hour"))
-    out = []
-    for window in sorted(evaluation.daily_windows(last).collect()):  # three rows
-        train = rows.filter(F.col("target_start") < F.lit(window["train_before"]))
-        test = rows.filter((F.col("target_start") >= F.lit(window["start"])) & (F.col("target_start") < F.lit(window["stop"])))
-        n = train.count()
-        if n < settings.min_train_rows or test.isEmpty():
-            raise ValueError(f"too few rows for the window from {window['start']}")
-        predicted = model.evaluate(test, model.fit(train.drop("persistence"), settings))
-        by_gas = evaluation.compare_predictors(predicted, {"model": "predicted", "persistence": "persistence", "physical": "physical_baseline"}).collect()
-        out.append({"start": window["start"], "stop": window["stop"], "train_rows": n, "by_gas": [r.asDict() for r in by_gas]})
-    rows.unpersist()
-    return out
-
-
 if __name__ == "__main__":
     main()

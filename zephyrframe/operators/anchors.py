@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zephyrframe.functions.expressions import clip0, shift_hours
-from zephyrframe.operators.weather import ANCHOR_WEATHER, anchor_columns
+from zephyrframe.operators.weather import ANCHOR_WEATHER, anchor_columns, prefer_live
 
 ANCHOR = ("substance_code", "hour_start", "monitoring_post_id", "latitude", "longitude", "source", "value", "samples_count", "lower_bound", "upper_bound", *ANCHOR_WEATHER)
 
@@ -33,6 +33,12 @@ def nowcast_anchors(hourly: DataFrame, posts: DataFrame, live: DataFrame) -> Dat
     return rows.join(anchor_columns(live, "hour_start"), ["monitoring_post_id", "hour_start"], "left").select(*ANCHOR)
 
 
+def carried_anchors(hourly: DataFrame, posts: DataFrame, live: DataFrame) -> DataFrame:
+    """Nowcast anchors that keep the weather of their own hour where a station has none for the next."""
+    rows = analysis_anchors(hourly, posts, live).withColumn("hour_start", shift_hours(F.col("hour_start"), 1))
+    return prefer_live(rows, live.withColumnRenamed("bucket_start", "hour_start"), ("monitoring_post_id", "hour_start")).select(*ANCHOR)
+
+
 def forecast_anchors(predictions: DataFrame, hourly: DataFrame, posts: DataFrame, live: DataFrame) -> DataFrame:
     """Ready predictions whose post was measured an hour before the cutoff, with the cutoff's weather; also data_cutoff."""
     ready = predictions.filter("status = 'ready' and predicted_value is not null")

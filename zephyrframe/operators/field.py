@@ -472,11 +472,12 @@ def fold_hours(rows: pd.DataFrame, settings: Settings, prior: dict | None = None
                 held[target] = _stored(later)
 
 
-def chain_fields(analysis: DataFrame, nowcast: DataFrame, ahead: DataFrame | None, live: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def chain_fields(analysis: DataFrame, nowcast: DataFrame, ahead: DataFrame | None, live: DataFrame, settings: Settings = DEFAULTS, prior: DataFrame | None = None) -> DataFrame:
     """All frames of all gases: substance_code, hour_start, data_kind and the frame's columns.
 
     Mean weather over each set of stations is joined beforehand; where two frames
-    share a key, the later one of the fold stays.
+    share a key, the later one of the fold stays. `prior` are stored forecasts by
+    substance_code and hour_start; an analysis takes that of its hour unless the fold made a later one.
     """
     parts = []
     hour = F.expr("INTERVAL 1 HOUR")
@@ -495,17 +496,24 @@ def chain_fields(analysis: DataFrame, nowcast: DataFrame, ahead: DataFrame | Non
     for p in parts[1:]:
         united = united.unionByName(p)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
         last = {}
-        for at, kind, frame in fold_hours(rows, settings):
+        held = {} if before is None else {at: part for at, part in before.groupby("hour_start")}
+        for at, kind, frame in fold_hours(rows, settings, held) if len(rows) else ():
             last[at, kind] = frame.assign(hour_start=at, data_kind=kind)
         if not last:
             return pd.DataFrame(columns=["substance_code", "hour_start", "data_kind", *FRAME_TYPES])
         out = pd.concat(last.values(), ignore_index=True).assign(substance_code=rows["substance_code"].iloc[0])
         return out[["substance_code", "hour_start", "data_kind", *FRAME_TYPES]]
 
+    schema = f"substance_code string, hour_start timestamp, data_kind string, {FRAME_SCHEMA}"
     # A number given here keeps gases apart that adaptive execution would put into one task.
-    out = united.repartition(16, "substance_code").groupBy("substance_code").applyInPandas(run, f"substance_code string, hour_start timestamp, data_kind string, {FRAME_SCHEMA}")
+    by_gas = united.repartition(16, "substance_code").groupBy("substance_code")
+    if prior is None:
+        out = by_gas.applyInPandas(lambda rows: run(rows), schema)
+    else:
+        earlier = prior.select("substance_code", "hour_start", *FRAME_TYPES).repartition(16, "substance_code").groupBy("substance_code")
+        out = by_gas.cogroup(earlier).applyInPandas(lambda rows, before: run(rows, before), schema)
     floats = [c for c, t in FRAME_TYPES.items() if t in ("float", "double")]
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 

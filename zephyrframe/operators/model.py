@@ -35,16 +35,32 @@ class Artifact:
         return self.model.transform(prepared(frame, self.features)).withColumn(name, F.col("__prediction")).drop("__prediction", "__features", "__code", *[f"__f_{c}" for c in self.features])
 
     def save(self, path: str) -> None:
-        """Model and metadata below a path."""
-        self.model.write().overwrite().save(f"{path}/model")
+        """Model and metadata as the next version below a path; a version counts once its metadata, written last, is whole."""
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps({"features": self.features, "metadata": self.metadata}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        old = versions(spark, path)
+        folder = f"{path}/v{max(old, default=0) + 1:08d}"
+        self.model.write().overwrite().save(f"{folder}/model")
+        spark.createDataFrame([(json.dumps({"features": self.features, "metadata": self.metadata}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
 
     @classmethod
     def load(cls, path: str) -> Artifact:
-        """The artifact stored below a path."""
-        about = json.loads(SparkSession.getActiveSession().read.text(f"{path}/about").first()[0])
-        return cls(PipelineModel.load(f"{path}/model"), about["features"], about["metadata"])
+        """The last whole version stored below a path."""
+        spark = SparkSession.getActiveSession()
+        found = versions(spark, path)
+        if not found:
+            raise FileNotFoundError(f"no model below {path}")
+        folder = f"{path}/v{max(found):08d}"
+        about = json.loads(spark.read.text(f"{folder}/about").first()[0])
+        return cls(PipelineModel.load(f"{folder}/model"), about["features"], about["metadata"])
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions below a path whose metadata is whole."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = files.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(root)] if system.exists(root) else []
+    return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and system.exists(files.Path(f"{path}/{n}/about/_SUCCESS"))]
 
 
 def prepared(frame: DataFrame, features: Sequence[str]) -> DataFrame:

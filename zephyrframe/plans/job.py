@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
@@ -15,6 +17,9 @@ from zephyrframe.settings import DEFAULTS, Settings
 from zephyrframe.sources import frame_store, readings, store
 
 HOURLY_PARTS = ("day",)
+PREDICTED = "monitoring_post_id long, substance_code string, generated_at timestamp, data_cutoff timestamp, target_start timestamp, target_end timestamp, predicted_value double, lower_bound double, upper_bound double, status string, error_message string, updated_at timestamp, day int"
+GENERATED = "substance_code string, hour_start timestamp, data_kind string, generated_at timestamp"
+log = logging.getLogger(__name__)
 
 
 def training_frame(table: DataFrame, posts: DataFrame, weather: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -60,14 +65,22 @@ class Warehouse:
         """A stored table."""
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def refresh_hourly(self, samples: DataFrame, aggregated: DataFrame, cutoff: datetime, full: bool = False) -> None:
-        """Aggregate the window before the cutoff again and upsert it; late samples within the window count."""
+    def stored(self, name: str, schema: str) -> DataFrame:
+        """A stored table, or none of its rows where it was never written."""
+        path = f"{self.path}/{name}"
+        return self.table(name) if store.exists(self.spark, path) else self.spark.createDataFrame([], schema)
+
+    def refresh_hourly(self, samples: DataFrame, aggregated: DataFrame, cutoff: datetime, full: bool = False, tie: str | None = None) -> None:
+        """Aggregate the window before the cutoff again and upsert it; late samples within the window count.
+
+        `tie` names the sample's id, which orders samples of one instant.
+        """
         end = moment(cutoff)
         start = None if full else shift_hours(end, -self.settings.lookback_hours)
         # One hour more of samples, so the first median of the window has its predecessors.
         raw = readings.within(samples, "timestamp", None if full else shift_hours(start, -1), end)
         coming = readings.within(aggregated, "bucket_start", start, end)
-        internal = readings.within(hourly.build_hourly(raw, self.settings), "bucket_start", start)
+        internal = readings.within(hourly.build_hourly(raw, self.settings, tie), "bucket_start", start)
         # Where both have a key, the aggregated row wins.
         rows = store.latest_by_key(readings.HOURLY_KEY, internal, hourly.from_aggregated(coming))
         store.upsert(self.spark, f"{self.path}/hourly", with_day(store.normalize_negatives(rows)), readings.HOURLY_KEY, HOURLY_PARTS)
@@ -76,47 +89,105 @@ class Warehouse:
         """Insert or replace weather by post, hour and kind."""
         store.upsert(self.spark, f"{self.path}/weather", with_day(rows), ("monitoring_post_id", "bucket_start", "data_kind"), ("data_kind", "day"))
 
-    def predict(self, posts: DataFrame, cutoff: datetime, artifact: model.Artifact | None) -> None:
-        """Predictions of a cutoff, with their status; those of posts without a latest measurement go."""
-        at = moment(cutoff)
-        table = self.table("hourly")
-        live = readings.weather(self.table("weather"), "live_forecast")
-        rows = inference_frame(table, readings.active_posts(posts), live, at, self.settings)
-        if artifact is None:
-            marked = predictions.with_status(rows, "unavailable", "no trained model")
-        else:
-            intervals = self.spark.createDataFrame([(g, float(i["lower"]), float(i["upper"])) for g, i in artifact.metadata.get("residual_intervals", {}).items()], "substance_code string, lower double, upper double")
-            marked = predictions.with_status(predictions.add_bounds(artifact.predict(rows), intervals), "ready")
-        store.upsert(self.spark, f"{self.path}/predictions", with_day(marked, "target_start"), predictions.KEY, ("day",))
-        stored = self.table("predictions")
+    def remove_unmeasured(self, cutoff: datetime) -> None:
+        """Delete predictions of the cutoff's next hour whose post had no measurement in the hour before it."""
+        path, at = f"{self.path}/predictions", moment(cutoff)
+        if not store.exists(self.spark, path):
+            return
         day = F.floor(F.unix_micros(shift_hours(at, 1)) / 86_400_000_000).cast("int")
-        kept = predictions.without_unmeasured(stored.filter(F.col("day") == day), table, at)
-        store.write_partitions(kept, f"{self.path}/predictions", ("day",))
-
-    def build_fields(self, posts: DataFrame, cutoff: datetime) -> None:
-        """Fields of the retention window up to a cutoff, folded in order of time; older frames go."""
-        at = moment(cutoff)
-        start = shift_hours(at, -self.settings.retention_hours - 2)
-        active = F.col("substance_code").isin(*self.settings.gases)
-        recent = readings.within(self.table("hourly"), "bucket_start", start, at).filter(active)
-        live = readings.weather(self.table("weather"), "live_forecast", start)
+        aimed = self.table("predictions").filter(F.col("day") == day)
+        store.rewrite(self.spark, path, predictions.without_unmeasured(aimed, self.table("hourly"), at), aimed, ("day",))
+
+    def _mark(self, rows: DataFrame, status: str, error: str | None = None) -> None:
+        marked = with_day(predictions.with_status(rows, status, error), "target_start")
+        store.upsert(self.spark, f"{self.path}/predictions", marked, predictions.KEY, ("day",))
+
+    def predict(self, posts: DataFrame, cutoff: datetime, artifact: model.Artifact | None) -> dict[str, int]:
+        """Predictions of a cutoff, by gas the number made ready.
+
+        Rows are marked running before the model runs; then they are ready, or
+        unavailable without a model, or all failed with what it raised.
+        """
+        self.remove_unmeasured(cutoff)
+        counts = dict.fromkeys(self.settings.gases, 0)
+        live = readings.weather(self.table("weather"), "live_forecast")
+        rows = inference_frame(self.table("hourly"), readings.active_posts(posts), live, moment(cutoff), self.settings).persist()
         try:
-            ahead = anchors.forecast_anchors(self.table("predictions").filter((F.col("data_cutoff") <= at) & active), recent, posts, live)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            ahead = None
-        cells = field.chain_fields(anchors.analysis_anchors(recent, posts, live), anchors.nowcast_anchors(recent, posts, live), ahead, live, self.settings)
-        frame_store.replace_frames(self.spark, f"{self.path}/frames", frame_store.retained(cells, at, self.settings.retention_hours))
-        old = F.col("hour").cast("string") < F.date_format(shift_hours(at, -self.settings.retention_hours), "yyyyMMddHH")
-        store.drop_partitions(self.spark, f"{self.path}/frames", old, ("substance_code", "hour", "data_kind"))
+            if rows.isEmpty():
+                return counts
+            self._mark(rows, "running")
+            if artifact is None:
+                self._mark(rows, "unavailable", "no trained model")
+                return counts
+            try:
+                intervals = self.spark.createDataFrame([(g, float(i["lower"]), float(i["upper"])) for g, i in artifact.metadata.get("residual_intervals", {}).items()], "substance_code string, lower double, upper double")
+                self._mark(predictions.add_bounds(artifact.predict(rows), intervals), "ready")
+            except Exception as error:
+                self._mark(rows, "failed", str(error))
+                return counts
+            return counts | {r["substance_code"]: r["count"] for r in rows.groupBy("substance_code").count().collect()}
+        finally:
+            rows.unpersist()
+
+    def build_fields(self, posts: DataFrame, cutoffs: Sequence[datetime], generated_at: datetime | None = None) -> dict[str, int]:
+        """Fields of cutoffs, folded in order of time from the stored forecast of their first hour; by kind the number of cells.
+
+        Analyses and forecasts of these cutoffs that came out empty are deleted; a
+        nowcast that came out empty leaves what was forecast before. Frames older
+        than the retention time before the last cutoff go.
+        """
+        path, gases = f"{self.path}/frames", self.settings.gases
+        first, last = moment(min(cutoffs)), moment(max(cutoffs))
+        start = shift_hours(first, -1)
+        active = F.col("substance_code").isin(*gases)
+        recent = readings.within(self.table("hourly"), "bucket_start", start, last).filter(active)
+        live = readings.weather(self.table("weather"), "live_forecast", start)
+        made = self.stored("predictions", PREDICTED).filter((F.col("data_cutoff") >= first) & (F.col("data_cutoff") <= last) & active)
+        ahead = anchors.forecast_anchors(made, recent, posts, live)
+        prior = frame_store.stored_forecasts(self.table("frames"), start, last) if store.exists(self.spark, path) else None
+        cells = field.chain_fields(anchors.analysis_anchors(recent, posts, live), anchors.carried_anchors(recent, posts, live), ahead, live, self.settings, prior)
+        hour = timedelta(hours=1)
+        keys = [(g, int(at.timestamp()), kind) for c in map(_aware, cutoffs) for g in gases for at, kind in ((c - hour, "analysis"), (c + hour, "forecast"))]
+        wanted = self.spark.createDataFrame(keys, "substance_code string, seconds long, data_kind string").select("substance_code", F.timestamp_seconds("seconds").alias("hour_start"), "data_kind")
+        kept = frame_store.retained(cells, last, self.settings.retention_hours)
+        frame_store.replace_frames(self.spark, path, kept, wanted, None if generated_at is None else moment(generated_at))
+        counts = {"analysis": 0, "forecast": 0}
+        if store.exists(self.spark, path):
+            name = lambda at: F.date_format(at, "yyyyMMddHH")
+            store.drop_partitions(self.spark, path, F.col("hour").cast("string") < name(shift_hours(last, -self.settings.retention_hours)), ("substance_code", "hour", "data_kind"))
+            stored = self.table("frames").filter(F.col("hour").cast("string").between(name(start), name(shift_hours(last, 1))))
+            counts |= {r["data_kind"]: r["count"] for r in stored.groupBy("data_kind").count().collect()}
+        return counts
 
     def missing_cutoffs(self, posts: DataFrame, due: datetime) -> DataFrame:
         """Cutoffs whose fields are missing or stale."""
         start, end = catchup.catchup_bounds(moment(due), self.settings)
-        expected = catchup.expected_outputs(self.table("hourly"), posts, self.table("predictions"), start, moment(due), self.settings.gases)
-        stored = self.table("frames").select("substance_code", "hour_start", "data_kind", F.lit(None).cast("timestamp").alias("generated_at"))
-        return catchup.cutoffs_to_rebuild(expected, catchup.latest_frames(stored, start, end, self.settings.gases), moment(due))
+        expected = catchup.expected_outputs(self.table("hourly"), posts, self.stored("predictions", PREDICTED), start, moment(due), self.settings.gases)
+        frames_made = frame_store.generations(self.stored("frames", GENERATED))
+        return catchup.cutoffs_to_rebuild(expected, catchup.latest_frames(frames_made, start, end, self.settings.gases), moment(due))
+
+    def run_cutoffs(self, posts: DataFrame, cutoffs: Sequence[datetime], artifact: model.Artifact | None) -> dict:
+        """Predict each cutoff, then build the fields of all; the report counts predictions by gas and cells by kind."""
+        made = {c.isoformat(): self.predict(posts, c, artifact) for c in sorted(cutoffs)}
+        return {"status": "completed", "rebuilt_cutoffs": sorted(made), "predictions": made, "cells": self.build_fields(posts, cutoffs)}
+
+    def run_due(self, posts: DataFrame, samples: DataFrame, aggregated: DataFrame, due: datetime, artifact: model.Artifact | None, sync_weather: Callable[[], None] | None = None, tie: str | None = None) -> dict:
+        """The hourly run: refresh, find missing cutoffs, sync weather (a failure is logged, not raised), predict and build."""
+        self.refresh_hourly(samples, aggregated, due, tie=tie)
+        seconds = self.missing_cutoffs(posts, due).select(F.unix_seconds("cutoff")).collect()  # at most the catch-up hours
+        cutoffs = [datetime.fromtimestamp(r[0], timezone.utc) for r in seconds]
+        if not cutoffs:
+            return {"status": "up_to_date", "due_cutoff": due.isoformat(), "rebuilt_cutoffs": []}
+        if sync_weather is not None:
+            try:
+                sync_weather()
+            except Exception as error:
+                log.warning("weather wasn't synchronised: %s", error)
+        return {"due_cutoff": due.isoformat()} | self.run_cutoffs(posts, cutoffs, artifact)
+
+
+def _aware(value: datetime) -> datetime:
+    return value if value.tzinfo else value.replace(tzinfo=timezone.utc)
 
 
 def sample_hour(ts: Column, settings: Settings = DEFAULTS) -> Column:

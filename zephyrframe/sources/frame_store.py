@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zephyrframe.functions.expressions import shift_hours
 from zephyrframe.operators.field import FRAME_TYPES
-from zephyrframe.sources.store import drop_partitions, write_partitions
+from zephyrframe.sources.store import rewrite, staged
 
 FORMAT_VERSION = 1
 KEYS = ("substance_code", "hour_start", "data_kind")
@@ -32,29 +32,40 @@ def cell_hash() -> Column:
 
 
 def frame_hash(cells: DataFrame) -> DataFrame:
-    """keys, content_sha256, cell_count: the hash of a frame's sorted cell hashes."""
+    """keys, content_sha256, cell_count: the hash of a frame's sorted cell hashes. A frame is bounded by its mesh."""
     return cells.groupBy(*KEYS).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("cell_hash")), ""), 256).alias("content_sha256"), F.count("*").alias("cell_count"))
 
 
+def sealed(coded: DataFrame, generated_at: Column | None = None) -> DataFrame:
+    """Encoded cells with what their whole frame is checked by, and when it was made."""
+    stamp = F.current_timestamp() if generated_at is None else generated_at
+    return coded.join(frame_hash(coded), list(KEYS)).withColumn("generated_at", stamp)
+
+
 def decode(stored: DataFrame) -> DataFrame:
-    """Cells of stored frames; a wrong version or hash raises when rows are read."""
-    version = F.col("format_version") == FORMAT_VERSION
-    checked = stored.withColumn("grid_x", F.when(~version, F.raise_error(F.lit("unsupported frame format")).cast("int")).when(F.col("cell_hash") != cell_hash(), F.raise_error(F.lit("frame checksum does not match")).cast("int")).otherwise(F.col("grid_x")))
-    return checked.select(*KEYS, *FRAME_TYPES)
-
-
-def replace_frames(spark: SparkSession, path: str, cells: DataFrame, wanted: DataFrame | None = None) -> None:
-    """Write frames over their partitions; keys of `wanted` without cells are removed."""
-    if wanted is not None:
-        empty = wanted.select(*KEYS).distinct().join(cells.select(*KEYS).distinct(), list(KEYS), "left_anti")
-        gone = empty.select("substance_code", F.date_format("hour_start", "yyyyMMddHH").alias("hour"), "data_kind").collect()  # a few keys of one run
-        for row in gone:
-            try:
-                drop_partitions(spark, path, (F.col("substance_code") == row[0]) & (F.col("hour") == row[1]) & (F.col("data_kind") == row[2]), ["substance_code", "hour", "data_kind"])
-            except Exception as error:
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
-    write_partitions(encode(cells).withColumn("hour", F.date_format("hour_start", "yyyyMMddHH")), path, ["substance_code", "hour", "data_kind"])
+    """Cells of stored frames; a wrong version, a changed cell and a lost or doubled cell raise when rows are read."""
+    found = frame_hash(stored).withColumnsRenamed({"content_sha256": "__hash", "cell_count": "__count"})
+    rows = stored.join(found, list(KEYS))
+    fail = lambda text: F.raise_error(F.lit(text)).cast("int")
+    whole = (F.col("__hash") == F.col("content_sha256")) & (F.col("__count") == F.col("cell_count"))
+    first = F.when(F.col("format_version") != FORMAT_VERSION, fail("unsupported frame format"))
+    checked = first.when((F.col("cell_hash") != cell_hash()) | ~F.coalesce(whole, F.lit(False)), fail("frame checksum does not match")).otherwise(F.col("grid_x"))
+    return rows.withColumn("grid_x", checked).select(*KEYS, *FRAME_TYPES)
+
+
+def replace_frames(spark: SparkSession, path: str, cells: DataFrame, wanted: DataFrame | None = None, generated_at: Column | None = None) -> None:
+    """Write frames over their partitions; keys of `wanted` (a few rows) without cells are removed."""
+    parts = ["substance_code", "hour", "data_kind"]
+    hour = F.date_format("hour_start", "yyyyMMddHH").alias("hour")
+    # Cells come from a solver, so they are written once before they are hashed and stored.
+    named = sealed(staged(encode(cells), path), generated_at).withColumn("hour", hour)
+    touched = named.select(*parts) if wanted is None else wanted.select("substance_code", hour, "data_kind")
+    rewrite(spark, path, named, touched, parts)
+
+
+def generations(stored: DataFrame) -> DataFrame:
+    """substance_code, hour_start, data_kind, generated_at: when each stored frame was made."""
+    return stored.groupBy(*KEYS).agg(F.max("generated_at").alias("generated_at"))
 
 
 def read_frame(spark: SparkSession, path: str, gas: str, hour_start: Column, kind: str) -> DataFrame:
@@ -64,6 +75,13 @@ def read_frame(spark: SparkSession, path: str, gas: str, hour_start: Column, kin
     return decode(one)
 
 
+def stored_forecasts(stored: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The cells of forecasts from start to end (inclusive), checked: the priors of analyses of those hours."""
+    hour = lambda at: F.date_format(at, "yyyyMMddHH")
+    name = F.col("hour").cast("string")
+    return decode(stored.filter((F.col("data_kind") == "forecast") & (name >= hour(start)) & (name <= hour(end))))
+
+
 def expired(frames: DataFrame, cutoff: Column, retention_hours: int) -> DataFrame:
     """Rows of frames before the retention time."""
     return frames.filter(F.col("hour_start") < shift_hours(cutoff, -retention_hours))

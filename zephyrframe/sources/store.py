@@ -1,12 +1,15 @@
 """Stored tables: upserts, rewrites and removal over partitioned Parquet.
 
 Parquet has no MERGE. An upsert is the union of old and new rows with a
-priority, of which one row by key stays, written back by dynamic partition
-overwrite: only the partitions that new rows touch are read or written.
+priority, of which one row by key stays: only the partitions that new rows touch
+are read or written. What is to be written is first staged beside the table (in a
+folder that readers skip), then put in place by dynamic partition overwrite, so a
+table is never read and overwritten by one job and a job that fails loses nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,31 +44,73 @@ def normalize_negatives(hourly: DataFrame) -> DataFrame:
 
 
 def write_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    """Replace the partitions that `df` has rows for; rows of a partition go to one writer each."""
-    df.repartition(*[F.col(p) for p in partitions]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    """Replace the partitions that `df` has rows for; a large partition is split over writers by its size, small ones share one."""
+    df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was ever written below a path."""
+    try:
+        spark.read.parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return False
+        raise
+    return True
+
+
+def replaced(keys: Sequence[str], old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old rows with new rows in the place of those of equal key; columns that `new` lacks keep their old values.
+
+    One aggregation with partial maxima, as in `latest_by_key`.
+    """
+    given = [c for c in new.columns if c not in keys]
+    held = [c for c in old.columns if c not in new.columns]
+    version = F.col("__version")
+    united = old.withColumn("__version", F.lit(0)).unionByName(new.withColumn("__version", F.lit(1)), allowMissingColumns=True)
+    aggregates = [F.max_by(F.struct(*given), version).alias("__new")]
+    if held:
+        aggregates.append(F.max_by(F.struct(*held), F.when(version == 0, version)).alias("__old"))
+    rows = united.groupBy(*keys).agg(*aggregates)
+    of = lambda c: F.col(c) if c in keys else F.col(f"__old.{c}").alias(c) if c in held else F.col(f"__new.{c}").alias(c)
+    return rows.select(*[of(c) for c in [*old.columns, *[c for c in new.columns if c not in old.columns]]])
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partitions: Sequence[str]) -> None:
     """Insert new rows or replace those of equal key. `partitions` must be functions of the key."""
-    try:
+    coming = staged(new, path)
+    rows = coming
+    if exists(spark, path):
         old = spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        write_partitions(new, path, partitions)
-        return
-    touched = new.select(*partitions).distinct()
-    old = old.join(touched, list(partitions), "left_semi").select(*new.columns)
-    write_partitions(latest_by_key(keys, old, new), path, partitions)
+        touched = coming.select(*partitions).distinct()
+        rows = staged(replaced(keys, old.join(touched, list(partitions), "left_semi").select(*old.columns), coming), path)
+    write_partitions(rows, path, partitions)
+    _remove(spark, f"{path}/_staging")
+
+
+def rewrite(spark: SparkSession, path: str, kept: DataFrame, touched: DataFrame, partitions: Sequence[str]) -> None:
+    """Put `kept` in the place of the `touched` partitions (a few rows of their values); those with no row left go."""
+    rows = staged(kept, path)
+    emptied = touched.select(*partitions).distinct().join(rows.select(*partitions).distinct(), list(partitions), "left_anti").collect()
+    write_partitions(rows, path, partitions)
+    for values in emptied:
+        _remove(spark, f"{path}/" + "/".join(f"{p}={values[p]}" for p in partitions))
+    _remove(spark, f"{path}/_staging")
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """Rows written beside a table and read back; the next upsert or rewrite of the table clears them."""
+    folder = f"{path}/_staging/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
 
 
 def drop_partitions(spark: SparkSession, path: str, condition: Column, partitions: Sequence[str]) -> int:
     """Remove the partitions whose values meet a condition, by way of the file system Spark uses."""
     values = spark.read.parquet(path).select(*partitions).filter(condition).distinct()
-    jvm = spark.sparkContext._jvm
-    gone = 0
-    for row in values.toLocalIterator():
-        folder = "/".join(f"{p}={row[p]}" for p in partitions)
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
-        gone += bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
-    return gone
+    return sum(_remove(spark, f"{path}/" + "/".join(f"{p}={row[p]}" for p in partitions)) for row in values.toLocalIterator())
