@@ -6,10 +6,10 @@ before every 512th bit) leads to their places on the next level. So any token is
 read by a few array accesses, and a document's ids are one contiguous range on
 every level; nothing else is decoded.
 
-Texts are tokenised where they are read and never shuffled: their ids, 16 bits
-each where the vocabulary allows, are written, range-partitioned by document id
-(null ids last; rows of equal id by their text's hash) and written as Parquet
-rows that each hold one file of about `file_tokens` ids: the codes, the documents'
+Texts are tokenised where they are read and never shuffled. The ends of even ranges
+of document ids (null ids last; rows of equal id by their text's hash) are found
+from ids and hashes alone; the token ids, 16 bits each where the vocabulary allows,
+are then dealt to their range by one shuffle, sorted and written as Parquet rows that each hold one file of about `file_tokens` ids: the codes, the documents'
 ids and their ends. The codes are stored uncompressed, a file to a page, so a
 lookup reads one file's bytes as they are. A document is never split over files,
 so a file is larger than `file_tokens` only by its last document.
@@ -26,6 +26,7 @@ import os
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zephyrframe.llm.common import kept, materialize, scratch_path
+from zephyrframe.llm.common import kept, scratch_path
 from zephyrframe.llm.token_count import byte_symbols
 
 MAGIC = b"DAC1"
@@ -218,19 +219,21 @@ class WordEncoder:
         return out
 
 
-def _encode_batches(spec, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode_batches(spec, ends: list[tuple], end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # A worker that runs several tasks goes on with the pieces it knows.
     encoder = kept("WordEncoder", zlib.crc32(spec.value.encode()), lambda: WordEncoder(spec.value))
     width = struct.calcsize("<" + encoder.kind)
+    names = ["id", "digest", "part", "width", "tokens"]
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             some = batch.slice(at, 128)
+            parts = [bisect_left(ends, (k is None, k, h)) for k, h in zip(some.column(0).to_pylist(), some.column(1).to_pylist())]
             coded = encoder([v.as_py() or "" for v in some.column(2)], end_id)
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([width] * len(coded), pa.int32()), pa.array(coded, pa.binary())], ["id", "digest", "width", "tokens"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(parts, pa.int32()), pa.array([width] * len(coded), pa.int32()), pa.array(coded, pa.binary())], names)
 
 
 def _file_batches(file_tokens: int, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, start, size = [], 0, 0
+    held, start, size, last = [], 0, 0, None
     names = ["part", "start", "n_tokens", "ids", "ends", "codes"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary()]
 
@@ -244,6 +247,10 @@ def _file_batches(file_tokens: int, kind: pa.DataType, batches: Iterator[pa.Reco
 
     for batch in batches:
         for key, part, width, raw in zip(batch.column("id").to_pylist(), batch.column("part").to_pylist(), batch.column("width").to_pylist(), batch.column("tokens")):
+            if held and held[0][1] != part:
+                yield file()
+            start = start if part == last else 0
+            last = part
             ids = np.frombuffer(raw.as_buffer(), f"<u{width}")
             held.append((key, part, ids))
             size += len(ids)
@@ -263,9 +270,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
     kind = docs.schema[id_col].dataType
     arrow, named = to_arrow_type(kind), kind.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
-    coded = materialize(rows.mapInArrow(lambda batches: _encode_batches(spec, end_id, batches), f"id {named}, digest long, width int, tokens binary"))
     keys = [F.col("id").asc_nulls_last(), F.col("digest")]
-    dealt = coded.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "width", "tokens", F.spark_partition_id().alias("part"))
+    # One range end for each shuffle partition, whose number is a setting.
+    ranged = rows.select("id", "digest").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    last = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("last"))
+    ends = sorted(tuple(r["last"]) for r in last.collect())
+    coded = rows.mapInArrow(lambda batches: _encode_batches(spec, ends, end_id, batches), f"id {named}, digest long, part int, width int, tokens binary")
+    dealt = coded.repartitionById(max(1, len(ends)), "part").sortWithinPartitions("part", *keys).select("id", "width", "tokens", "part")
     files = dealt.mapInArrow(lambda batches: _file_batches(file_tokens, arrow, batches), f"part int, start long, n_tokens long, ids array<{named}>, ends array<long>, codes binary")
     # A page takes one file's codes, as they exceed a page's size, and holds them as they are.
     files.write.option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(path)
