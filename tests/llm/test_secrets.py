@@ -86,7 +86,7 @@ def test_markov_spans_equal_brute_force(spark):
     for d in S.secret_digests(S.find_secrets(docs, model=model)).collect():
         text = dict(rows)[d["doc_id"]]
         spans = base(text)
-        more = [(m.start(), 3, m.end()) for m in token.finditer(text) if len(m[0]) >= 16 and re.search("[A-Za-z]", m[0]) and ratio(model, m[0]) > model.threshold]
+        more = [(m.start(), 3, m.end()) for m in token.finditer(text) if len(m[0]) >= 16 and re.search("[A-Za-z]", m[0]) and re.search("[0-9+/_=]|[a-z].*[A-Z]", m[0]) and ratio(model, m[0]) > model.threshold]
         more = [m for m in more if not any(s < m[2] and m[0] < e for s, _, e in spans)]
         seen += len(more)
         assert d["spans"] == described(sorted(spans + more)), text
