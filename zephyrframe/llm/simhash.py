@@ -237,10 +237,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     keeps one row, of its smallest id the one of smallest digest. Rows with a null
     id come last, so they stay only in groups of nothing else, one for each group.
     """
-    found = materialize(classes(docs, id_col, text_col, radius).select("id", "digest", "root"))
+    found = classes(docs, id_col, text_col, radius).select("id", "digest", "root")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
     own, lead_id, lead = unused(docs, "__own", "__id", "__digest")
-    leads = materialize(found.groupBy("root").agg(first).select(F.col("first.id").alias(lead_id), F.col("first.digest").alias(lead)))
+    # Both branches below read the leads; their exchange is the same, so it is made once.
+    leads = found.groupBy("root").agg(first).select(F.col("first.id").alias(lead_id), F.col("first.digest").alias(lead))
     named = docs.withColumn(own, F.xxhash64(text_col))
     known = named.filter(F.col(id_col).isNotNull())
     # Rows of an id and digest are alike; naming both lets the join's partitioning serve both steps.
