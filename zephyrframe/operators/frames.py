@@ -19,10 +19,11 @@ STATS = ("raw_hourly_mean", "raw_hourly_median", "hourly_min", "hourly_max", "ho
 META = ("source_bucket", "data_cutoff", "target_start", "target_end", "target_value", "substance_code", "correction_target")
 
 
-def calendar(hourly: DataFrame, posts: DataFrame | None = None, end: Column | None = None) -> DataFrame:
+def calendar(hourly: DataFrame, posts: DataFrame | None = None, end: Column | None = None, ahead: int = 0) -> DataFrame:
     """monitoring_post_id, source_bucket: every hour from a post's first to its last (or to `end`).
 
     With `posts`, all of them get a calendar; those without data begin at the first hour of all.
+    With `ahead`, so many hours follow, and `is_due` tells the calendar's own hours from them.
     """
     spans = hourly.groupBy("monitoring_post_id").agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last"))
     if posts is not None:
@@ -31,7 +32,10 @@ def calendar(hourly: DataFrame, posts: DataFrame | None = None, end: Column | No
         spans = spans.withColumn("first", F.coalesce("first", "__earliest"))
     stop = F.col("last") if end is None else end
     spans = spans.withColumn("stop", stop).filter(F.col("first") <= F.col("stop"))
-    return spans.select("monitoring_post_id", F.explode(F.sequence("first", "stop", F.expr("INTERVAL 1 HOUR"))).alias("source_bucket"))
+    hours = F.explode(F.sequence(F.col("first"), shift_hours(F.col("stop"), ahead), F.expr("INTERVAL 1 HOUR"))).alias("source_bucket")
+    if not ahead:
+        return spans.select("monitoring_post_id", hours)
+    return spans.select("monitoring_post_id", "stop", hours).select("monitoring_post_id", "source_bucket", (F.col("source_bucket") <= F.col("stop")).alias("is_due"))
 
 
 def pivot_gases(hourly: DataFrame, gases: Sequence[str] = DEFAULTS.gases, value: str = "filtered_hourly_mean") -> DataFrame:
@@ -85,38 +89,64 @@ def own_gas(gases: Sequence[str], suffix: str) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col("substance_code"))
 
 
-def gas_frames(hourly: DataFrame, settings: Settings = DEFAULTS, targets: Sequence[str] | None = None, posts: DataFrame | None = None, end: Column | None = None) -> DataFrame:
-    """Lags of all gases, statistics and rolling features of the target: one row for post, hour and target gas.
+def dense_frame(hourly: DataFrame, settings: Settings = DEFAULTS, targets: Sequence[str] | None = None, posts: DataFrame | None = None, end: Column | None = None, weather: DataFrame | None = None) -> DataFrame:
+    """One row for a post's hour: lags of all gases and, for each target gas, a struct of its statistics, rolling features and label.
 
-    Pivot, calendar and windows are computed once for all targets, over rows
-    kept together by post; targets are then dealt out by one explode.
+    Values and weather meet the calendar on the same keys, and all windows share
+    one shuffle by post. Weather, which has one row for a post's hour, is joined once: its roles at the
+    cutoff and the target are those of one and two rows on, and so is the label; the calendar has two hours more for them.
     """
     gases, targets = settings.gases, tuple(targets or settings.gases)
+    keys = ["monitoring_post_id", "source_bucket"]
     known = hourly.filter(F.col("substance_code").isin(*gases))
     of = lambda g, c: F.max(F.when(F.col("substance_code") == g, F.col(c)))
     wide = known.groupBy("monitoring_post_id", F.col("bucket_start").alias("source_bucket")).agg(
         *[of(g, "filtered_hourly_mean").alias(f"gas_{g}") for g in gases],
         *[F.struct(*[of(g, s).alias(s) for s in STATS]).alias(f"stats_{g}") for g in targets],
     )
-    dense = calendar(known, posts, end).join(wide, ["monitoring_post_id", "source_bucket"], "left")
-    dense = add_lags(dense, gases)
-    rolled = {g: [(w, *rolling(f"gas_{g}", w)) for w in WINDOWS] for g in targets}
-    dense = dense.select("*", *[F.struct(*[c for w, m, s in rolled[g] for c in (m.alias(f"target_rolling_mean_{w}"), s.alias(f"target_rolling_std_{w}"))]).alias(f"rolled_{g}") for g in targets])
-    lags = [f"gas_{g}_lag_{n}" for g in gases for n in LAGS]
-    each = F.array(*[F.struct(F.lit(g).alias("substance_code"), F.col(f"stats_{g}").alias("stats"), F.col(f"rolled_{g}").alias("rolled")) for g in targets])
-    rows = dense.select("monitoring_post_id", "source_bucket", *lags, F.explode(each).alias("own"))
-    return rows.select("monitoring_post_id", "source_bucket", "own.substance_code", "own.stats.*", *lags, "own.rolled.*")
+    dense = calendar(known, posts, end, ahead=2).join(wide, keys, "left")
+    measures = [] if weather is None else list(WEATHER)
+    if measures:
+        dense = dense.join(weather.select("monitoring_post_id", F.col("bucket_start").alias("source_bucket"), *[F.col(m).alias(f"source_weather_{m}") for m in measures]), keys, "left")
+    hours = Window.partitionBy("monitoring_post_id").orderBy("source_bucket")
+    roles = [F.lead(f"source_weather_{m}", n).over(hours).alias(f"{role}_weather_{m}") for role, n in (("transport", 1), ("target", 2)) for m in measures]
+    lags = [F.lag(f"gas_{g}", n).over(hours).alias(f"gas_{g}_lag_{n}") for g in gases for n in LAGS]
+    rolled = [c.alias(f"rolled_{g}_{k}_{w}") for g in targets for w in WINDOWS for k, c in zip(("mean", "std"), rolling(f"gas_{g}", w))]
+    labels = [F.lead(f"gas_{g}", 2).over(hours).alias(f"label_{g}") for g in targets]
+    dense = dense.select("*", *lags, *rolled, *labels, *roles).filter("is_due")
+
+    def own(g: str) -> Column:
+        rolls = [F.col(f"rolled_{g}_{k}_{w}").alias(f"target_rolling_{k}_{w}") for w in WINDOWS for k in ("mean", "std")]
+        return F.struct(F.lit(g).alias("substance_code"), F.col(f"gas_{g}").alias("value"), F.col(f"stats_{g}").alias("stats"), F.struct(*rolls).alias("rolled"), F.col(f"label_{g}").alias("target_value")).alias(f"own_{g}")
+
+    shown = [f"{role}_weather_{m}" for role in ("source", "transport", "target") for m in measures]
+    return dense.select(*keys, *[f"gas_{g}_lag_{n}" for g in gases for n in LAGS], *shown, *[own(g) for g in targets])
+
+
+def deal_targets(dense: DataFrame, measured: bool = False) -> DataFrame:
+    """Each row of a dense frame once for each target gas, with that gas' struct as columns; `measured`: only gases with a value at the hour."""
+    structs = [c for c in dense.columns if c.startswith("own_")]
+    each = F.array(*structs)
+    each = F.filter(each, lambda own: own["value"].isNotNull()) if measured else each
+    rows = dense.withColumn("own", F.explode(each)).drop(*structs)
+    rest = [c for c in rows.columns if c not in ("monitoring_post_id", "source_bucket", "own")]
+    return rows.select("monitoring_post_id", "source_bucket", "own.substance_code", "own.stats.*", *rest, "own.rolled.*", "own.target_value")
+
+
+def gas_frames(hourly: DataFrame, settings: Settings = DEFAULTS, targets: Sequence[str] | None = None, posts: DataFrame | None = None, end: Column | None = None) -> DataFrame:
+    """Lags of all gases, statistics and rolling features of the target: one row for post, hour and target gas."""
+    return deal_targets(dense_frame(hourly, settings, targets, posts, end)).drop("target_value")
 
 
 def local_frame(hourly: DataFrame, posts: DataFrame, weather: DataFrame, settings: Settings = DEFAULTS, training: bool = True, targets: Sequence[str] | None = None, end: Column | None = None) -> DataFrame:
-    """The whole local frame. Training: labelled, and only rows with a current value. Else: all posts, up to `end`."""
-    frame = add_times(gas_frames(hourly, settings, targets, None if training else posts, end))
-    frame = frame.join(posts.select("monitoring_post_id", "latitude", "longitude"), "monitoring_post_id", "left")
-    frame = add_weather(frame, weather)
-    frame = frame.withColumns(cyclic_features(F.col("target_start"), settings.timezone))
-    if not training:
-        return frame
-    return add_labels(frame, hourly).filter(own_gas(settings.gases, "_lag_0").isNotNull())
+    """The whole local frame. Training: labelled, and only rows with a current value. Else: all posts, up to `end`.
+
+    What all targets of an hour share (times, place, weather, calendar) is computed before they are dealt out.
+    """
+    dense = add_times(dense_frame(hourly, settings, targets, None if training else posts, end, weather))
+    dense = dense.join(posts.select("monitoring_post_id", "latitude", "longitude"), "monitoring_post_id", "left")
+    frame = deal_targets(dense.withColumns(cyclic_features(F.col("target_start"), settings.timezone)), measured=training)
+    return frame if training else frame.drop("target_value")
 
 
 def feature_columns(frame: DataFrame, with_post: bool = True) -> list[str]:

@@ -71,10 +71,13 @@ def summarize_upwind(found: DataFrame, radius_meters: float) -> DataFrame:
     )
 
 
-def add_spatial(frame: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """A local frame with its spatial features; rows without neighbours have count and weight 0."""
+def add_spatial(frame: DataFrame, settings: Settings = DEFAULTS, posts: DataFrame | None = None) -> DataFrame:
+    """A local frame with its spatial features; rows without neighbours have count and weight 0.
+
+    With `posts`, those of the frame among them, places aren't gathered from the frame once more.
+    """
     slim = frame.select("monitoring_post_id", "substance_code", "source_bucket", own_gas(settings.gases, "_lag_0").alias("value"), "source_weather_hor_win_dir", "source_weather_hor_win_spd")
-    posts = frame.select("monitoring_post_id", "latitude", "longitude").distinct()
+    posts = frame.select("monitoring_post_id", "latitude", "longitude").distinct() if posts is None else posts
     features = summarize_upwind(upwind_values(slim, posts), settings.influence_meters)
     joined = frame.join(features, ["monitoring_post_id", "substance_code", "source_bucket"], "left")
     return joined.fillna(0.0, ["spatial_weight_sum", "spatial_neighbor_count"])

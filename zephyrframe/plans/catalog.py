@@ -898,7 +898,8 @@ def field_chain(spark, sf_dir):
 @query()
 def local_frame(spark, sf_dir):
     """The whole training frame of all gases."""
-    out = baseline.add_baseline(neighbours.add_spatial(frames.local_frame(S.hourly(spark, sf_dir), S.active(spark), S.live(spark, sf_dir))))
+    posts = S.active(spark)
+    out = baseline.add_baseline(neighbours.add_spatial(frames.local_frame(S.hourly(spark, sf_dir), posts, S.live(spark, sf_dir)), posts=posts))
     return shown(out, source_hour="source_bucket", cutoff_hour="data_cutoff", target_hour="target_start", end_hour="target_end")
 
 

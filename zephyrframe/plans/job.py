@@ -24,14 +24,14 @@ log = logging.getLogger(__name__)
 
 def training_frame(table: DataFrame, posts: DataFrame, weather: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Local, spatial and baseline features of all gases, labelled."""
-    return baseline.add_baseline(neighbours.add_spatial(frames.local_frame(table, posts, weather, settings), settings), settings)
+    return baseline.add_baseline(neighbours.add_spatial(frames.local_frame(table, posts, weather, settings), settings, posts), settings)
 
 
 def inference_frame(table: DataFrame, posts: DataFrame, weather: DataFrame, cutoff: Column, settings: Settings = DEFAULTS) -> DataFrame:
     """Features up to a cutoff; history stays until neighbours have looked back, then only eligible rows."""
     recent = readings.within(table, "bucket_start", shift_hours(cutoff, -settings.lookback_hours), cutoff)
     frame = frames.local_frame(recent, posts, weather, settings, training=False, end=shift_hours(cutoff, -1))
-    whole = baseline.add_baseline(neighbours.add_spatial(frames.history_until(frame, cutoff), settings), settings)
+    whole = baseline.add_baseline(neighbours.add_spatial(frames.history_until(frame, cutoff), settings, posts), settings)
     return predictions.eligible_rows(whole, cutoff, settings)
 
 
