@@ -185,8 +185,8 @@ def transport_step(field: DataFrame, keys: Sequence[str], step: float, seconds:
         upper, edge = fluxes(w, wind, f"slope_{axis}")
         named = named.withColumn(f"__up_{axis}", upper)
         named = named.withColumn(f"__low_{axis}", F.coalesce(F.lag(f"__up_{axis}").over(w), edge))
-        change = F.col(f"__up_{axis}") - F.col(f"__low_{axis}")
-        total = change if total is None else total + change
+        entered = F.col(f"__up_{axis}") if total is None else total + F.col(f"__up_{axis}")
+        total = entered - F.col(f"__low_{axis}")
     return named.select(*keys, "grid_x", "grid_y", (F.col("value") - seconds / step * total).alias("value"))
 
 

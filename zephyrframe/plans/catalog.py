@@ -875,6 +875,83 @@ def frame_summary(spark, sf_dir):
     return shown(grid.frame_summary(cells, ["field"]))
 
 
+# --- the same over fields of every hour of the tables ---------------------------------------------
+
+_U = "coalesce({}(radians(fmod(hor_win_dir + 180, 360))) * hor_win_spd, 0)"
+_FIELD_H = f"""SELECT h, x AS grid_x, y AS grid_y, air_temp + 10 AS value, {_U.format('sin')} AS wind_u, {_U.format('cos')} AS wind_v, coalesce(boundary_layer_height / 100, 5) AS diffusivity, hor_win_spd, air_hum, precipitation
+    FROM wx JOIN (SELECT x, y, 1 + (x + y) % 5 AS post FROM generate_series(0, 11) a(x), generate_series(0, 7) b(y)) USING (post)"""
+
+
+def _field_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of 12 by 8 cells for every hour of the weather; each cell has that of one post."""
+    x, y = F.col("grid_x"), F.col("grid_y")
+    cells = spark.range(12 * 8).select((F.col("id") % 12).cast("int").alias("grid_x"), F.expr("cast(id div 12 as int)").alias("grid_y")).withColumn("monitoring_post_id", ((x + y) % 5 + 1).cast("long"))
+    u, v = X.wind_vector(F.col("hor_win_spd"), F.col("hor_win_dir"))
+    rows = S.live(spark, sf_dir).join(F.broadcast(cells), "monitoring_post_id")
+    height = F.coalesce(F.col("boundary_layer_height") / 100, F.lit(5.0))
+    return rows.select(S.hour_number(F.col("bucket_start")).alias("hour"), x, y, (F.col("air_temp") + 10).alias("value"), u.alias("wind_u"), v.alias("wind_v"), height.alias("diffusivity"), "hor_win_spd", "air_hum", "precipitation")
+
+
+@query(
+    f"""SELECT code AS substance_code, h AS hour, (floor(fx) + dx)::INT AS grid_x, (floor(fy) + dy)::INT AS grid_y, {r('sum(v * abs(1 - dx - (fx - floor(fx))) * abs(1 - dy - (fy - floor(fy)))) AS value')} FROM (
+    SELECT code, h, filtered_hourly_mean AS v, (x + 137 - {_LOW[0]}) / 500 AS fx, (y - 5000 - {_LOW[1]}) / 500 AS fy FROM hourly JOIN ({_XY}) USING (post)), (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)
+    WHERE v IS NOT NULL AND floor(fx) + dx BETWEEN 0 AND 29 AND floor(fy) + dy BETWEEN 0 AND 19 GROUP BY ALL""",
+    "hourly",
+    "pst",
+)
+def bilinear_deposit_hours(spark, sf_dir):
+    """Every hourly value of a located post, split over the cells around a point beside it."""
+    low = _mesh(spark).agg(F.min("x").alias("lx"), F.min("y").alias("ly"))
+    values = S.hourly(spark, sf_dir).join(F.broadcast(_placed(spark)), "monitoring_post_id").join(F.broadcast(low))
+    points = values.select("substance_code", S.hour_number(F.col("bucket_start")).alias("hour"), (F.col("x") + 137).alias("x"), (F.col("y") - 5000).alias("y"), F.col("filtered_hourly_mean").alias("value"), "lx", "ly")
+    return shown(grid.deposit(points, ["substance_code", "hour"], STEP, (F.col("lx"), F.col("ly")), (F.lit(30), F.lit(20))))
+
+
+_SLOPES_H = f"SELECT *, {_slope('grid_x', 'h, grid_y')} AS slope_x, {_slope('grid_y', 'h, grid_x')} AS slope_y FROM ({_FIELD_H})"
+
+
+@query(f"SELECT h AS hour, grid_x::INT AS grid_x, grid_y::INT AS grid_y, {r('slope_x', 'slope_y')} FROM ({_SLOPES_H})", "wx")
+def minmod_slope_hours(spark, sf_dir):
+    return shown(grid.limited_slope(_field_hours(spark, sf_dir), ["hour"]).select("hour", "grid_x", "grid_y", "slope_x", "slope_y"))
+
+
+@query(
+    f"""SELECT h AS hour, grid_x::INT AS grid_x, grid_y::INT AS grid_y,
+    {r('value - 30.0 / 500 * (ux - coalesce(lag(ux) OVER (PARTITION BY h, grid_y ORDER BY grid_x), least(wind_u, 0) * value) + uy - coalesce(lag(uy) OVER (PARTITION BY h, grid_x ORDER BY grid_y), least(wind_v, 0) * value)) AS value')}
+    FROM (SELECT *, {_flux('wind_u', 'slope_x', 'grid_x', 'h, grid_y')} AS ux, {_flux('wind_v', 'slope_y', 'grid_y', 'h, grid_x')} AS uy FROM ({_SLOPES_H}))""",
+    "wx",
+)
+def transport_one_step_hours(spark, sf_dir):
+    return shown(grid.transport_step(_field_hours(spark, sf_dir), ["hour"], STEP, 30.0))
+
+
+_MASKED_H = """SELECT h, grid_x, grid_y, CASE WHEN hor_win_spd IS NOT NULL THEN value * 5e-8 END AS v, (air_hum - 40) / 600 AS c, ((h + grid_x) % 7) / 100.0e0 AS b, precipitation / 12 AS w, grid_y % 5 = 0 AS p"""
+
+
+@query(
+    f"""SELECT h AS hour, grid_x::INT AS grid_x, grid_y::INT AS grid_y, coalesce(v IS NOT NULL AND c >= 0.02 AND (p OR c - b >= 0.02 OR w >= 0.02), FALSE) AS analysis,
+    coalesce(v IS NOT NULL AND c >= 0.02 AND (c - b >= 0.02 OR (b >= 0.02 AND v >= 1e-6)), FALSE) AS forecast, coalesce(v IS NOT NULL AND c >= 0.02 AND (c - b >= 0.02 OR b >= 0.02), FALSE) AS nowcast FROM ({_MASKED_H} FROM ({_FIELD_H}))""",
+    "wx",
+)
+def grid_keep_mask_hours(spark, sf_dir):
+    cells = _field_hours(spark, sf_dir)
+    v, c = F.when(F.col("hor_win_spd").isNotNull(), F.col("value") * 5e-8), (F.col("air_hum") - 40) / 600
+    b, w = ((F.col("hour") + F.col("grid_x")) % 7) / 100.0, F.col("precipitation") / 12
+    masks = {"analysis": grid.analysis_keep(v, c, b, w, F.col("grid_y") % 5 == 0), "forecast": grid.forecast_keep(v, c, b, F.lit(True)), "nowcast": grid.forecast_keep(v, c, b, F.lit(False))}
+    return cells.select("hour", "grid_x", "grid_y", *[m.alias(k) for k, m in masks.items()])
+
+
+@query(
+    f"""SELECT h AS hour, count(*) AS cell_count, {r('min(grid_y * 500.0e0 - 250) AS south', 'min(grid_x * 500.0e0 - 250) AS west', 'max(grid_y * 500.0e0 + 250) AS north', 'max(grid_x * 500.0e0 + 250) AS east', 'min(value) AS value_min', 'max(value) AS value_max')}, max(grid_x % 4)::INT AS source_station_count,
+    {r('sqrt(pow(avg(wind_u), 2) + pow(avg(wind_v), 2)) AS wind_speed', 'CASE WHEN sqrt(pow(avg(wind_u), 2) + pow(avg(wind_v), 2)) > 0 THEN fmod(degrees(atan2(avg(wind_u), avg(wind_v))) + 540, 360) END AS wind_direction')} FROM ({_FIELD_H}) GROUP BY h""",
+    "wx",
+)
+def frame_summary_hours(spark, sf_dir):
+    x, y = F.col("grid_x") * STEP, F.col("grid_y") * STEP
+    sides = {"south": y - 250, "north": y + 250, "west": x - 250, "east": x + 250}
+    return shown(grid.frame_summary(_field_hours(spark, sf_dir).withColumns(sides | {"source_station_count": F.col("grid_x") % 4}), ["hour"]))
+
+
 # --- solvers and models: no SQL form ---------------------------------------------
 
 
