@@ -972,7 +972,28 @@ def field_chain(spark, sf_dir):
     return shown(grid.frame_summary(cells), hour="hour_start")
 
 
-@query()
+_ALL_LAGS = [f"gas_{g}_lag_{n}" for g in GASES for n in frames.LAGS]
+_LAGS_SQL = "SELECT post, h, " + ", ".join(f"lag(g_{g}, {n}) OVER (PARTITION BY post ORDER BY h) AS gas_{g}_lag_{n}" for g in GASES for n in frames.LAGS) + " FROM dns"
+_ROLL = "OVER (PARTITION BY post, code ORDER BY h ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+_ROLLS_SQL = "SELECT post, code, h, v, " + ", ".join(f"avg(v) {o} AS target_rolling_mean_{w}, CASE WHEN count(v) {o} >= 2 THEN stddev_pop(v) {o} END AS target_rolling_std_{w}" for w in frames.WINDOWS for o in [_ROLL.format(w - 1)]) + " FROM own"
+_WX_ALL = "SELECT *, ((h * post) % 101)::DOUBLE AS cloud_cover, ((h + post) % 101)::DOUBLE AS cloud_cover_low, 5.0e0 + ((3 * h + post) % 40) / 10.0e0 AS wind_gusts_10m, ((11 * h) % 700)::DOUBLE AS shortwave_radiation FROM wx"
+_ROLES = [f"{t}.{m} AS {role}_weather_{m}" for t, role in (("a", "source"), ("b", "transport"), ("c", "target")) for m in readings.WEATHER]
+_SPATIAL = {"spatial_upwind_value": "upwind", "spatial_neighbor_mean": "mean", "spatial_neighbor_max": "most", "spatial_min_distance_km": "nearest", "backtrajectory_value": "bt_v", "backtrajectory_distance_km": "bt_km", "backtrajectory_travel_hours": "bt_h", "backtrajectory_alignment": "bt_al"}
+_HOUR_L, _DAY_L = "((o.h + 2 + 3) % 24)", "((((o.h + 2 + 3) // 24) + 3) % 7)"
+
+
+@query(
+    f"""SELECT o.post AS monitoring_post_id, o.code AS substance_code, o.h AS source_hour, o.h + 1 AS cutoff_hour, o.h + 2 AS target_hour, o.h + 3 AS end_hour, x.samples_count,
+    {r(*[f'x.{c} AS {c}' for c in _STATS], *[f'l.{c} AS {c}' for c in _ALL_LAGS], *[f'o.target_rolling_{k}_{w} AS target_rolling_{k}_{w}' for w in frames.WINDOWS for k in ('mean', 'std')], *_ROLES)},
+    {r('p.lat AS latitude', 'p.lon AS longitude', f'sin(2 * pi() * {_HOUR_L} / 24) AS target_hour_sin', f'cos(2 * pi() * {_HOUR_L} / 24) AS target_hour_cos', f'sin(2 * pi() * {_DAY_L} / 7) AS target_weekday_sin', f'cos(2 * pi() * {_DAY_L} / 7) AS target_weekday_cos')},
+    {r('y.filtered_hourly_mean AS target_value', *[f's.{c} AS {n}' for n, c in _SPATIAL.items()], 'coalesce(s.weight, 0) AS spatial_weight_sum', 'coalesce(s.n, 0) AS spatial_neighbor_count', 'bas.base AS physical_baseline')}
+    FROM ({_ROLLS_SQL}) o JOIN ({_LAGS_SQL}) l ON l.post = o.post AND l.h = o.h JOIN bas ON bas.post = o.post AND bas.code = o.code AND bas.h = o.h
+    LEFT JOIN hourly x ON x.post = o.post AND x.code = o.code AND x.h = o.h LEFT JOIN hourly y ON y.post = o.post AND y.code = o.code AND y.h = o.h + 2
+    LEFT JOIN ({_WX_ALL}) a ON a.post = o.post AND a.h = o.h LEFT JOIN ({_WX_ALL}) b ON b.post = o.post AND b.h = o.h + 1 LEFT JOIN ({_WX_ALL}) c ON c.post = o.post AND c.h = o.h + 2
+    LEFT JOIN (SELECT * FROM pst WHERE NOT retired) p ON p.post = o.post LEFT JOIN spt s ON s.post = o.post AND s.code = o.code AND s.h = o.h WHERE o.v IS NOT NULL""",
+    "bas",
+    "pst",
+)
 def local_frame(spark, sf_dir):
     """The whole training frame of all gases."""
     posts = S.active(spark)
