@@ -99,6 +99,26 @@ def test_frame_has_all_features_and_times(spark):
     assert whole.count() == S.hourly(spark, sf).count()
 
 
+def test_weather_roles_and_labels_equal_joins(spark):
+    """What the frame takes by leads is what three joins of weather and one of labels give, also past the last hour and for posts without data."""
+    sf = "/root/testdata/sf0.001"
+    hourly, posts, live = S.hourly(spark, sf), S.active(spark), S.live(spark, sf)
+    last = hourly.agg(F.max("bucket_start")).first()[0]
+    end = F.lit(last)
+
+    def rows(frame, columns):
+        return sorted(map(tuple, frame.select(*columns).collect()), key=repr)
+
+    keys = ["monitoring_post_id", "substance_code", "source_bucket", "target_end"]
+    measured = [f"{role}_weather_{m}" for role in ("source", "transport", "target") for m in readings.WEATHER]
+    plain = frames.add_weather(frames.add_times(frames.gas_frames(hourly, posts=posts, end=end)), live)
+    ahead = frames.local_frame(hourly, posts, live, training=False, end=end)
+    assert rows(ahead, keys + measured) == rows(plain, keys + measured) and "target_value" not in ahead.columns
+    labelled = frames.add_labels(frames.add_times(frames.gas_frames(hourly).filter(frames.own_gas(frames.DEFAULTS.gases, "_lag_0").isNotNull())), hourly)
+    trained = frames.local_frame(hourly, posts, live)
+    assert rows(trained, keys + ["target_value"]) == rows(labelled, keys + ["target_value"])
+
+
 def test_calendar_and_cutoffs(spark):
     rows = [(1, T0), (1, T0 + timedelta(hours=3)), (2, T0 + timedelta(hours=1))]
     hourly = spark.createDataFrame(rows, "monitoring_post_id long, bucket_start timestamp")

@@ -41,7 +41,8 @@ def mesh(points: DataFrame, keys: Sequence[str], step: float, padding: float) ->
 def nearest_idw(cells: DataFrame, stations: DataFrame, keys: Sequence[str], cell: Sequence[str], value: str, k: int = 4) -> DataFrame:
     """keys, cell, interpolated: inverse squared distance of the k nearest stations; an exact hit returns its value.
 
-    Ties of distance go to the lowest station id. Only a short list of stations is kept for each cell while aggregating.
+    Ties of distance go to the lowest station id. A cell meets every station of its key, so the cost is cells times
+    stations; the limit of the rank is applied before its shuffle as well as after.
     """
     known = stations.filter(F.col(value).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, F.col("monitoring_post_id"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(value).alias("v"))
     pairs = cells.join(known, list(keys)).withColumn("d", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")))
@@ -89,7 +90,7 @@ def single_update(background: Column, background_confidence: Column, at_station:
     return {"value": clip0(background + increment), "confidence": clip(F.greatest(background_confidence, 1.0 - left), 0.0, 1.0), "increment": increment}
 
 
-def observation_confidence(anchors: DataFrame, keys: Sequence[str] = ()) -> Column:
+def observation_confidence(anchors: DataFrame, keys: Sequence[str]) -> Column:
     """Confidence of anchors: given, else by samples against the most of its key, else by interval width, else 1."""
     has = lambda c: F.col(c).cast("double") if c in anchors.columns else F.lit(None).cast("double")
     group = Window.partitionBy(*keys)

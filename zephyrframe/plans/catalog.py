@@ -952,6 +952,52 @@ def frame_summary_hours(spark, sf_dir):
     return shown(grid.frame_summary(_field_hours(spark, sf_dir).withColumns(sides | {"source_station_count": F.col("grid_x") % 4}), ["hour"]))
 
 
+#: Two stations on cells of the field: post, grid_x, grid_y, trust in what they observe.
+_TWO = ((1, 3, 2, 0.8), (2, 8, 5, 0.6))
+
+
+def _rho_sql(x: str, y: str, k: str) -> str:
+    """Correlation of a place with station k, whose unit wind, length and width are columns."""
+    return f"exp(-0.5 * (pow((({x}) * eu{k} + ({y}) * ev{k}) / lo, 2) + pow((({y}) * eu{k} - ({x}) * ev{k}) / na{k}, 2)))"
+
+
+_TWO_SIDE = " JOIN ".join(
+    f"""(SELECT h, CASE WHEN sp > 0.1 THEN u / sp ELSE 0 END AS eu{k}, CASE WHEN sp > 0.1 THEN v / sp ELSE 1 END AS ev{k}, CASE WHEN sp > 0.1 THEN 10000 / sqrt(2.0e0) / (1 + least(sp / 5, 2)) ELSE 10000 / sqrt(2.0e0) END AS na{k}, obs AS obs{k}
+    FROM (SELECT *, sqrt(u * u + v * v) AS sp FROM (SELECT h, {_U.format('sin')} AS u, {_U.format('cos')} AS v, air_hum / 10 AS obs FROM wx WHERE post = {post}))) s{k}{'' if k == 1 else ' USING (h)'}"""
+    for k, (post, _, _, _) in enumerate(_TWO, 1)
+)
+_TWO_AT = " ".join(f"JOIN (SELECT h, value AS bg{k}, sqrt(greatest(0.05, least(1, 1 - (grid_y % 4) / 4.0e0))) AS own{k} FROM fld WHERE grid_x = {x} AND grid_y = {y}) c{k} USING (h)" for k, (_, x, y, _) in enumerate(_TWO, 1))
+
+
+@query(
+    f"""SELECT h AS hour, grid_x::INT AS grid_x, grid_y::INT AS grid_y, {r('greatest(0, bg + inc) AS value', 'greatest(0, least(1, greatest(bc, 1 - greatest(0, least(1, sv * sv - red))))) AS confidence', 'inc AS increment')} FROM (
+    SELECT *, c1 * (a22 * d1 - a12 * d2) / det + c2 * (a11 * d2 - a12 * d1) / det AS inc, (c1 * c1 * a22 - 2 * c1 * c2 * a12 + c2 * c2 * a11) / det AS red FROM (
+    SELECT *, a11 * a22 - a12 * a12 AS det, r1 * sv * own1 AS c1, r2 * sv * own2 AS c2 FROM (
+    SELECT *, own1 * own1 + 0.2e0 AS a11, own2 * own2 + 0.4e0 AS a22, (r12 + r21) / 2 * own1 * own2 AS a12, obs1 - bg1 AS d1, obs2 - bg2 AS d2 FROM (
+    SELECT h, grid_x, grid_y, value AS bg, (grid_y % 4) / 4.0e0 AS bc, sqrt(greatest(0.05, least(1, 1 - (grid_y % 4) / 4.0e0))) AS sv, own1, own2, bg1, bg2, obs1, obs2,
+    {_rho_sql('500.0e0 * (grid_x - 3)', '500.0e0 * (grid_y - 2)', '1')} AS r1, {_rho_sql('500.0e0 * (grid_x - 8)', '500.0e0 * (grid_y - 5)', '2')} AS r2,
+    {_rho_sql('500.0e0 * (3 - 8)', '500.0e0 * (2 - 5)', '2')} AS r12, {_rho_sql('500.0e0 * (8 - 3)', '500.0e0 * (5 - 2)', '1')} AS r21
+    FROM (SELECT *, 10000 / sqrt(2.0e0) AS lo FROM ({_FIELD_H})) JOIN ({"SELECT * FROM " + _TWO_SIDE}) USING (h) {_TWO_AT.replace("FROM fld", f"FROM ({_FIELD_H})")}))))""",
+    "wx",
+)
+def oi_two_observations_hours(spark, sf_dir):
+    """The solver's interpolation with two stations, for every hour; SQL has the inverse of their 2 by 2 system written out."""
+    u, v = X.wind_vector(F.col("hor_win_spd"), F.col("hor_win_dir"))
+    listed = F.array(*[F.struct(F.lit(p).cast("long").alias("monitoring_post_id"), F.lit(x * STEP).alias("x"), F.lit(y * STEP).alias("y"), F.lit(t).alias("trust")) for p, x, y, t in _TWO])
+    places = spark.range(1).select(F.inline(listed))
+    stations = S.live(spark, sf_dir).join(F.broadcast(places), "monitoring_post_id").select(S.hour_number(F.col("bucket_start")).alias("hour"), "monitoring_post_id", "x", "y", "trust", (F.col("air_hum") / 10).alias("observed"), u.alias("u"), v.alias("v"))
+    cells = _field_hours(spark, sf_dir).select("hour", "grid_x", "grid_y", "value", ((F.col("grid_y") % 4) / 4.0).alias("confidence"))
+
+    def update(mine, theirs):
+        theirs = theirs.sort_values("monitoring_post_id")
+        at = mine[["grid_x", "grid_y"]].to_numpy(float) * STEP
+        got = field.optimal_interpolation(at, mine["value"].to_numpy(), mine["confidence"].to_numpy(), theirs[["x", "y"]].to_numpy(), theirs["observed"].to_numpy(), theirs["trust"].to_numpy(), theirs[["u", "v"]].to_numpy(), DEFAULTS)
+        return mine[["hour", "grid_x", "grid_y"]].assign(value=got[0], confidence=got[1], increment=got[2])
+
+    out = cells.groupBy("hour").cogroup(stations.groupBy("hour")).applyInPandas(update, "hour long, grid_x int, grid_y int, value double, confidence double, increment double")
+    return shown(out)
+
+
 # --- solvers and models: no SQL form ---------------------------------------------
 
 
