@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tests.llm.conftest import DOC_SCHEMA, make_docs
+from tests.llm.test_vector_codes import SCHEMA, make_vectors
 from zephyrframe.llm import common, queries
 from zephyrframe.llm.oracles import ORACLES
 
@@ -20,6 +21,7 @@ def sf_dir(spark, tmp_path_factory):
     spark.createDataFrame(rows, DOC_SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, rows[0][1]), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(k, k % 2, 0) for k in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(make_vectors(), SCHEMA).write.parquet(f"{path}/embeddings.parquet")
     spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", None), (None, 0, "user", "x"), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path
 
@@ -27,7 +29,7 @@ def sf_dir(spark, tmp_path_factory):
 def test_every_query_gives_a_row_for_each_document(spark, sf_dir):
     n = common.read_table(spark, sf_dir, "documents").count()
     for name, query in queries.QUERIES.items():
-        if name not in ("op3_chat_format", "quality_rule_ablations"):
+        if name not in ("op3_chat_format", "quality_rule_ablations", "op13_vector_codes"):
             assert query(spark, sf_dir).count() == n, name
 
 
