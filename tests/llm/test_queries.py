@@ -29,7 +29,7 @@ def sf_dir(spark, tmp_path_factory):
 def test_every_query_gives_a_row_for_each_document(spark, sf_dir):
     n = common.read_table(spark, sf_dir, "documents").count()
     for name, query in queries.QUERIES.items():
-        if name not in ("op3_chat_format", "quality_rule_ablations", "op13_vector_codes"):
+        if name not in ("op3_chat_format", "quality_rule_ablations", "op11_spelling_variants", "op13_vector_codes"):
             assert query(spark, sf_dir).count() == n, name
 
 
