@@ -114,3 +114,16 @@ def test_hot_groups_are_split_without_loss(docs, doc_rows, monkeypatch):
     kept = simhash.keep_one(clashing(docs).withColumns({"__own": simhash.F.lit("x"), "__id": simhash.F.lit("y"), "__digest": simhash.F.lit("z")}))
     want = {c for k, _, c in slow_components([r[:2] for r in doc_rows]) if k == c and k is not None}
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(want)
+
+
+def test_rounds_of_components_are_logarithmic(spark):
+    # An ascending run that hangs on a smaller fingerprint at its top, and a shuffled chain.
+    n = 1000
+    r = random.Random(3)
+    names = r.sample(range(10**6, 2 * 10**6), n)
+    chains = [(k, k + 1) for k in range(1, n - 1)] + [(n - 1, 0)] + list(zip(names, names[1:]))
+    edges = spark.createDataFrame(chains, "a long, b long").coalesce(1)
+    got = {x["fp"]: x["root"] for x in simhash.components(edges, rounds=20).collect()}
+    assert got == {k: 0 for k in range(n)} | {k: min(names) for k in names}
+    with pytest.raises(ArithmeticError):
+        simhash.components(edges, rounds=3)
