@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrframe.llm import chat_format, decontamination, mixing, quality_classifier, quality_rules, secrets, sharding, simhash, spelling, token_count, token_files, vector_codes
+from zephyrframe.llm import chat_format, decontamination, mixing, quality_classifier, quality_rules, secrets, sharding, shingle_join, simhash, spelling, token_count, token_files, vector_codes
 from zephyrframe.llm.common import read_table
 from zephyrframe.llm.oracles import ORACLES  # noqa: F401
 
@@ -84,9 +84,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op12_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of each document and the component that it is in by shared ones."""
+    return shingle_join.similar_documents(read_table(spark, sf_dir, "documents"), percent=80)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all whole vectors by codebooks learned from them."""
     return vector_codes.compress(read_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op4_simhash, op5_decontamination, op6_secrets, op7_quality_rules, op8_quality_scores, op9_sharding, op10_token_files, op11_spelling_variants, op13_vector_codes, quality_rule_ablations)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op4_simhash, op5_decontamination, op6_secrets, op7_quality_rules, op8_quality_scores, op9_sharding, op10_token_files, op11_spelling_variants, op12_shingle_join, op13_vector_codes, quality_rule_ablations)}
