@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+import pytest
 import xxhash
 
 from tests.llm.conftest import as_set, clashing
@@ -59,7 +60,7 @@ def test_stored_map_loses_and_doubles_no_rows(spark, docs, tmp_path):
         assert mine == list(range(len(mine)))
 
 
-def brute(rows, shards, slots=S.SLOTS):
+def brute(rows, shards, slots=S.SLOTS, grow=False):
     """Slots by XXH64 of id and checksum, the heaviest first to the lightest shard, and places in the order of slot, id and checksum."""
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     placed = []
@@ -75,6 +76,8 @@ def brute(rows, shards, slots=S.SLOTS):
     for v in sorted(weight, key=lambda v: (-weight[v], v)):
         shard[v] = min(range(shards), key=lambda k: (loads[k], k))
         loads[shard[v]] += weight[v]
+    if grow:
+        return placed, weight, shard
     seen, out = defaultdict(int), []
     for v, k, crc, size in sorted(placed, key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2])):
         out.append((k, size, crc, v, shard[v], seen[shard[v]]))
@@ -88,3 +91,68 @@ def test_shards_and_places_equal_brute_force(docs, doc_rows, tmp_path, spark):
     assert as_set(S.shard_rows(clashing(docs), 16, map_path=path), *columns) == brute([r[:2] for r in doc_rows], 16)
     stored = spark.read.parquet(path)
     assert stored.count() == S.SLOTS and {r[0] for r in stored.select("version").distinct().collect()} == {1}
+
+
+def test_two_runs_under_one_path_give_equal_rows(docs, tmp_path):
+    path = str(tmp_path / "map")
+    columns = ("doc_id", "size", "text_crc32", "virtual_slot", "shard", "slot")
+    first, second = (as_set(S.shard_rows(docs, 5, map_path=path), *columns) for _ in range(2))
+    assert first == second and len(first) == docs.count() and S.stored_versions(docs.sparkSession, path) == [1]
+
+
+def test_a_version_is_written_once_and_slots_are_unique(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    first = S.materialize(S.slot_map(S.slot_bytes(S.sized_rows(docs)), 3))
+    S.write_map(first, path)
+    with pytest.raises(FileExistsError):
+        S.write_map(first, path)
+    with pytest.raises(Exception, match="slot twice"):
+        S.latest_version(first.unionByName(first)).collect()
+
+
+def test_repeated_rows_spread_over_all_shards(spark):
+    rows = spark.range(20_000).select(S.F.lit(None).cast("long").alias("doc_id"), S.F.lit("").alias("text"))
+    rows = rows.unionByName(spark.range(9_000).select(S.F.lit(5).cast("long").alias("doc_id"), S.F.lit("a text").alias("text"))).repartition(6)
+    runs = []
+    for _ in range(2):
+        out = S.shard_rows(rows, 16).collect()
+        loads, places = defaultdict(int), defaultdict(list)
+        for r in out:
+            loads[r["shard"]] += r["size"]
+            places[r["shard"]].append(r["slot"])
+        assert len(out) == 29_000 and len(loads) == 16 and max(loads.values()) - min(loads.values()) <= 7
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+        runs.append(sorted(map(repr, out)))
+    assert runs[0] == runs[1]
+
+
+def test_numbering_is_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr("zephyrframe.llm.common.HOT_ROWS", 10)
+    monkeypatch.setattr(S, "NUMBERED", 7)
+    rows = S.materialize(S.sized_rows(spark.createDataFrame([(k % 3 or None, "x") for k in range(100)] + [(9, "y")], "doc_id long, text string")))
+    spread = S.spread_repeats(rows)
+    assert as_set(spread.drop("virtual_slot"), "id", "size", "text_crc32") == as_set(rows, "id", "size", "text_crc32")
+    assert spread.filter("id is null").select("virtual_slot").distinct().count() > 25
+    assert spread.filter("id = 9").collect() == rows.filter("id = 9").select(*spread.columns).collect()
+
+
+def test_rebalancing_equals_brute_force(spark, docs, doc_rows, tmp_path):
+    path = str(tmp_path / "map")
+    placed, weight, shard = brute([r[:2] for r in doc_rows], 4, grow=True)
+    fair, grown = sum(weight.values()) / 5, {}
+    for k in range(4):
+        surplus = sum(weight[v] for v in shard if shard[v] == k) - fair
+        upto = 0
+        # Slots without rows are the lightest of all, so they come first and change no sum.
+        for v in sorted((v for v in shard if shard[v] == k), key=lambda v: (weight[v], v)):
+            upto += weight[v]
+            grown[v] = 4 if upto <= surplus else k
+    want = sorted(((k, size, crc, v, shard[v], grown[v]) for v, k, crc, size in placed), key=repr)
+    got = S.rebalance(clashing(docs), 4, map_path=path)
+    assert as_set(got, "doc_id", "size", "text_crc32", "virtual_slot", "shard", "grown_shard") == want
+    assert any(r[4] != r[5] for r in want) and S.stored_versions(spark, path) == [1, 2]
+    # Later readers of the path get the edited map.
+    later = S.shard_rows(docs, 5, map_path=path)
+    assert as_set(later, "doc_id", "text_crc32", "shard") == sorted(((r[0], r[2], r[5]) for r in want), key=repr)
+    moved = sum(r[1] for r in want if r[4] != r[5])
+    assert moved <= fair

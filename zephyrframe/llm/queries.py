@@ -74,6 +74,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def sharding_rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of each document by the first map of slots, and by the one that makes room for a shard more."""
+    return sharding.rebalance(read_table(spark, sf_dir, "documents"), shards=16)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids, read back from files of directly addressable codes."""
     return token_files.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -94,4 +99,4 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(read_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op4_simhash, op5_decontamination, op6_secrets, op7_quality_rules, op8_quality_scores, op9_sharding, op10_token_files, op11_spelling_variants, op12_shingle_join, op13_vector_codes, quality_rule_ablations)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_chat_format, op4_simhash, op5_decontamination, op6_secrets, op7_quality_rules, op8_quality_scores, op9_sharding, op10_token_files, op11_spelling_variants, op12_shingle_join, op13_vector_codes, quality_rule_ablations, sharding_rebalanced)}

@@ -3,8 +3,8 @@
 Every row is hashed into one of a fixed number of virtual slots. Bytes are
 summed by slot, and a versioned map gives each slot a shard: heaviest slots
 first, each to the shard with fewest bytes so far. The map covers all slots, is
-stored by version and read back; the latest version counts. Rebalancing edits the
-map, so only the rows of moved slots move.
+stored by version and read back; the latest version counts, and a version is written
+once. Rebalancing edits the map, so only the rows of moved slots move.
 
 All of it is built from DataFrame functions. The map has as many rows as there
 are slots, a fixed parameter, so it may be gathered in one row and broadcast.
@@ -13,8 +13,9 @@ Law: bytes. Shards are near equal: they differ by no more than about one virtual
 
 Defined results: a null text has 0 bytes, so size 1, and the checksum of no
 bytes. A null id is hashed like any value. Equal texts need not share a shard.
-Rows that repeat id and text alike fall into one virtual slot, which no map can
-split. `slot` numbers the rows of a shard from 0 without gaps, by virtual slot,
+Rows that repeat id and text are alike in all that is read, so where they are
+many they are counted, numbered and hashed with their number: they spread over all slots, by
+the same numbers in every run. `slot` numbers the rows of a shard from 0 without gaps, by virtual slot,
 then id, then checksum. An empty table gives no rows. Other columns are not read.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zephyrframe.llm.common import materialize, scratch_path
+from zephyrframe.llm.common import HOT_KEYS, hot_keys, materialize, scratch_path
 
 SLOTS = 4096
 
@@ -79,9 +80,46 @@ def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.withColumn("virtual_slot", virtual_slot(slots, F.col("id"), F.col("text_crc32")))
 
 
+#: Like rows that are numbered one after the other in one task.
+NUMBERED = 10_000
+
+
+def spread_repeats(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The rows of `sized_rows` (written), those that repeat many times over in slots of their own numbers.
+
+    Such rows have only their key in all columns, so they are made anew from their
+    count, in stretches that are dealt over tasks.
+    """
+    alike = ["id", "text_crc32", "size"]
+    whole = rows.withColumn("known", F.coalesce(F.col("id").cast("string"), F.lit(""))).withColumn("none", F.col("id").isNull())
+    hot = hot_keys(whole, [*alike[1:], "known", "none"])
+    if hot.isEmpty():
+        return rows
+    keys = [*alike[1:], "known", "none"]
+    listed = F.broadcast(hot.select(*keys))
+    rest = whole.join(listed, keys, "left_anti").select(*rows.columns)
+    counted = materialize(whole.join(listed, keys, "left_semi").groupBy(*alike).agg(F.count("*").alias("n")), HOT_KEYS)
+    stretches = counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(NUMBERED).cast("long"))))
+    dealt = stretches.repartition(*alike, "first")
+    numbered = dealt.withColumn("number", F.explode(F.sequence("first", F.least(F.col("first") + NUMBERED, F.col("n")) - 1)))
+    return rest.unionByName(numbered.select(*alike, virtual_slot(slots, F.col("id"), F.col("text_crc32"), F.col("number")).alias("virtual_slot")))
+
+
+def stored_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a map that are stored below a path."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = files.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(root)] if system.exists(root) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
 def write_map(mapping: DataFrame, path: str) -> None:
-    """Add a version of the map to the stored ones; one file, as a map has no more rows than there are slots."""
-    mapping.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Add a map of one version to the stored ones, in one file, as it has no more rows than there are slots; a version that is there is refused."""
+    version = mapping.agg(F.max("version")).first()[0]
+    if version in stored_versions(mapping.sparkSession, path):
+        raise FileExistsError(f"version {version} of the map is stored already below {path}")
+    mapping.drop("version").coalesce(1).write.parquet(f"{path}/version={version}")
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
@@ -90,10 +128,11 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_version(mapping: DataFrame) -> DataFrame:
-    """virtual_slot, shard of the highest version that a map holds."""
+    """virtual_slot, shard of the highest version that a map holds; a slot with two shards raises."""
     if "version" in mapping.columns:
         mapping = mapping.join(F.broadcast(mapping.agg(F.max("version").alias("version"))), "version")
-    return mapping.select("virtual_slot", "shard")
+    once = F.when(F.count("*") == 1, F.first("shard")).otherwise(F.raise_error(F.lit("the map has a slot twice")).cast("int"))
+    return mapping.groupBy("virtual_slot").agg(once.alias("shard"))
 
 
 def whole_map(mapping: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
@@ -102,19 +141,28 @@ def whole_map(mapping: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
     return known.select("virtual_slot", F.coalesce("shard", F.pmod("virtual_slot", F.lit(shards))).cast("int").alias("shard"))
 
 
+def slotted_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """Written rows (id, size, text_crc32, virtual_slot) and the written sums of their slots."""
+    sized = materialize(sized_rows(docs, id_col, text_col, slots))
+    rows = spread_repeats(sized, slots)
+    rows = rows if rows is sized else materialize(rows)
+    return rows, materialize(slot_bytes(rows), slots)
+
+
 def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, mapping: DataFrame | None = None, map_path: str | None = None) -> DataFrame:
     """id, size, text_crc32, virtual_slot, shard, slot for each row; texts are never shuffled.
 
-    Without a mapping, version 1 is made from the slots' bytes, stored below
-    `map_path` (or the shared folder) and read back. Of a mapping the latest version
-    counts; a slot that it lacks goes to the shard `virtual_slot` mod `shards`.
+    Without a mapping the latest version below `map_path` counts; where there is none
+    (or no path), version 1 is made from the slots' bytes, stored and read back. Of
+    a mapping the latest version counts; a slot that it lacks goes to the shard
+    `virtual_slot` mod `shards`.
     """
     spark = docs.sparkSession
-    rows = materialize(sized_rows(docs, id_col, text_col, slots))
-    sums = materialize(slot_bytes(rows), slots)
+    rows, sums = slotted_rows(docs, id_col, text_col, slots)
     if mapping is None:
         map_path = map_path or scratch_path(spark, "slot-map")
-        write_map(slot_map(sums, shards, slots=slots), map_path)
+        if not stored_versions(spark, map_path):
+            write_map(slot_map(sums, shards, slots=slots), map_path)
         mapping = read_map(spark, map_path)
     placed_slots = whole_map(mapping, sums, shards)
     # Rows of a shard before each of its virtual slots: a sum over the map, which has `slots` rows at most.
@@ -123,3 +171,23 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     inside = Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size")
     placed = rows.withColumn("__rank", F.row_number().over(inside)).join(F.broadcast(offsets), "virtual_slot")
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "virtual_slot", "shard", (F.col("offset") + F.col("__rank") - 1).alias("slot"))
+
+
+def rebalance(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """id, size, text_crc32, virtual_slot, shard, grown_shard of each row, for one shard more.
+
+    The latest stored map is edited by the slots' present bytes and stored as the next
+    version; both are read back, so `grown_shard` is what later readers of the path get.
+    """
+    spark = docs.sparkSession
+    rows, sums = slotted_rows(docs, id_col, text_col, slots)
+    map_path = map_path or scratch_path(spark, "slot-map")
+    if not stored_versions(spark, map_path):
+        write_map(slot_map(sums, shards, slots=slots), map_path)
+    latest = stored_versions(spark, map_path)[-1]
+    current = spark.read.parquet(f"{map_path}/version={latest}").withColumn("version", F.lit(latest))
+    write_map(grow_map(materialize(current, slots), sums, shards), map_path)
+    old = latest_version(current)
+    new = read_map(spark, map_path).withColumnRenamed("shard", "grown_shard")
+    both = materialize(old.join(new, "virtual_slot"), slots)
+    return rows.join(F.broadcast(both), "virtual_slot").select(F.col("id").alias(id_col), "size", "text_crc32", "virtual_slot", "shard", "grown_shard")
