@@ -51,7 +51,8 @@ def kept_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 def first_codebooks(rows: DataFrame, entries: int, parts: int) -> np.ndarray | None:
     """(part, entry, position): the parts of the vectors of the `entries` smallest ids; None without any."""
-    lowest = rows.filter("id is not null").groupBy("id").agg(F.min("v").alias("v")).orderBy("id").limit(entries)
+    ids = rows.select("id").filter("id is not null").distinct().orderBy("id").limit(entries)
+    lowest = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("v").alias("v")).orderBy("id")
     found = [r["v"] for r in lowest.collect()]  # `entries` rows
     if not found:
         return None
