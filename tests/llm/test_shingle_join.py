@@ -107,3 +107,24 @@ def test_empty_table_and_bad_limits(no_docs):
     for percent in (40, 79, 101):
         with pytest.raises(ValueError):
             J.similar_documents(no_docs, percent=percent)
+
+
+def test_products_of_columns(monkeypatch):
+    r = np.random.default_rng(5)
+    size = [1, 2, 5, 1, 9, 3, 1]
+    shingle = np.repeat(np.arange(7), size)
+    n = r.integers(8, 12, 22)
+    table = [pa.array(shingle), pa.array(r.permutation(22)), pa.array(n), pa.array(r.integers(0, 99, 22).astype(np.int32))]
+    batch = pa.RecordBatch.from_arrays(table, ["shingle", "s", "n", "last"])
+
+    def found(parts, most):
+        return sorted((x["a"], x["b"], x["need"]) for out in J._pair_batches(80, most, iter(parts)) for x in out.to_pylist())
+
+    names = table[1].to_pylist()
+    want = sorted((min(names[i], names[j]), max(names[i], names[j])) for i in range(22) for j in range(i) if shingle[i] == shingle[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]))
+    for pairs in (1, 4, 1000):
+        monkeypatch.setattr(J, "PAIRS", pairs)
+        assert [x[:2] for x in found([batch], 100)] == want
+        assert found([batch.slice(k, 3) for k in range(0, 22, 3)], 100) == found([batch], 100)
+    star = [x for x in found([batch], 4) if x[2] == 0]
+    assert len(star) >= 4 + 8

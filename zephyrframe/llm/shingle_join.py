@@ -43,7 +43,9 @@ SHINGLE, PERCENT = 5, 80
 #: Sets that share a leading shingle above which it comes last, such shingles at most (so they may be broadcast), and rows of a broadcast list.
 MANY, MANY_SHINGLES, LISTED = 64, 1_000_000, 1_000_000
 #: Shingles and sets of a tile, and text bytes that are hashed at once.
-TILE_SHINGLES, TILE_SETS, TEXT_BYTES = 1_000_000, 2_048, 2_000_000
+TILE_SHINGLES, TILE_SETS, TEXT_BYTES = 1_000_000, 1_024, 2_000_000
+#: Pairs that are formed at once.
+PAIRS = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _FOLD = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
@@ -210,14 +212,20 @@ def _pair_batches(percent: int, most: int, batches: Iterator[pa.RecordBatch]) ->
         start = np.concatenate(([0], np.nonzero(np.diff(shingle))[0] + 1, [len(shingle)]))
         size = np.diff(start)
         base, size = start[:-1][size > 1], size[size > 1]
-        # The k-th set of each column meets the ones before it; a long column's meet the first only.
-        for k in range(1, int(min(size.max(initial=0), most + 1))):
-            base, size = base[size > k], size[size > k]
-            for j in range(k):
-                yield from pairs(base[size <= most] + j, base[size <= most] + k, s, n, last, False)
-        for b, z in zip(base[size > most].tolist(), size[size > most].tolist()):
-            rest = np.arange(b + 1, b + z)
-            yield from pairs(np.full(len(rest), b), rest, s, n, last, True)
+        # A set of a column meets the ones before it; in a long column the first only.
+        rows = np.arange(size.sum()) + np.repeat(base - (np.cumsum(size) - size), size)
+        first, long = np.repeat(base, size), np.repeat(size > most, size)
+        before = np.where(long, np.minimum(rows - first, 1), rows - first)
+        upto = np.cumsum(before)
+        for at in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+            mine = slice(*np.searchsorted(upto, (at, at + PAIRS), side="right"))
+            # Rows whose pairs end in this stretch; a row has `most` pairs at the most, so stretches stay near their size.
+            count = before[mine]
+            y = np.repeat(rows[mine], count)
+            x = np.repeat(first[mine], count) + np.arange(len(y)) - np.repeat(np.cumsum(count) - count, count)
+            free = np.repeat(long[mine], count)
+            yield from pairs(x[~free], y[~free], s, n, last, False)
+            yield from pairs(x[free], y[free], s, n, last, True)
 
     def pairs(x: np.ndarray, y: np.ndarray, s: np.ndarray, n: np.ndarray, last: np.ndarray, free: bool) -> Iterator[pa.RecordBatch]:
         near = np.minimum(n[x], n[y]) * 100 >= percent * np.maximum(n[x], n[y]) if not free else np.ones(len(x), bool)
