@@ -184,14 +184,14 @@ def test_hourly_run(spark, tmp_path, posts, caplog):
 
 
 def test_model_versions(spark, tmp_path):
-    from pyspark.ml import Pipeline
+    from zephyrframe.operators.boosting import Booster
 
-    rows = spark.createDataFrame([(1.0, "NO2")], "x double, substance_code string")
-    fitted = Pipeline(stages=[]).fit(rows)
+    rows = spark.createDataFrame([(1.0, 2.0, "NO2")], "x double, y double, substance_code string")
+    fitted = Booster(["x"], "y", 1, 2, 0.1).fit(rows)
     path = str(tmp_path / "model")
     with pytest.raises(FileNotFoundError):
         model.Artifact.load(path)
     for k in (1, 2):
         model.Artifact(fitted, ["x"], {"k": k}).save(path)
-    fitted.write().save(f"{path}/v00000003/model")  # a save that was cut off before its metadata
+    rows.write.parquet(f"{path}/v00000003/model")  # a save that was cut off before its metadata
     assert model.versions(spark, path) == [1, 2] and model.Artifact.load(path).metadata == {"k": 2}

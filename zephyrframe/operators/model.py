@@ -6,40 +6,36 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zephyrframe.operators.boosting import Booster, Trees
 from zephyrframe.operators.evaluation import assign_split, metrics_by_sets, persistence, regression_metrics, residual_intervals, should_activate
 from zephyrframe.operators.frames import feature_columns
 from zephyrframe.operators.predictions import forecast_value
 from zephyrframe.settings import DEFAULTS, Settings
 
 MODE = "physical_residual"
-#: Stands for a missing number; trees split it off, as all features lie far above.
-MISSING = -1e6
 
 
 @dataclass
 class Artifact:
     """A fitted model with what is needed to use and judge it."""
 
-    model: PipelineModel
+    model: Trees
     features: list[str]
     metadata: dict = field(default_factory=dict)
 
     def predict(self, frame: DataFrame, name: str = "residual") -> DataFrame:
         """Adds the predicted residual; columns the frame lacks count as missing."""
-        return self.model.transform(prepared(frame, self.features)).withColumn(name, F.col("__prediction")).drop("__prediction", "__features", "__code", *[f"__f_{c}" for c in self.features])
+        return prepared(frame, self.features, self.model.features).withColumn(name, self.model.column()).drop(*self.model.features)
 
     def save(self, path: str) -> None:
         """Model and metadata as the next version below a path; a version counts once its metadata, written last, is whole."""
         spark = SparkSession.getActiveSession()
         old = versions(spark, path)
         folder = f"{path}/v{max(old, default=0) + 1:08d}"
-        self.model.write().overwrite().save(f"{folder}/model")
+        spark.createDataFrame([(self.model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model")
         spark.createDataFrame([(json.dumps({"features": self.features, "metadata": self.metadata}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
 
     @classmethod
@@ -51,7 +47,7 @@ class Artifact:
             raise FileNotFoundError(f"no model below {path}")
         folder = f"{path}/v{max(found):08d}"
         about = json.loads(spark.read.text(f"{folder}/about").first()[0])
-        return cls(PipelineModel.load(f"{folder}/model"), about["features"], about["metadata"])
+        return cls(Trees.from_json(spark.read.text(f"{folder}/model").first()[0]), about["features"], about["metadata"])
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
@@ -63,18 +59,18 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and system.exists(files.Path(f"{path}/{n}/about/_SUCCESS"))]
 
 
-def prepared(frame: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Numeric features under names of their own, missing ones marked; the gas code never missing."""
-    value = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(MISSING)) if c in frame.columns else F.lit(MISSING)
-    return frame.select("*", *[value(c).alias(f"__f_{c}") for c in features]).withColumn("substance_code", F.coalesce("substance_code", F.lit("__MISSING__")))
+def prepared(frame: DataFrame, features: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Features as numbers under names of their own (`names`: those, then one for each gas, 1 where it is the row's); what a frame lacks is missing."""
+    value = lambda c: F.col(c).cast("double") if c in frame.columns else F.lit(None).cast("double")
+    gases = names[len(features) :]
+    code = F.coalesce("substance_code", F.lit(""))
+    return frame.select("*", *[value(c).alias(n) for c, n in zip(features, names)], *[(code == n.removeprefix("__gas_")).cast("double").alias(n) for n in gases])
 
 
-def estimator(features: Sequence[str], settings: Settings = DEFAULTS) -> Pipeline:
-    """Index the gas code, assemble, and boost trees."""
-    index = StringIndexer(inputCol="substance_code", outputCol="__code", handleInvalid="keep", stringOrderType="alphabetAsc")
-    vector = VectorAssembler(inputCols=[*[f"__f_{c}" for c in features], "__code"], outputCol="__features")
-    trees = GBTRegressor(featuresCol="__features", labelCol="correction_target", predictionCol="__prediction", maxIter=settings.iterations, maxDepth=settings.depth, stepSize=settings.learning_rate, seed=settings.seed)
-    return Pipeline(stages=[index, vector, trees])
+def estimator(features: Sequence[str], settings: Settings = DEFAULTS) -> Booster:
+    """The trees to fit, on the features and an indicator of each gas."""
+    names = [*[f"__f_{c}" for c in features], *[f"__gas_{g}" for g in settings.gases]]
+    return Booster(names, "correction_target", settings.iterations, settings.depth, settings.learning_rate)
 
 
 def with_correction_target(frame: DataFrame) -> DataFrame:
@@ -86,7 +82,8 @@ def with_correction_target(frame: DataFrame) -> DataFrame:
 def fit(frame: DataFrame, settings: Settings = DEFAULTS) -> Artifact:
     """A model on all rows of a training frame."""
     features = feature_columns(frame, with_post=False)
-    return Artifact(estimator(features, settings).fit(prepared(frame, features)), features)
+    trees = estimator(features, settings)
+    return Artifact(trees.fit(prepared(frame, features, trees.features)), features)
 
 
 def evaluate(frame: DataFrame, artifact: Artifact) -> DataFrame:

@@ -9,6 +9,7 @@ table is never read and overwritten by one job and a job that fails loses nothin
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -48,6 +49,17 @@ def write_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> Non
     df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; one of this machine only where a local session names none."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="zephyrframe-"))
+    return context.getCheckpointDir()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table was ever written below a path."""
     try:
