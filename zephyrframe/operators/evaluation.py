@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from zephyrframe.functions.expressions import shift_hours
 from zephyrframe.operators.frames import own_gas
+from zephyrframe.operators.quantiles import group_quantiles
 from zephyrframe.settings import DEFAULTS, Settings
 
 
@@ -48,8 +49,9 @@ def compare_predictors(frame: DataFrame, predictors: Mapping[str, str], actual:
 
 def residual_intervals(frame: DataFrame, actual: str, predicted: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """lower and upper quantile of actual - predicted for each gas."""
-    residual = F.col(actual) - F.col(predicted)
-    return frame.groupBy("substance_code").agg(F.percentile(residual, F.lit(low)).alias("lower"), F.percentile(residual, F.lit(high)).alias("upper"))
+    residuals = frame.select("substance_code", (F.col(actual) - F.col(predicted)).alias("residual"))
+    found = group_quantiles(residuals, ["substance_code"], "residual", [low, high], write=True)
+    return found.select("substance_code", F.col("quantiles")[0].alias("lower"), F.col("quantiles")[1].alias("upper"))
 
 
 def persistence(settings: Settings = DEFAULTS) -> Column:
