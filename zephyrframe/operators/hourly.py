@@ -9,7 +9,7 @@ windows and the hourly aggregate keep that partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,14 +35,18 @@ def _order(tie: str | None) -> list[str]:
     return ["timestamp", *([tie] if tie else [])]
 
 
+def _slice(settings: Settings) -> Column:
+    hour = F.unix_seconds(local_hour(F.col("timestamp"), settings.timezone))
+    return F.floor(hour / (3600 * SLICE_HOURS)).cast("long")
+
+
 def with_two_before(samples: DataFrame, tie: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Adds __slice and, of the two samples before each one in its series, microseconds (__t1, __t2) and values (__v1, __v2).
 
     A slice gets the two samples before it as a halo. They are among the last two samples of
     slices, a table of two rows a slice, where a slice's first row follows them.
     """
-    hour = F.unix_seconds(local_hour(F.col("timestamp"), settings.timezone))
-    cut = samples.withColumn("__slice", F.floor(hour / (3600 * SLICE_HOURS)).cast("long"))
+    cut = samples.withColumn("__slice", _slice(settings))
     backwards = Window.partitionBy(*SLICED).orderBy(*[F.desc(c) for c in _order(tie)])
     ends = cut.withColumn("__back", F.row_number().over(backwards)).filter("__back <= 2").drop("__back")
     along = Window.partitionBy(*SERIES).orderBy(*_order(tie))
@@ -57,12 +61,22 @@ def with_two_before(samples: DataFrame, tie: str | None = None, settings: Settin
     return both.withColumns(before).filter(~F.col("__halo")).drop("__halo")
 
 
+def cadences(samples: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """cadence_s by series and slice, for series of two instants or more: the median of a series' positive intervals, those inside slices and those between them."""
+    cut = samples.select(*SERIES, F.unix_micros("timestamp").alias("t"), _slice(settings).alias("__slice"))
+    inside = cut.select(*SERIES, (F.col("t") - F.lag("t").over(Window.partitionBy(*SLICED).orderBy("t"))).alias("d"))
+    spans = cut.groupBy(*SLICED).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    between = spans.select(*SERIES, (F.col("first") - F.lag("last").over(Window.partitionBy(*SERIES).orderBy("__slice"))).alias("d"))
+    intervals = inside.unionByName(between).filter("d > 0").select(*SERIES, (F.col("d") / 1e6).alias("delta_s"))
+    found = group_quantiles(intervals, SERIES, "delta_s", [0.5]).select(*SERIES, F.col("quantiles")[0].alias("cadence_s"))
+    return spans.select(*SLICED).join(found, list(SERIES))
+
+
 def with_gaps(samples: DataFrame, tie: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """`with_two_before` with delta_s, cadence_s (the median of a series' positive intervals) and __begins: an interval above three cadences."""
     out = with_two_before(samples, tie, settings).withColumn("delta_s", (F.unix_micros("timestamp") - F.col("__t1")) / 1e6)
-    cadence = group_quantiles(out.filter("delta_s > 0"), SERIES, "delta_s", [0.5]).select(*SERIES, F.col("quantiles")[0].alias("cadence_s"))
-    # One row a series: broadcast while it is small, else a join whose hot series Spark splits.
-    out = out.join(cadence, list(SERIES), "left")
+    # By slice, so that samples stay where they are.
+    out = out.join(cadences(samples, settings), list(SLICED), "left")
     return out.withColumn("__begins", F.coalesce(F.col("delta_s") > 3 * F.col("cadence_s"), F.lit(False)))
 
 
