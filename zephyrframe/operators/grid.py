@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from zephyrframe.functions.expressions import clip, clip0
 from zephyrframe.settings import DEFAULTS, Settings
+from zephyrframe.sources.store import checkpoint_dir
 
 #: Correlation left at the influence radius, and the samples an aggregated source stands for.
 COVARIANCE_AT_RADIUS = 0.05
@@ -38,19 +39,64 @@ def mesh(points: DataFrame, keys: Sequence[str], step: float, padding: float) ->
     return cells.select(*keys, (F.col("column") - F.col("x_low")).cast("int").alias("grid_x"), (F.col("row") - F.col("y_low")).cast("int").alias("grid_y"), (F.col("column") * step).alias("x"), (F.col("row") * step).alias("y"))
 
 
+#: Rounds of a search for near stations, each with squares of twice the side.
+RINGS = 60
+
+
+def nearest_stations(cells: DataFrame, stations: DataFrame, keys: Sequence[str], cell: Sequence[str], k: int) -> DataFrame:
+    """keys, cell and `near`: the k nearest stations of its key (monitoring_post_id, sx, sy, v) as structs d, id, v, nearest first, ties by id.
+
+    Stations are laid into squares, whose side lets a block of nine hold a few times k of them, and
+    a cell meets those of its block only. It is done once its k-th distance is below that to the block's edge,
+    or the block holds every station of the key; the others go on with squares of twice the side.
+    A cell whose key has no station has no row.
+    """
+    c = F.col
+    box = stations.groupBy(*keys).agg(*[f(x).alias(f"__{n}_{x}") for n, f in (("low", F.min), ("high", F.max)) for x in ("sx", "sy")], F.count("*").alias("__n"))
+    wide, tall = c("__high_sx") - c("__low_sx"), c("__high_sy") - c("__low_sy")
+    side = F.greatest(F.sqrt(F.greatest(wide, F.lit(1.0)) * F.greatest(tall, F.lit(1.0)) * k / (3 * c("__n"))), F.lit(1.0))
+    box = box.withColumn("__side", side)
+    checkpoint_dir(cells.sparkSession)
+    # Sides and squares are the same for all rounds but for a power of two.
+    placed, pending, done = stations.join(box.select(*keys, "__side"), list(keys)), cells.join(box, list(keys)), None
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    for ring in range(RINGS):
+        now = c("__side") * 2.0**ring
+        square = lambda v, now=now: F.floor(c(v) / now)
+        known = placed.select(*keys, square("sx").alias("__bx"), square("sy").alias("__by"), "monitoring_post_id", "sx", "sy", "v")
+        asked = pending.withColumns({"__qx": square("x"), "__qy": square("y"), "__o": F.explode(offsets)}).withColumns({"__bx": c("__qx") + c("__o.i"), "__by": c("__qy") + c("__o.j")})
+        met = asked.join(known, [*keys, "__bx", "__by"], "left").withColumn("d", F.hypot(c("x") - c("sx"), c("y") - c("sy")))
+        order = Window.partitionBy(*keys, *cell).orderBy(F.asc_nulls_last("d"), "monitoring_post_id")
+        ranked = met.withColumn("__rank", F.row_number().over(order)).filter(c("__rank") <= k)
+        held = F.collect_list(F.when(c("d").isNotNull(), F.struct("d", c("monitoring_post_id").alias("id"), "v")))
+        kept = [x for x in pending.columns if x not in (*keys, *cell)]
+        rows = ranked.groupBy(*keys, *cell).agg(F.array_sort(held).alias("near"), *[F.first(x).alias(x) for x in (*kept, "__qx", "__qy")])
+        edge = F.least(*[e for v, q in (("x", "__qx"), ("y", "__qy")) for e in (c(v) - (c(q) - 1) * now, (c(q) + 2) * now - c(v))])
+        all_in = F.lit(True)
+        for v, q in (("sx", "__qx"), ("sy", "__qy")):
+            all_in = all_in & ((c(q) - 1) * now <= c(f"__low_{v}")) & (c(f"__high_{v}") < (c(q) + 2) * now)
+        sure = all_in | (F.size("near") >= k) & (F.element_at(c("near")["d"], -1) < edge)
+        rows = rows.withColumn("__sure", sure).checkpoint()
+        found = rows.filter("__sure").select(*keys, *cell, "near")
+        done = found if done is None else done.unionByName(found)
+        pending = rows.filter("not __sure").select(*pending.columns)
+        if pending.isEmpty():
+            return done
+    raise ArithmeticError("some cells lie too far from their stations")
+
+
 def nearest_idw(cells: DataFrame, stations: DataFrame, keys: Sequence[str], cell: Sequence[str], value: str, k: int = 4) -> DataFrame:
     """keys, cell, interpolated: inverse squared distance of the k nearest stations; an exact hit returns its value.
 
-    Ties of distance go to the lowest station id. A cell meets every station of its key, so the cost is cells times
-    stations; the limit of the rank is applied before its shuffle as well as after.
+    Ties of distance go to the lowest station id. Stations without a value or a place don't count.
     """
-    known = stations.filter(F.col(value).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, F.col("monitoring_post_id"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(value).alias("v"))
-    pairs = cells.join(known, list(keys)).withColumn("d", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")))
-    order = Window.partitionBy(*keys, *cell).orderBy("d", "monitoring_post_id")
-    near = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    weight = 1.0 / F.pow(F.greatest("d", F.lit(1.0)), F.lit(2.0))
-    out = near.groupBy(*keys, *cell).agg(F.sum(weight * F.col("v")).alias("a"), F.sum(weight).alias("b"), F.min("d").alias("nearest"), F.min_by("v", F.struct("d", "monitoring_post_id")).alias("hit"), F.count("*").alias("n"))
-    return out.select(*keys, *cell, F.when((F.col("n") == 1) | (F.col("nearest") <= 1e-9), F.col("hit")).otherwise(F.col("a") / F.col("b")).alias("interpolated"))
+    known = stations.filter(F.col(value).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, F.col("monitoring_post_id"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(value).cast("double").alias("v"))
+    near = nearest_stations(cells.select(*keys, *cell, "x", "y"), known, keys, cell, k)
+    weight = lambda s: 1.0 / F.pow(F.greatest(s["d"], F.lit(1.0)), F.lit(2.0))
+    total = lambda f: F.aggregate("near", F.lit(0.0), lambda a, s: a + f(s))
+    first = F.col("near")[0]
+    mean = total(lambda s: weight(s) * s["v"]) / total(weight)
+    return near.select(*keys, *cell, F.when((F.size("near") == 1) | (first["d"] <= 1e-9), first["v"]).otherwise(mean).alias("interpolated"))
 
 
 def sample_nearest(queries: DataFrame, cells: DataFrame, keys: Sequence[str], query: Sequence[str], value: str, step: float, default: float) -> DataFrame:
@@ -118,15 +164,26 @@ def anchor_weather(speed: Column, direction: Column, height: Column, rain: Colum
 def backward_correction(cells: DataFrame, stations: DataFrame, keys: Sequence[str], cell: Sequence[str], step: float, settings: Settings = DEFAULTS) -> DataFrame:
     """keys, cell, correction, weight: what innovations say about the air that reached the stations within the hour.
 
-    `stations` has x, y, innovation, confidence, u, v. The path leads one hour upwind.
+    `stations` has x, y, innovation, confidence, u, v. The path leads one hour upwind. A
+    station's path, widened by the influence radius, is laid out in squares of half a radius, and cells
+    meet the stations of their square only; other cells of a key with moving stations get 0.
     """
     import math
 
     radius = float(settings.influence_meters)
+    side = radius / 2
     s = stations.select(*keys, F.col("x").alias("sx"), F.col("y").alias("sy"), "innovation", F.col("confidence").alias("trust"), "u", "v", (-F.col("u") * 3600.0).alias("px"), (-F.col("v") * 3600.0).alias("py"))
     s = s.withColumn("way", F.hypot("px", "py")).filter((F.col("way") >= step) & F.col("innovation").isNotNull())
     c = F.col
-    pairs = cells.join(s, list(keys))
+    # Points of the path lie `side` apart at most, so what is within the radius of the path is within that and half a side of one.
+    reach = radius + side / 2 + 1.0
+    stops = F.ceil(c("way") / side).cast("int")
+    low, high = (lambda x: F.floor((x - reach) / side)), (lambda x: F.floor((x + reach) / side))
+    around = lambda x, y: F.flatten(F.transform(F.sequence(low(x), high(x)), lambda i: F.transform(F.sequence(low(y), high(y)), lambda j: F.struct(i.alias("bx"), j.alias("by")))))
+    swept = F.flatten(F.transform(F.sequence(F.lit(0), stops), lambda k: around(c("sx") + c("px") * (k / stops), c("sy") + c("py") * (k / stops))))
+    laid = s.withColumn("__square", F.explode(F.array_distinct(swept))).select("*", "__square.bx", "__square.by").drop("__square")
+    there = cells.withColumns({"bx": F.floor(c("x") / side), "by": F.floor(c("y") / side)})
+    pairs = there.join(laid, [*keys, "bx", "by"])
     part = clip(((c("x") - c("sx")) * c("px") + (c("y") - c("sy")) * c("py")) / (c("way") * c("way")), step / c("way"), 1.0)
     pairs = pairs.withColumn("part", part).withColumns({"dx": c("x") - c("sx") - c("px") * c("part"), "dy": c("y") - c("sy") - c("py") * c("part")})
     speed = F.hypot("u", "v")
@@ -137,7 +194,8 @@ def backward_correction(cells: DataFrame, stations: DataFrame, keys: Sequence[st
     strength = F.exp(-0.5 * ((along / long) * (along / long) + (across / narrow) * (across / narrow))) * F.exp(-c("part")) * c("trust")
     strength = F.when(F.hypot("dx", "dy") > radius, 0.0).otherwise(strength)
     sums = pairs.groupBy(*keys, *cell).agg(F.sum(strength * c("innovation")).alias("a"), F.sum(strength).alias("b"))
-    return sums.select(*keys, *cell, F.coalesce(F.try_divide("a", "b"), F.lit(0.0)).alias("correction"), clip(c("b"), 0.0, 1.0).alias("weight"))
+    every = cells.join(s.select(*keys).distinct(), list(keys), "left_semi").select(*keys, *cell).join(sums, [*keys, *cell], "left")
+    return every.select(*keys, *cell, F.coalesce(F.try_divide("a", "b"), F.lit(0.0)).alias("correction"), clip(F.coalesce("b", F.lit(0.0)), 0.0, 1.0).alias("weight"))
 
 
 def deposit(points: DataFrame, keys: Sequence[str], step: float, low: tuple[Column, Column], shape: tuple[Column, Column], value: str = "value") -> DataFrame:

@@ -184,19 +184,6 @@ def _flattened(rows: DataFrame, *part: str) -> DataFrame:
     return shown(flat.select("monitoring_post_id", "bucket_start", "air_temp", "hor_win_spd", "model_latitude"), hour="bucket_start")
 
 
-@query(
-    f"""SELECT post AS monitoring_post_id, h AS hour, {r('air_temp', 'CASE WHEN h - lo < 5 THEN hor_win_spd END AS hor_win_spd', 'lat AS model_latitude')} FROM (
-    SELECT *, min(h) OVER () AS lo FROM wx) JOIN pst USING (post) WHERE h - lo < 48""",
-    "wx",
-    "pst",
-)
-def weather_json_flatten(spark, sf_dir):
-    """Payloads with a short array and eleven missing ones; the first 48 hours, as its SQL has them."""
-    rows = _weather_rows(spark, sf_dir)
-    first = rows.agg(F.min("n").alias("lo"))
-    return _flattened(rows.join(F.broadcast(first), F.col("n") - F.col("lo") < 48))
-
-
 @query(
     f"""SELECT post AS monitoring_post_id, h AS hour, {r('air_temp', 'CASE WHEN k <= 5 THEN hor_win_spd END AS hor_win_spd', 'lat AS model_latitude')} FROM (
     SELECT *, row_number() OVER (PARTITION BY post, h // 24 ORDER BY h) AS k FROM wx) JOIN pst USING (post)""",
@@ -351,12 +338,6 @@ def _persistence(h: DataFrame) -> DataFrame:
     return shown(frame.select("monitoring_post_id", "substance_code", "source_bucket", "persistence"), hour="source_bucket")
 
 
-@query(f"SELECT {KEYS}, h AS hour, {r('lag0 AS persistence')} FROM bas WHERE post < 5", "bas")
-def persistence(spark, sf_dir):
-    """Posts with raw samples, as its SQL has them."""
-    return _persistence(S.hourly(spark, sf_dir).filter("monitoring_post_id < 5"))
-
-
 @query(f"SELECT {KEYS}, h AS hour, {r('lag0 AS persistence')} FROM bas", "bas")
 def persistence_all_posts(spark, sf_dir):
     return _persistence(S.hourly(spark, sf_dir))
@@ -630,11 +611,6 @@ def _weathered(spark: SparkSession, w: DataFrame) -> DataFrame:
     return _placed(spark).join(w, "monitoring_post_id").withColumns({"field": F.lit(1), "u": u, "v": v, "innovation": F.col("monitoring_post_id") * 1.5 - 3, "confidence": 1.0 / F.col("monitoring_post_id")})
 
 
-def _stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations of one hour, as the SQL has them; the queries named _hours have all."""
-    return _weathered(spark, S.live(spark, sf_dir).filter(F.col("bucket_start") == at(FROM_HOUR)))
-
-
 HOURS = ["field", "hour"]
 
 
@@ -649,24 +625,17 @@ def _mesh_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.mesh(hours.crossJoin(F.broadcast(_placed(spark))).withColumn("field", F.lit(1)), HOURS, STEP, _PAD)
 
 
-_STATIONS = f"""SELECT s.*, w.hor_win_spd, w.hor_win_dir, w.boundary_layer_height, coalesce(sin(radians(fmod(hor_win_dir + 180, 360))) * hor_win_spd, 0) AS u, coalesce(cos(radians(fmod(hor_win_dir + 180, 360))) * hor_win_spd, 0) AS v,
-    s.post * 1.5e0 - 3 AS innovation, 1.0e0 / s.post AS confidence FROM ({_XY}) s JOIN wx w ON w.post = s.post AND w.h = {FROM_HOUR}"""
+_STATIONS = f"""SELECT s.*, w.h, w.hor_win_spd, w.hor_win_dir, w.boundary_layer_height, coalesce(sin(radians(fmod(hor_win_dir + 180, 360))) * hor_win_spd, 0) AS u, coalesce(cos(radians(fmod(hor_win_dir + 180, 360))) * hor_win_spd, 0) AS v,
+    s.post * 1.5e0 - 3 AS innovation, 1.0e0 / s.post AS confidence FROM ({_XY}) s JOIN wx w ON w.post = s.post"""
 
 
 @query(
-    f"""SELECT grid_x, grid_y, {r('CASE WHEN count(*) = 1 OR min(d) <= 1e-9 THEN arg_min(val, rk) ELSE sum(val / pow(greatest(d, 1), 2)) / sum(1 / pow(greatest(d, 1), 2)) END AS interpolated')} FROM (
-    SELECT *, row_number() OVER (PARTITION BY grid_x, grid_y ORDER BY d, post) AS rk FROM (SELECT grid_x, grid_y, s.post, s.boundary_layer_height AS val, sqrt(pow(m.x - s.x, 2) + pow(m.y - s.y, 2)) AS d FROM ({_MESH}) m, ({_STATIONS}) s WHERE s.boundary_layer_height IS NOT NULL))
+    f"""SELECT h AS hour, grid_x, grid_y, {r('CASE WHEN count(*) = 1 OR min(d) <= 1e-9 THEN arg_min(val, rk) ELSE sum(val / pow(greatest(d, 1), 2)) / sum(1 / pow(greatest(d, 1), 2)) END AS interpolated')} FROM (
+    SELECT *, row_number() OVER (PARTITION BY h, grid_x, grid_y ORDER BY d, post) AS rk FROM (SELECT s.h, grid_x, grid_y, s.post, s.boundary_layer_height AS val, sqrt(pow(m.x - s.x, 2) + pow(m.y - s.y, 2)) AS d FROM ({_MESH}) m, ({_STATIONS}) s WHERE s.boundary_layer_height IS NOT NULL))
     WHERE rk <= 4 GROUP BY ALL""",
     "pst",
     "wx",
 )
-def knn_idw(spark, sf_dir):
-    cells = _mesh(spark)
-    out = grid.nearest_idw(cells, _stations(spark, sf_dir), ["field"], ["grid_x", "grid_y"], "boundary_layer_height")
-    return shown(out.drop("field"))
-
-
-@query()
 def knn_idw_hours(spark, sf_dir):
     out = grid.nearest_idw(_mesh_hours(spark, sf_dir), _stations_hours(spark, sf_dir), HOURS, ["grid_x", "grid_y"], "boundary_layer_height")
     return shown(out.drop("field"))
@@ -687,19 +656,6 @@ def nearest_within_radius(spark, sf_dir):
 _LOW = f"(SELECT min(x) FROM ({_MESH}))", f"(SELECT min(y) FROM ({_MESH}))"
 
 
-@query(
-    f"""SELECT (floor(fx) + dx)::INT AS grid_x, (floor(fy) + dy)::INT AS grid_y, {r('sum(post * abs(1 - dx - (fx - floor(fx))) * abs(1 - dy - (fy - floor(fy)))) AS value')} FROM (
-    SELECT post, (x + 137 - {_LOW[0]}) / 500 AS fx, (y - 5000 - {_LOW[1]}) / 500 AS fy FROM ({_XY})), (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)
-    WHERE floor(fx) + dx BETWEEN 0 AND 29 AND floor(fy) + dy BETWEEN 0 AND 19 GROUP BY ALL""",
-    "pst",
-)
-def bilinear_deposit(spark, sf_dir):
-    low = _mesh(spark).agg(F.min("x").alias("lx"), F.min("y").alias("ly"))
-    points = _placed(spark).join(F.broadcast(low)).select(F.lit(1).alias("field"), (F.col("x") + 137).alias("x"), (F.col("y") - 5000).alias("y"), F.col("monitoring_post_id").cast("double").alias("value"), "lx", "ly")
-    out = grid.deposit(points, ["field"], STEP, (F.col("lx"), F.col("ly")), (F.lit(30), F.lit(20)))
-    return shown(out.drop("field"))
-
-
 @query(
     f"""SELECT {KEYS}, h AS hour, {r('greatest(0.05, least(1, CASE WHEN h % 5 = 0 THEN 0.37 ELSE greatest(0.05, least(1, s / greatest(m, 1))) END)) AS confidence')} FROM (
     SELECT *, max(s) OVER (PARTITION BY code, h) AS m FROM (SELECT post, code, h, CASE WHEN source = 'mosecom' THEN 3.0e0 ELSE samples_count END AS s FROM hourly JOIN pst USING (post)))""",
@@ -737,7 +693,7 @@ def anchor_weather_defaults(spark, sf_dir):
 
 _RHO = """exp(-0.5 * (pow((dx * eu + dy * ev) / lo, 2) + pow((dy * eu - dx * ev) / na, 2)))"""
 _PAIRS = f"""SELECT *, CASE WHEN sp > 0.1 THEN u / sp ELSE 0 END AS eu, CASE WHEN sp > 0.1 THEN v / sp ELSE 1 END AS ev, 10000 / sqrt(2.0e0) AS lo, CASE WHEN sp > 0.1 THEN 10000 / sqrt(2.0e0) / (1 + least(sp / 5, 2)) ELSE 10000 / sqrt(2.0e0) END AS na FROM (
-    SELECT m.grid_x, m.grid_y, s.post, m.x - s.x AS dx, m.y - s.y AS dy, s.u, s.v, sqrt(s.u * s.u + s.v * s.v) AS sp FROM ({_MESH}) m, ({_STATIONS}) s)"""
+    SELECT s.h, m.grid_x, m.grid_y, s.post, m.x - s.x AS dx, m.y - s.y AS dy, s.u, s.v, sqrt(s.u * s.u + s.v * s.v) AS sp FROM ({_MESH}) m, ({_STATIONS}) s)"""
 
 
 def _correlated(cells: DataFrame, stations: DataFrame, keys: list[str]) -> DataFrame:
@@ -746,10 +702,6 @@ def _correlated(cells: DataFrame, stations: DataFrame, keys: list[str]) -> DataF
     return cells.join(s, keys).withColumn("rho", rho)
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _correlated(_mesh(spark), F.broadcast(_stations(spark, sf_dir)), ["field"])
-
-
 def _pairs_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlated(_mesh_hours(spark, sf_dir), _stations_hours(spark, sf_dir), HOURS)
 
@@ -760,69 +712,37 @@ def _single() -> dict[str, Column]:
     return grid.single_update(bg, bc, F.lit(2.0), F.lit(0.3), F.lit(7.5), F.lit(0.8), F.col("rho"))
 
 
-@query(f"SELECT grid_x, grid_y, post AS monitoring_post_id, {r(_RHO + ' AS rho')} FROM ({_PAIRS})", "pst", "wx")
-def anisotropic_correlation(spark, sf_dir):
-    return shown(_pairs(spark, sf_dir).select("grid_x", "grid_y", "monitoring_post_id", "rho"))
-
-
-@query()
+@query(f"SELECT h AS hour, grid_x, grid_y, post AS monitoring_post_id, {r(_RHO + ' AS rho')} FROM ({_PAIRS})", "pst", "wx")
 def anisotropic_correlation_hours(spark, sf_dir):
     return shown(_pairs_hours(spark, sf_dir).select("hour", "grid_x", "grid_y", "monitoring_post_id", "rho"))
 
 
 @query(
-    f"""SELECT grid_x, grid_y, {r('greatest(0, bg + inc) AS value', 'greatest(0, least(1, greatest(bc, 1 - greatest(0, least(1, sv - cov * cov / sys))))) AS confidence', 'inc AS increment')} FROM (
+    f"""SELECT h AS hour, grid_x, grid_y, {r('greatest(0, bg + inc) AS value', 'greatest(0, least(1, greatest(bc, 1 - greatest(0, least(1, sv - cov * cov / sys))))) AS confidence', 'inc AS increment')} FROM (
     SELECT *, cov * (7.5 - 2.0) / sys AS inc FROM (SELECT *, rho * sqrt(sv * 0.7e0) AS cov, 0.7e0 + 0.2e0 AS sys FROM (
-    SELECT grid_x, grid_y, {_RHO} AS rho, (grid_x % 5)::DOUBLE AS bg, (grid_y % 4) / 4.0e0 AS bc, greatest(0.05, least(1, 1 - (grid_y % 4) / 4.0e0)) AS sv FROM ({_PAIRS}) WHERE post = 2)))""",
+    SELECT h, grid_x, grid_y, {_RHO} AS rho, (grid_x % 5)::DOUBLE AS bg, (grid_y % 4) / 4.0e0 AS bc, greatest(0.05, least(1, 1 - (grid_y % 4) / 4.0e0)) AS sv FROM ({_PAIRS}) WHERE post = 2)))""",
     "pst",
     "wx",
 )
-def oi_single_observation(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).filter("monitoring_post_id = 2")
-    return shown(rows.select("grid_x", "grid_y", *[v.alias(k) for k, v in _single().items()]))
-
-
-@query()
 def oi_single_observation_hours(spark, sf_dir):
     rows = _pairs_hours(spark, sf_dir).filter("monitoring_post_id = 2")
     return shown(rows.select("hour", "grid_x", "grid_y", *[v.alias(k) for k, v in _single().items()]))
 
 
 @query(
-    f"""SELECT grid_x, grid_y, {r('coalesce(sum(st * innovation) / nullif(sum(st), 0), 0) AS correction', 'least(1, greatest(0, sum(st))) AS weight')} FROM (
-    SELECT grid_x, grid_y, innovation, CASE WHEN sqrt(dx * dx + dy * dy) > 10000 THEN 0 ELSE exp(-0.5 * (pow((dx * eu + dy * ev) / lo, 2) + pow((dy * eu - dx * ev) / (lo / (1 + least(sp / 5, 2))), 2))) * exp(-fr) * confidence END AS st FROM (
+    f"""SELECT h AS hour, grid_x, grid_y, {r('coalesce(sum(st * innovation) / nullif(sum(st), 0), 0) AS correction', 'least(1, greatest(0, sum(st))) AS weight')} FROM (
+    SELECT h, grid_x, grid_y, innovation, CASE WHEN sqrt(dx * dx + dy * dy) > 10000 THEN 0 ELSE exp(-0.5 * (pow((dx * eu + dy * ev) / lo, 2) + pow((dy * eu - dx * ev) / (lo / (1 + least(sp / 5, 2))), 2))) * exp(-fr) * confidence END AS st FROM (
     SELECT *, rx - px * fr AS dx, ry - py * fr AS dy, u / sp AS eu, v / sp AS ev, 10000 / sqrt(-2 * ln(0.05e0)) AS lo FROM (
     SELECT *, greatest(500 / wy, least(1, (rx * px + ry * py) / (wy * wy))) AS fr FROM (
-    SELECT m.grid_x, m.grid_y, m.x - s.x AS rx, m.y - s.y AS ry, -u * 3600 AS px, -v * 3600 AS py, sqrt(u * u + v * v) * 3600 AS wy, sqrt(u * u + v * v) AS sp, u, v, innovation, confidence FROM ({_MESH}) m, ({_STATIONS}) s WHERE sqrt(u * u + v * v) * 3600 >= 500)))) GROUP BY ALL""",
+    SELECT s.h, m.grid_x, m.grid_y, m.x - s.x AS rx, m.y - s.y AS ry, -u * 3600 AS px, -v * 3600 AS py, sqrt(u * u + v * v) * 3600 AS wy, sqrt(u * u + v * v) AS sp, u, v, innovation, confidence FROM ({_MESH}) m, ({_STATIONS}) s WHERE sqrt(u * u + v * v) * 3600 >= 500)))) GROUP BY ALL""",
     "pst",
     "wx",
 )
-def backward_innovation(spark, sf_dir):
-    out = grid.backward_correction(_mesh(spark), _stations(spark, sf_dir), ["field"], ["grid_x", "grid_y"], STEP)
-    return shown(out.drop("field"))
-
-
-@query()
 def backward_innovation_hours(spark, sf_dir):
     out = grid.backward_correction(_mesh_hours(spark, sf_dir), _stations_hours(spark, sf_dir), HOURS, ["grid_x", "grid_y"], STEP)
     return shown(out.drop("field"))
 
 
-_MASKED = f"""SELECT grid_x, grid_y, CASE WHEN grid_x % 11 <> 0 THEN (grid_y % 3) * 5e-7::DOUBLE END AS v, (grid_x % 9) / 100.0e0 AS c, (grid_y % 7) / 100.0e0 AS b, (grid_x % 4) / 75.0e0 AS w, grid_y % 5 = 0 AS p FROM ({_MESH})"""
-
-
-@query(
-    f"""SELECT grid_x, grid_y, coalesce(v IS NOT NULL AND c >= 0.02 AND (p OR c - b >= 0.02 OR w >= 0.02), FALSE) AS analysis,
-    coalesce(v IS NOT NULL AND c >= 0.02 AND (c - b >= 0.02 OR (b >= 0.02 AND v >= 1e-6)), FALSE) AS forecast, coalesce(v IS NOT NULL AND c >= 0.02 AND (c - b >= 0.02 OR b >= 0.02), FALSE) AS nowcast FROM ({_MASKED})""",
-    "pst",
-)
-def grid_keep_mask(spark, sf_dir):
-    x, y = F.col("grid_x"), F.col("grid_y")
-    v, c, b, w = F.when(x % 11 != 0, (y % 3) * 5e-7), (x % 9) / 100.0, (y % 7) / 100.0, (x % 4) / 75.0
-    masks = {"analysis": grid.analysis_keep(v, c, b, w, y % 5 == 0), "forecast": grid.forecast_keep(v, c, b, F.lit(True)), "nowcast": grid.forecast_keep(v, c, b, F.lit(False))}
-    return _mesh(spark).select("grid_x", "grid_y", *[m.alias(k) for k, m in masks.items()])
-
-
 _FIELD = "SELECT x AS grid_x, y AS grid_y, ((x * 7 + y * 13) % 17)::DOUBLE AS value, ((x + y) % 7) - 3.0e0 AS wind_u, ((x * 2 + y) % 5) - 2.0e0 AS wind_v, 4.0e0 + (x * y) % 36 AS diffusivity FROM generate_series(0, 29) a(x), generate_series(0, 19) b(y)"
 
 
@@ -838,43 +758,12 @@ def _slope(axis: str, line: str) -> str:
     return f"coalesce(CASE WHEN {b} * {a} > 0 THEN sign({b}) * least(abs({b}), abs({a})) END, 0)"
 
 
-_SLOPES = f"SELECT *, {_slope('grid_x', 'grid_y')} AS slope_x, {_slope('grid_y', 'grid_x')} AS slope_y FROM ({_FIELD})"
-
-
-@query(f"SELECT grid_x::INT AS grid_x, grid_y::INT AS grid_y, {r('slope_x', 'slope_y')} FROM ({_SLOPES})")
-def minmod_slope(spark, sf_dir):
-    return shown(grid.limited_slope(_field(spark), ["field"]).select("grid_x", "grid_y", "slope_x", "slope_y"))
-
-
 def _flux(wind: str, slope: str, axis: str, line: str) -> str:
     o = f"OVER (PARTITION BY {line} ORDER BY {axis})"
     face = f"(({wind} + lead({wind}) {o}) / 2)"
     return f"coalesce({face} * CASE WHEN {face} >= 0 THEN value + 0.5 * {slope} ELSE lead(value) {o} - 0.5 * lead({slope}) {o} END - (diffusivity + lead(diffusivity) {o}) / 2 * (lead(value) {o} - value) / 500, greatest({wind}, 0) * value)"
 
 
-@query(
-    f"""SELECT grid_x::INT AS grid_x, grid_y::INT AS grid_y, {r('value - 30.0 / 500 * (ux - coalesce(lag(ux) OVER (PARTITION BY grid_y ORDER BY grid_x), least(wind_u, 0) * value) + uy - coalesce(lag(uy) OVER (PARTITION BY grid_x ORDER BY grid_y), least(wind_v, 0) * value)) AS value')}
-    FROM (SELECT *, {_flux('wind_u', 'slope_x', 'grid_x', 'grid_y')} AS ux, {_flux('wind_v', 'slope_y', 'grid_y', 'grid_x')} AS uy FROM ({_SLOPES}))"""
-)
-def transport_one_step(spark, sf_dir):
-    return shown(grid.transport_step(_field(spark), ["field"], STEP, 30.0).drop("field"))
-
-
-@query(
-    f"""SELECT g AS field, count(*) AS cell_count, {r('min(y - 250) AS south', 'min(x - 250) AS west', 'max(y + 250) AS north', 'max(x + 250) AS east', 'min(value) AS value_min', 'max(value) AS value_max')}, max(grid_x % 4)::INT AS source_station_count,
-    {r('sqrt(pow(avg(wu), 2) + pow(avg(wv), 2)) AS wind_speed', 'CASE WHEN sqrt(pow(avg(wu), 2) + pow(avg(wv), 2)) > 0 THEN fmod(degrees(atan2(avg(wu), avg(wv))) + 540, 360) END AS wind_direction')} FROM (
-    SELECT *, (grid_x % 3)::INT AS g, (grid_x * 3 + grid_y)::DOUBLE AS value, (grid_x % 7) - 2.5e0 AS wu, CASE WHEN grid_y % 5 <> 0 THEN (grid_y % 6) - 1.5e0 END AS wv FROM ({_MESH})) GROUP BY g""",
-    "pst",
-)
-def frame_summary(spark, sf_dir):
-    c = F.col
-    cells = _mesh(spark).withColumns({
-        "field": c("grid_x") % 3, "value": (c("grid_x") * 3 + c("grid_y")).cast("double"), "south": c("y") - 250, "north": c("y") + 250, "west": c("x") - 250, "east": c("x") + 250,
-        "source_station_count": c("grid_x") % 4, "wind_u": c("grid_x") % 7 - 2.5, "wind_v": F.when(c("grid_y") % 5 != 0, c("grid_y") % 6 - 1.5),
-    })
-    return shown(grid.frame_summary(cells, ["field"]))
-
-
 # --- the same over fields of every hour of the tables ---------------------------------------------
 
 _U = "coalesce({}(radians(fmod(hor_win_dir + 180, 360))) * hor_win_spd, 0)"
