@@ -72,3 +72,18 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOC_SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_only_the_result_is_left_in_the_shared_folder(spark, docs, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from zephyrframe.llm import common
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("sharding-") and out.count() > 0

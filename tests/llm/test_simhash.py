@@ -127,3 +127,14 @@ def test_rounds_of_components_are_logarithmic(spark):
     assert got == {k: 0 for k in range(n)} | {k: min(names) for k in names}
     with pytest.raises(ArithmeticError):
         simhash.components(edges, rounds=3)
+
+
+def test_of_rows_alike_in_id_and_text_the_least_stays(spark):
+    text = " ".join(str(k * k) for k in range(60))
+    rows = [(k, text, "en", s, 1) for k in (3, None) for s in ("b", "a", None, "c")] + [(None, "other words " * 9, "en", s, 2) for s in ("z", "y")]
+    kept = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        kept.add(tuple(as_set(simhash.keep_one(spark.createDataFrame(rows, DOC_SCHEMA).repartition(4)), "doc_id", "source")))
+    # JSON leaves nulls out, and then "n_chars" comes before "source".
+    assert kept == {tuple(sorted([(3, None), (None, "y")], key=repr))}

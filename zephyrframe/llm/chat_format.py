@@ -27,7 +27,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class ChatTemplate:
-    """Marks, loss and turn order of a chat format. All marks begin with `lead`."""
+    """Marks, loss and turn order of a chat format.
+
+    The mark that begins a turn begins with `lead`, a character that texts have only escaped, and no mark
+    has the escape character; else a text could forge a turn, so other templates are refused.
+    The mark after a role may be any that no role has; the one after a text is taken off its end.
+    """
 
     before_role: str = "<turn "
     after_role: str = "<:>"
@@ -45,6 +50,14 @@ class ChatTemplate:
     )
     ends: tuple[str, ...] = ("answered",)
 
+    def __post_init__(self) -> None:
+        if len(self.lead) != 1 or len(self.escape) != 1 or self.lead == self.escape or {self.lead, self.escape} & set("el"):
+            raise ValueError("lead and escape are two characters, other than the code letters e and l")
+        if not self.before_role.startswith(self.lead):
+            raise ValueError(f"the mark {self.before_role!r} doesn't begin with {self.lead!r}, so texts could forge it")
+        if not self.after_role or any(self.escape in mark for mark in (self.before_role, self.after_role, self.after_text)):
+            raise ValueError("a role needs a mark after it, and no mark may have the escape character")
+
 
 def escaped(text: Column, template: ChatTemplate) -> Column:
     """A text in which neither the escape character nor a mark's first character is left alone."""
@@ -85,14 +98,13 @@ def format_conversations(turns: DataFrame, template: ChatTemplate = ChatTemplate
 
 def read_turns(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Column:
     """The turns of a formatted conversation: array of (role, text), as they went in."""
-    pieces = F.split(formatted, _literal(template.after_text), -1)
-    # The last piece follows the last mark and is empty.
-    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: _turn(p, template))
+    # Escaped texts hold no `lead`, so turns begin where the first mark stands and nowhere else.
+    pieces = F.split(formatted, _literal(template.before_role), -1)
+    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda p: _turn(p, template))
 
 
 def _turn(piece: Column, template: ChatTemplate) -> Column:
-    inner = F.substring(piece, F.lit(len(template.before_role) + 1), F.length(piece))
-    # Escaped texts hold no `lead`, so the first mark is the only one.
+    inner = F.substring(piece, F.lit(1), F.length(piece) - len(template.after_text))
     cut = F.instr(inner, template.after_role)
     role = F.substring(inner, F.lit(1), cut - 1)
     text = F.substring(inner, cut + len(template.after_role), F.length(inner))

@@ -241,19 +241,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """The rows of `docs` without near copies: of each group the row with the smallest id stays.
 
     Rows of one id with different texts are judged by their own texts: each group
-    keeps one row, of its smallest id the one of smallest digest. Rows with a null
+    keeps one row, of its smallest id the one of smallest digest. Of rows alike in id and
+    text the one whose other columns, as JSON, are least stays, so reruns agree. Rows with a null
     id come last, so they stay only in groups of nothing else, one for each group.
     """
     found = classes(docs, id_col, text_col, radius).select("id", "digest", "root")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
-    own, lead_id, lead = unused(docs, "__own", "__id", "__digest")
+    own, lead_id, lead, row = unused(docs, "__own", "__id", "__digest", "__row")
+    rest = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)], F.lit(0).alias(own)))
+
+    def least(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), rest).alias(row)).select(f"{row}.*")
+
     # Both branches below read the leads; their exchange is the same, so it is made once.
     leads = found.groupBy("root").agg(first).select(F.col("first.id").alias(lead_id), F.col("first.digest").alias(lead))
     named = docs.withColumn(own, F.xxhash64(text_col))
     known = named.filter(F.col(id_col).isNotNull())
     # Rows of an id and digest are alike; naming both lets the join's partitioning serve both steps.
-    known = known.join(leads.filter(F.col(lead_id).isNotNull()), (F.col(id_col) == F.col(lead_id)) & (F.col(own) == F.col(lead)), "left_semi").dropDuplicates([id_col, own])
+    known = known.join(leads.filter(F.col(lead_id).isNotNull()), (F.col(id_col) == F.col(lead_id)) & (F.col(own) == F.col(lead)), "left_semi")
     # Rows without an id may be many of one text, so they are made one before they meet the leads.
-    nameless = named.filter(F.col(id_col).isNull()).dropDuplicates([own])
+    nameless = least(named.filter(F.col(id_col).isNull()), own).withColumn(own, F.xxhash64(text_col))
     nameless = nameless.join(leads.filter(F.col(lead_id).isNull()).select(lead), F.col(own) == F.col(lead), "left_semi")
-    return known.unionByName(nameless).drop(own)
+    return least(known, id_col, own).unionByName(nameless.drop(own))
