@@ -52,13 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; a stage's scratch tables and its input go once its output is written."""
+    """All stages over `documents`, each written; a stage's scratch tables and its input go once its output is there.
+
+    The last stage's table in the shared folder is what is left, as the result reads it.
+    """
     docs, before = read_table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         if before is not None:
             remove(spark, before)
         docs, before = spark.read.parquet(path), path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
