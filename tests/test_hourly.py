@@ -75,3 +75,20 @@ def test_settings_are_checked(monkeypatch):
     monkeypatch.setenv("ZEPHYR_GASES", "CO,NO")
     got = Settings.from_environment()
     assert got.cell_meters == 250 and got.gases == ("CO", "NO")
+
+
+def test_writers_remove_their_own_staged_rows_only(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a", 1.0)], "k int, p string, v double")
+    with store.Staging(spark, path) as other:
+        held = other.put(rows)
+        store.upsert(spark, path, rows, ["k", "p"], ["p"])
+        store.rewrite(spark, path, rows.limit(0), rows, ["p"])
+        assert held.collect() == rows.collect()
+        store.upsert(spark, path, held, ["k", "p"], ["p"])
+    with pytest.raises(RuntimeError), store.Staging(spark, path) as failing:
+        failing.put(rows)
+        raise RuntimeError
+    assert os.listdir(f"{path}/_staging") == [] and spark.read.parquet(path).count() == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zephyrframe.functions.expressions import shift_hours
 from zephyrframe.operators.field import FRAME_TYPES
-from zephyrframe.sources.store import rewrite, staged
+from zephyrframe.sources.store import Staging, rewrite
 
 FORMAT_VERSION = 1
 KEYS = ("substance_code", "hour_start", "data_kind")
@@ -58,9 +58,10 @@ def replace_frames(spark: SparkSession, path: str, cells: DataFrame, wanted: Dat
     parts = ["substance_code", "hour", "data_kind"]
     hour = F.date_format("hour_start", "yyyyMMddHH").alias("hour")
     # Cells come from a solver, so they are written once before they are hashed and stored.
-    named = sealed(staged(encode(cells), path), generated_at).withColumn("hour", hour)
-    touched = named.select(*parts) if wanted is None else wanted.select("substance_code", hour, "data_kind")
-    rewrite(spark, path, named, touched, parts)
+    with Staging(spark, path) as stage:
+        named = sealed(stage.put(encode(cells)), generated_at).withColumn("hour", hour)
+        touched = named.select(*parts) if wanted is None else wanted.select("substance_code", hour, "data_kind")
+        rewrite(spark, path, named, touched, parts)
 
 
 def generations(stored: DataFrame) -> DataFrame:

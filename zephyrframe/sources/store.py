@@ -90,31 +90,42 @@ def replaced(keys: Sequence[str], old: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partitions: Sequence[str]) -> None:
     """Insert new rows or replace those of equal key. `partitions` must be functions of the key."""
-    coming = staged(new, path)
-    rows = coming
-    if exists(spark, path):
-        old = spark.read.parquet(path)
-        touched = coming.select(*partitions).distinct()
-        rows = staged(replaced(keys, old.join(touched, list(partitions), "left_semi").select(*old.columns), coming), path)
-    write_partitions(rows, path, partitions)
-    _remove(spark, f"{path}/_staging")
+    with Staging(spark, path) as stage:
+        rows = coming = stage.put(new)
+        if exists(spark, path):
+            old = spark.read.parquet(path)
+            touched = coming.select(*partitions).distinct()
+            rows = stage.put(replaced(keys, old.join(touched, list(partitions), "left_semi").select(*old.columns), coming))
+        write_partitions(rows, path, partitions)
 
 
 def rewrite(spark: SparkSession, path: str, kept: DataFrame, touched: DataFrame, partitions: Sequence[str]) -> None:
     """Put `kept` in the place of the `touched` partitions (a few rows of their values); those with no row left go."""
-    rows = staged(kept, path)
-    emptied = touched.select(*partitions).distinct().join(rows.select(*partitions).distinct(), list(partitions), "left_anti").collect()
-    write_partitions(rows, path, partitions)
-    for values in emptied:
-        _remove(spark, f"{path}/" + "/".join(f"{p}={values[p]}" for p in partitions))
-    _remove(spark, f"{path}/_staging")
-
-
-def staged(df: DataFrame, path: str) -> DataFrame:
-    """Rows written beside a table and read back; the next upsert or rewrite of the table clears them."""
-    folder = f"{path}/_staging/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    with Staging(spark, path) as stage:
+        rows = stage.put(kept)
+        emptied = touched.select(*partitions).distinct().join(rows.select(*partitions).distinct(), list(partitions), "left_anti").collect()
+        write_partitions(rows, path, partitions)
+        for values in emptied:
+            _remove(spark, f"{path}/" + "/".join(f"{p}={values[p]}" for p in partitions))
+
+
+class Staging:
+    """A folder beside a table for rows that are written and read back; it goes at the block's end, and no other writer's does."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.folder, self.count = spark, f"{path}/_staging/{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *raised) -> None:
+        _remove(self.spark, self.folder)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Rows written here and read back."""
+        self.count += 1
+        df.write.parquet(f"{self.folder}/{self.count}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.count}")
 
 
 def _remove(spark: SparkSession, folder: str) -> bool:
