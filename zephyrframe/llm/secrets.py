@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models compared by likelihood ratio.
 
 The patterns (assignments, access keys, long hexadecimal strings) give the base
-spans. Other candidates are runs of at least 16 token characters with a letter
+spans. Other candidates are runs of at least 12 token characters with a letter
 that aren't plain words: they hold a digit, a mark other than the hyphen, or a
 capital after a small letter. A first-order Markov model of random strings and one
 of ordinary identifiers give each a log-likelihood ratio, and those above a
@@ -45,7 +45,7 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of candidates, in the order of the models' rows.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CLASS = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{_CLASS})(?={_CLASS}{{16}})(?={_CLASS}*[A-Za-z])(?={_CLASS}*[0-9+/_=]|[A-Z-]*+[a-z]{_CLASS}*[A-Z]){_CLASS}+"
+CANDIDATE = rf"(?<!{_CLASS})(?={_CLASS}{{12}})(?={_CLASS}*[A-Za-z])(?={_CLASS}*[0-9+/_=]|[A-Z-]*+[a-z]{_CLASS}*[A-Z]){_CLASS}+"
 
 
 @dataclass(frozen=True)
