@@ -48,9 +48,9 @@ def test_upsert_takes_the_later_version(spark, tmp_path):
     path = str(tmp_path / "t")
     store.upsert(spark, path, old, ["k", "p"], ["p"])
     store.upsert(spark, path, new, ["k", "p"], ["p"])
-    assert {r["k"]: r["v"] for r in spark.read.parquet(path).collect()} == got
+    assert {r["k"]: r["v"] for r in store.read(spark, path).collect()} == got
     assert store.drop_partitions(spark, path, F.col("p") == "a", ["p"]) == 1
-    assert {r["k"] for r in spark.read.parquet(path).collect()} == {2, 3}
+    assert {r["k"] for r in store.read(spark, path).collect()} == {2, 3}
 
 
 def test_negatives_are_normalised(spark):
@@ -91,4 +91,4 @@ def test_writers_remove_their_own_staged_rows_only(spark, tmp_path):
     with pytest.raises(RuntimeError), store.Staging(spark, path) as failing:
         failing.put(rows)
         raise RuntimeError
-    assert os.listdir(f"{path}/_staging") == [] and spark.read.parquet(path).count() == 1
+    assert os.listdir(f"{path}/_staging") == [] and store.read(spark, path).count() == 1

@@ -53,10 +53,10 @@ def test_narrow_upsert_keeps_the_columns_it_lacks(spark, tmp_path):
     path = str(tmp_path / "t")
     store.upsert(spark, path, plain_rows(spark, [(1, 0, 1.0, 9.0), (2, 0, 2.0, 8.0), (3, 1, 3.0, 7.0)], "id int, day int, a double, p95 double"), ("id", "day"), ("day",))
     store.upsert(spark, path, plain_rows(spark, [(1, 0, 5.0), (4, 0, 6.0)], "id int, day int, a double"), ("id", "day"), ("day",))
-    got = {r["id"]: (r["a"], r["p95"]) for r in spark.read.parquet(path).collect()}
+    got = {r["id"]: (r["a"], r["p95"]) for r in store.read(spark, path).collect()}
     assert got == {1: (5.0, 9.0), 2: (2.0, 8.0), 3: (3.0, 7.0), 4: (6.0, None)}
     store.upsert(spark, path, plain_rows(spark, [(2, 0, "new")], "id int, day int, note string"), ("id", "day"), ("day",))
-    r = spark.read.option("mergeSchema", "true").parquet(path).filter("id = 2").first()
+    r = store.read(spark, path).filter("id = 2").first()
     assert (r["a"], r["p95"], r["note"]) == (2.0, 8.0, "new")
 
 
@@ -66,7 +66,7 @@ def test_failed_upsert_leaves_the_table(spark, tmp_path):
     bad = spark.range(3).select(F.col("id").cast("int"), F.lit(0).alias("day"), F.when(F.col("id") == 2, F.raise_error(F.lit("broken")).cast("double")).otherwise(5.0).alias("a"))
     with pytest.raises(Exception, match="broken"):
         store.upsert(spark, path, bad, ("id",), ("day",))
-    assert [tuple(r) for r in spark.read.parquet(path).select("id", "a").collect()] == [(1, 1.0)]
+    assert [tuple(r) for r in store.read(spark, path).select("id", "a").collect()] == [(1, 1.0)]
 
 
 def test_predictions_go_when_their_whole_day_loses_its_measurements(spark, house, posts):
@@ -107,6 +107,40 @@ def test_statuses(spark, house, posts, monkeypatch):
     assert house.predict(posts, T + 10 * HOUR, Fixed()) == {"NO2": 0}
 
 
+def comparable(df):
+    return sorted((tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
+
+
+@pytest.mark.parametrize("lookback", [24, 72])
+def test_one_plan_has_the_rows_of_each_cutoff(spark, house, posts, lookback):
+    """Post 2 lacks an hour and post 3 has no row at all; cutoffs have gaps between them and lie beyond the data."""
+    settings = replace(SMALL, lookback_hours=lookback)
+    table = house.table("hourly").filter((F.col("monitoring_post_id") != 2) | (F.col("bucket_start") != moment(T - 5 * HOUR)))
+    live = readings.weather(house.table("weather"), "live_forecast")
+    more = posts.unionByName(spark.createDataFrame([(3, 55.7, 37.5, None, "own")], posts.schema))
+    active = readings.active_posts(more)
+    cutoffs = [T - 9 * HOUR, T - 4 * HOUR, T, T + HOUR]
+    one = job.inference_frames(table, active, live, cutoffs, settings)
+    each = [job.inference_frame(table, active, live, moment(c), settings) for c in cutoffs]
+    assert comparable(one) == sorted((r for e in each for r in comparable(e.select(*one.columns))), key=repr)
+    assert one.groupBy("data_cutoff").count().orderBy("data_cutoff").select("count").collect() == [(2,), (1,), (2,)]
+
+
+def test_catch_up_predicts_all_cutoffs_and_fails_only_those_that_raise(spark, house, posts):
+    class Half:
+        metadata = {}
+
+        def predict(self, rows):
+            if rows.filter(F.col("data_cutoff") == moment(T - HOUR)).count():
+                raise RuntimeError("bad hour")
+            return rows.withColumn("residual", F.lit(0.0))
+
+    got = house.predict_cutoffs(posts, [T, T - HOUR, T - 2 * HOUR, T + 5 * HOUR], Half())
+    assert {datetime.fromisoformat(k): v["NO2"] for k, v in got.items()} == {T - 2 * HOUR: 2, T - HOUR: 0, T: 2, T + 5 * HOUR: 0}
+    statuses = {(r["data_cutoff"].replace(tzinfo=timezone.utc), r["status"]) for r in house.table("predictions").collect()}
+    assert statuses == {(T - 2 * HOUR, "ready"), (T - HOUR, "failed"), (T, "ready")}
+
+
 def test_fields_start_from_the_stored_forecast(spark, house, posts):
     """With the earlier hour's forecast stored, an hour alone gives what both hours folded together give."""
     house.build_fields(posts, [T - HOUR, T])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zephyrframe.settings import Settings
+from zephyrframe.sources import store
 from zephyrframe.streaming import hourly_stream
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -22,9 +23,9 @@ def test_stream_of_hours_is_upserted(spark, tmp_path):
     feed(spark, source, [(10, 5.0)], "b")
     stream = hourly_stream.hourly_windows(spark.readStream.schema(SCHEMA).parquet(source), Settings(timezone="UTC"))
     hourly_stream.upsert_hourly(stream, target, str(tmp_path / "cp")).awaitTermination()
-    got = {r["bucket_start"].hour: (r["filtered_hourly_mean"], r["samples_count"]) for r in spark.read.parquet(target).collect()}
+    got = {r["bucket_start"].hour: (r["filtered_hourly_mean"], r["samples_count"]) for r in store.read(spark, target).collect()}
     assert got == {0: (3.0, 3), 1: (5.0, 1)}
-    first = spark.read.parquet(target).filter(F.hour("bucket_start") == 0).first()
+    first = store.read(spark, target).filter(F.hour("bucket_start") == 0).first()
     assert (first["raw_hourly_mean"], first["raw_hourly_median"], first["hourly_p95"], first["hourly_min"]) == pytest.approx((3.0, 3.0, 4.8, 1.0))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,12 @@ STATUSES = ("queued", "running", "ready", "failed", "unavailable")
 KEY = ("monitoring_post_id", "substance_code", "target_start")
 
 
-def eligible_rows(history: DataFrame, cutoff: Column, settings: Settings = DEFAULTS) -> DataFrame:
-    """Rows at the cutoff whose own gas has a current value."""
+def eligible_rows(history: DataFrame, cutoff: Column, settings: Settings = DEFAULTS, more: Sequence[Column] = ()) -> DataFrame:
+    """Rows at the cutoff (and at `more` of them) whose own gas has a current value."""
     gases = [g for g in settings.gases if f"gas_{g}_lag_0" in history.columns]
     if not gases:
         return history.filter(F.lit(False))
-    return history.filter((F.col("data_cutoff") == cutoff) & own_gas(gases, "_lag_0").isNotNull())
+    return history.filter(F.col("data_cutoff").isin(cutoff, *more) & own_gas(gases, "_lag_0").isNotNull())
 
 
 def forecast_value(baseline: Column, residual: Column) -> Column:
@@ -74,9 +76,10 @@ def unmeasured(predictions: DataFrame, hourly: DataFrame, cutoff: Column) -> Dat
     return aimed.join(latest, ["monitoring_post_id", "substance_code"], "left_anti")
 
 
-def without_unmeasured(predictions: DataFrame, hourly: DataFrame, cutoff: Column) -> DataFrame:
-    """All other predictions: those that stay."""
-    latest = hourly.filter((F.col("bucket_start") == shift_hours(cutoff, -1)) & F.col("filtered_hourly_mean").isNotNull())
-    latest = latest.select("monitoring_post_id", "substance_code").distinct().withColumn("__seen", F.lit(True))
-    joined = predictions.join(latest, ["monitoring_post_id", "substance_code"], "left")
-    return joined.filter((F.col("target_start") != shift_hours(cutoff, 1)) | F.col("__seen")).drop("__seen")
+def without_unmeasured(predictions: DataFrame, hourly: DataFrame, *cutoffs: Column) -> DataFrame:
+    """All other predictions, of whichever of the cutoffs: those that stay."""
+    keys = ["monitoring_post_id", "substance_code", "target_start"]
+    latest = hourly.filter(F.col("bucket_start").isin(*[shift_hours(c, -1) for c in cutoffs]) & F.col("filtered_hourly_mean").isNotNull())
+    seen = latest.select(*keys[:2], shift_hours(F.col("bucket_start"), 2).alias("target_start")).distinct().withColumn("__seen", F.lit(True))
+    joined = predictions.join(seen, keys, "left").select(*predictions.columns, "__seen")
+    return joined.filter(~F.col("target_start").isin(*[shift_hours(c, 1) for c in cutoffs]) | F.col("__seen")).drop("__seen")

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from zephyrframe.functions.expressions import shift_hours
 from zephyrframe.operators import anchors, baseline, catchup, field, frames, hourly, model, neighbours, predictions
 from zephyrframe.settings import DEFAULTS, Settings
-from zephyrframe.sources import frame_store, readings, store
+from zephyrframe.sources import frame_store, readings, snapshots, store
 
 HOURLY_PARTS = ("day",)
+TABLES = ("hourly", "weather", "predictions", "frames")
 PREDICTED = "monitoring_post_id long, substance_code string, generated_at timestamp, data_cutoff timestamp, target_start timestamp, target_end timestamp, predicted_value double, lower_bound double, upper_bound double, status string, error_message string, updated_at timestamp, day int"
 GENERATED = "substance_code string, hour_start timestamp, data_kind string, generated_at timestamp"
 log = logging.getLogger(__name__)
@@ -29,10 +30,25 @@ def training_frame(table: DataFrame, posts: DataFrame, weather: DataFrame, setti
 
 def inference_frame(table: DataFrame, posts: DataFrame, weather: DataFrame, cutoff: Column, settings: Settings = DEFAULTS) -> DataFrame:
     """Features up to a cutoff; history stays until neighbours have looked back, then only eligible rows."""
-    recent = readings.within(table, "bucket_start", shift_hours(cutoff, -settings.lookback_hours), cutoff)
-    frame = frames.local_frame(recent, posts, weather, settings, training=False, end=shift_hours(cutoff, -1))
-    whole = baseline.add_baseline(neighbours.add_spatial(frames.history_until(frame, cutoff), settings, posts), settings)
-    return predictions.eligible_rows(whole, cutoff, settings)
+    return _eligible(table, posts, weather, cutoff, cutoff, [cutoff], settings)
+
+
+def inference_frames(table: DataFrame, posts: DataFrame, weather: DataFrame, cutoffs: Sequence[datetime], settings: Settings = DEFAULTS) -> DataFrame:
+    """The rows of `inference_frame` for each cutoff, in one plan.
+
+    A row looks back a day at most, so one frame over all cutoffs' hours has each cutoff's rows; lags that a
+    cutoff's own history wouldn't reach are null, as they are there.
+    """
+    rows = _eligible(table, posts, weather, moment(min(cutoffs)), moment(max(cutoffs)), [moment(c) for c in sorted(set(cutoffs))], settings)
+    beyond = [f"gas_{g}_lag_{n}" for g in settings.gases for n in frames.LAGS if n >= settings.lookback_hours]
+    return rows.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in beyond})
+
+
+def _eligible(table: DataFrame, posts: DataFrame, weather: DataFrame, first: Column, last: Column, cutoffs: Sequence[Column], settings: Settings) -> DataFrame:
+    recent = readings.within(table, "bucket_start", shift_hours(first, -settings.lookback_hours), last)
+    frame = frames.local_frame(recent, posts, weather, settings, training=False, end=shift_hours(last, -1))
+    whole = baseline.add_baseline(neighbours.add_spatial(frames.history_until(frame, last), settings, posts), settings)
+    return predictions.eligible_rows(whole, cutoffs[0], settings, cutoffs[1:])
 
 
 def current_cutoff(now: datetime | None = None, settings: Settings = DEFAULTS) -> datetime:
@@ -61,9 +77,9 @@ class Warehouse:
     path: str
     settings: Settings = DEFAULTS
 
-    def table(self, name: str) -> DataFrame:
-        """A stored table."""
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """A version of a stored table, the newest by default; later writes don't change its rows."""
+        return store.read(self.spark, f"{self.path}/{name}", version)
 
     def stored(self, name: str, schema: str) -> DataFrame:
         """A stored table, or none of its rows where it was never written."""
@@ -89,14 +105,15 @@ class Warehouse:
         """Insert or replace weather by post, hour and kind."""
         store.upsert(self.spark, f"{self.path}/weather", with_day(rows), ("monitoring_post_id", "bucket_start", "data_kind"), ("data_kind", "day"))
 
-    def remove_unmeasured(self, cutoff: datetime) -> None:
-        """Delete predictions of the cutoff's next hour whose post had no measurement in the hour before it."""
-        path, at = f"{self.path}/predictions", moment(cutoff)
-        if not store.exists(self.spark, path):
+    def remove_unmeasured(self, *cutoffs: datetime) -> None:
+        """Delete predictions of the cutoffs' next hours whose post had no measurement in the hour before the cutoff."""
+        path, ats = f"{self.path}/predictions", [moment(c) for c in cutoffs]
+        base = snapshots.latest(self.spark, path)
+        if not base:
             return
-        day = F.floor(F.unix_micros(shift_hours(at, 1)) / 86_400_000_000).cast("int")
-        aimed = self.table("predictions").filter(F.col("day") == day)
-        store.rewrite(self.spark, path, predictions.without_unmeasured(aimed, self.table("hourly"), at), aimed, ("day",))
+        days = [F.floor(F.unix_micros(shift_hours(at, 1)) / 86_400_000_000).cast("int") for at in ats]
+        aimed = self.table("predictions", base).filter(F.col("day").isin(*days))
+        store.rewrite(self.spark, path, predictions.without_unmeasured(aimed, self.table("hourly"), *ats), aimed, ("day",), base)
 
     def _mark(self, rows: DataFrame, status: str, error: str | None = None) -> None:
         marked = with_day(predictions.with_status(rows, status, error), "target_start")
@@ -108,10 +125,16 @@ class Warehouse:
         Rows are marked running before the model runs; then they are ready, or
         unavailable without a model, or all failed with what it raised.
         """
-        self.remove_unmeasured(cutoff)
-        counts = dict.fromkeys(self.settings.gases, 0)
+        [counts] = self.predict_cutoffs(posts, [cutoff], artifact).values()
+        return counts
+
+    def predict_cutoffs(self, posts: DataFrame, cutoffs: Sequence[datetime], artifact: model.Artifact | None) -> dict[str, dict[str, int]]:
+        """`predict` of several cutoffs in one plan, by cutoff; where the model raises, each cutoff is tried by itself, so only those that raise fail."""
+        cutoffs = sorted(set(map(_aware, cutoffs)))
+        self.remove_unmeasured(*cutoffs)
+        counts = {c.isoformat(): dict.fromkeys(self.settings.gases, 0) for c in cutoffs}
         live = readings.weather(self.table("weather"), "live_forecast")
-        rows = inference_frame(self.table("hourly"), readings.active_posts(posts), live, moment(cutoff), self.settings).persist()
+        rows = inference_frames(self.table("hourly"), readings.active_posts(posts), live, cutoffs, self.settings).persist()
         try:
             if rows.isEmpty():
                 return counts
@@ -123,9 +146,14 @@ class Warehouse:
                 intervals = self.spark.createDataFrame([(g, float(i["lower"]), float(i["upper"])) for g, i in artifact.metadata.get("residual_intervals", {}).items()], "substance_code string, lower double, upper double")
                 self._mark(predictions.add_bounds(artifact.predict(rows), intervals), "ready")
             except Exception as error:
+                if len(cutoffs) > 1:
+                    return {k: v for c in cutoffs for k, v in self.predict_cutoffs(posts, [c], artifact).items()}
                 self._mark(rows, "failed", str(error))
                 return counts
-            return counts | {r["substance_code"]: r["count"] for r in rows.groupBy("substance_code").count().collect()}
+            made = rows.groupBy(F.unix_seconds("data_cutoff").alias("at"), "substance_code").count().collect()  # cutoffs times gases
+            for r in made:
+                counts[next(c for c in cutoffs if int(c.timestamp()) == r["at"]).isoformat()][r["substance_code"]] = r["count"]
+            return counts
         finally:
             rows.unpersist()
 
@@ -159,6 +187,10 @@ class Warehouse:
             counts |= {r["data_kind"]: r["count"] for r in stored.groupBy("data_kind").count().collect()}
         return counts
 
+    def vacuum(self, hours: float = 24) -> int:
+        """Remove what versions of the tables that were replaced so many hours ago hold alone; returns the number of data folders."""
+        return sum(snapshots.vacuum(self.spark, f"{self.path}/{name}", hours) for name in TABLES)
+
     def missing_cutoffs(self, posts: DataFrame, due: datetime) -> DataFrame:
         """Cutoffs whose fields are missing or stale."""
         start, end = catchup.catchup_bounds(moment(due), self.settings)
@@ -167,8 +199,8 @@ class Warehouse:
         return catchup.cutoffs_to_rebuild(expected, catchup.latest_frames(frames_made, start, end, self.settings.gases), moment(due))
 
     def run_cutoffs(self, posts: DataFrame, cutoffs: Sequence[datetime], artifact: model.Artifact | None) -> dict:
-        """Predict each cutoff, then build the fields of all; the report counts predictions by gas and cells by kind."""
-        made = {c.isoformat(): self.predict(posts, c, artifact) for c in sorted(cutoffs)}
+        """Predict all cutoffs, then build the fields of all; the report counts predictions by gas and cells by kind."""
+        made = self.predict_cutoffs(posts, cutoffs, artifact)
         return {"status": "completed", "rebuilt_cutoffs": sorted(made), "predictions": made, "cells": self.build_fields(posts, cutoffs)}
 
     def run_due(self, posts: DataFrame, samples: DataFrame, aggregated: DataFrame, due: datetime, artifact: model.Artifact | None, sync_weather: Callable[[], None] | None = None, tie: str | None = None) -> dict:
@@ -177,13 +209,16 @@ class Warehouse:
         seconds = self.missing_cutoffs(posts, due).select(F.unix_seconds("cutoff")).collect()  # at most the catch-up hours
         cutoffs = [datetime.fromtimestamp(r[0], timezone.utc) for r in seconds]
         if not cutoffs:
+            self.vacuum()
             return {"status": "up_to_date", "due_cutoff": due.isoformat(), "rebuilt_cutoffs": []}
         if sync_weather is not None:
             try:
                 sync_weather()
             except Exception as error:
                 log.warning("weather wasn't synchronised: %s", error)
-        return {"due_cutoff": due.isoformat()} | self.run_cutoffs(posts, cutoffs, artifact)
+        report = {"due_cutoff": due.isoformat()} | self.run_cutoffs(posts, cutoffs, artifact)
+        self.vacuum()
+        return report
 
 
 def _aware(value: datetime) -> datetime:

@@ -2,21 +2,25 @@
 
 Parquet has no MERGE. An upsert is the union of old and new rows with a
 priority, of which one row by key stays: only the partitions that new rows touch
-are read or written. What is to be written is first staged beside the table (in a
-folder that readers skip), then put in place by dynamic partition overwrite, so a
-table is never read and overwritten by one job and a job that fails loses nothing.
+are read or written. Each change is a new version of the table (`snapshots`), put in
+place by one move: a failure at any step leaves the version before it, readers see
+one version whole, and of two writers the second starts again from the first one's rows.
 """
 
 from __future__ import annotations
 
 import tempfile
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zephyrframe.sources import snapshots
 from zephyrframe.sources.readings import MEASURES
+from zephyrframe.sources.snapshots import Conflict, Staging, Version, read  # noqa: F401
+
+ATTEMPTS = 5
 
 
 def latest_by_key(keys: Sequence[str], *versions: DataFrame) -> DataFrame:
@@ -44,11 +48,6 @@ def normalize_negatives(hourly: DataFrame) -> DataFrame:
     return hourly.select(*[F.when(negative, fixed[c]).otherwise(F.col(c)).alias(c) if c in fixed else F.col(c) for c in hourly.columns])
 
 
-def write_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    """Replace the partitions that `df` has rows for; a large partition is split over writers by its size, small ones share one."""
-    df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session; one of this machine only where a local session names none."""
     context = spark.sparkContext
@@ -62,13 +61,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table was ever written below a path."""
-    try:
-        spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
-    return True
+    return snapshots.latest(spark, path) > 0
 
 
 def replaced(keys: Sequence[str], old: DataFrame, new: DataFrame) -> DataFrame:
@@ -88,52 +81,54 @@ def replaced(keys: Sequence[str], old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select(*[of(c) for c in [*old.columns, *[c for c in new.columns if c not in old.columns]]])
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partitions: Sequence[str]) -> None:
-    """Insert new rows or replace those of equal key. `partitions` must be functions of the key."""
-    with Staging(spark, path) as stage:
-        rows = coming = stage.put(new)
-        if exists(spark, path):
-            old = spark.read.parquet(path)
-            touched = coming.select(*partitions).distinct()
-            rows = stage.put(replaced(keys, old.join(touched, list(partitions), "left_semi").select(*old.columns), coming))
-        write_partitions(rows, path, partitions)
+def _again(change: Callable[[], int]) -> int:
+    """A change of the newest version, started anew where another writer was first."""
+    for _ in range(ATTEMPTS - 1):
+        try:
+            return change()
+        except Conflict:
+            pass
+    return change()
 
 
-def rewrite(spark: SparkSession, path: str, kept: DataFrame, touched: DataFrame, partitions: Sequence[str]) -> None:
-    """Put `kept` in the place of the `touched` partitions (a few rows of their values); those with no row left go."""
+def upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partitions: Sequence[str]) -> int:
+    """Insert new rows or replace those of equal key. `partitions` must be functions of the key. Returns the version made."""
     with Staging(spark, path) as stage:
-        rows = stage.put(kept)
-        emptied = touched.select(*partitions).distinct().join(rows.select(*partitions).distinct(), list(partitions), "left_anti").collect()
-        write_partitions(rows, path, partitions)
-        for values in emptied:
-            _remove(spark, f"{path}/" + "/".join(f"{p}={values[p]}" for p in partitions))
+        coming = stage.put(new)
 
+        def change() -> int:
+            base = snapshots.version(spark, path)
+            if not base.number:
+                return snapshots.put(spark, path, coming, partitions, base)
+            touched = coming.select(*partitions).distinct()
+            old = read(spark, path, base.number).join(touched, list(partitions), "left_semi").select(*base.schema.names)
+            return snapshots.put(spark, path, replaced(keys, old, coming), partitions, base)
 
-class Staging:
-    """A folder beside a table for rows that are written and read back; it goes at the block's end, and no other writer's does."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.folder, self.count = spark, f"{path}/_staging/{uuid.uuid4().hex}", 0
-
-    def __enter__(self) -> Staging:
-        return self
-
-    def __exit__(self, *raised) -> None:
-        _remove(self.spark, self.folder)
+        return _again(change)
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """Rows written here and read back."""
-        self.count += 1
-        df.write.parquet(f"{self.folder}/{self.count}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.count}")
 
+def rewrite(spark: SparkSession, path: str, kept: DataFrame, touched: DataFrame, partitions: Sequence[str], base: int | None = None) -> int:
+    """Put `kept` in the place of the `touched` partitions (a few rows of their values); those with no row left go.
 
-def _remove(spark: SparkSession, folder: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
+    `base` is the version that `kept` was made of (the newest by default); `Conflict` if there is a later one.
+    """
+    state = snapshots.version(spark, path, base)
+    values = touched.select(*[F.col(p).cast("string").alias(p) for p in partitions]).distinct().collect()
+    gone = {snapshots.named(v.asDict(), partitions) for v in values}
+    return snapshots.put(spark, path, kept, partitions, state, [p for p in state.parts if unquote(p) in gone])
 
 
 def drop_partitions(spark: SparkSession, path: str, condition: Column, partitions: Sequence[str]) -> int:
-    """Remove the partitions whose values meet a condition, by way of the file system Spark uses."""
-    values = spark.read.parquet(path).select(*partitions).filter(condition).distinct()
-    return sum(_remove(spark, f"{path}/" + "/".join(f"{p}={row[p]}" for p in partitions)) for row in values.toLocalIterator())
+    """Take the partitions whose values meet a condition out of the table; no row is read. Returns their number."""
+    dropped = 0
+
+    def change() -> int:
+        nonlocal dropped
+        base = snapshots.version(spark, path)
+        gone = set(snapshots.matching(spark, base, condition, partitions))
+        dropped = len(gone)
+        kept = {p: w for p, w in base.parts.items() if p not in gone}
+        return snapshots.publish(spark, path, Version(base.number + 1, kept, base.schema)) if gone else base.number
+
+    _again(change)
+    return dropped
