@@ -151,9 +151,9 @@ def hourly_scan(spark, sf_dir):
     return shown(readings.hourly_features(S.hourly(spark, sf_dir), at(FROM_HOUR), at(CUTOFF_HOUR)), hour="bucket_start")
 
 
-@query(f"SELECT post AS monitoring_post_id, {r('lat AS latitude', 'lon AS longitude')} FROM pst WHERE NOT retired AND lat IS NOT NULL", "pst")
+@query(f"SELECT post AS monitoring_post_id, {r('lat AS latitude', 'lon AS longitude')} FROM plc WHERE NOT retired AND lat IS NOT NULL", "plc")
 def located_posts(spark, sf_dir):
-    return shown(readings.located_posts(S.posts(spark)))
+    return shown(readings.located_posts(S.places(spark, sf_dir)))
 
 
 @query(f"SELECT post AS monitoring_post_id, h AS hour, {r('hor_win_spd', 'precipitation')} FROM wxx WHERE kind = 'historical_forecast' AND h >= {FROM_HOUR} AND h < {CUTOFF_HOUR}", "wxx")
@@ -266,7 +266,11 @@ def weather_roles_join(spark, sf_dir):
     return shown(out, hour="source_bucket").select("monitoring_post_id", "hour", "source_weather_hor_win_spd", "transport_weather_precipitation", "target_weather_boundary_layer_height")
 
 
-@query(f"SELECT o.post AS monitoring_post_id, o.code AS substance_code, o.h AS hour, {r('o.v AS value', 'l.v AS target_value')} FROM own o LEFT JOIN own l ON l.post = o.post AND l.code = o.code AND l.h = o.h + 2 WHERE o.v IS NOT NULL", "own")
+@query(
+    f"""SELECT o.post AS monitoring_post_id, o.code AS substance_code, o.h AS hour, {r('o.filtered_hourly_mean AS value', 'l.filtered_hourly_mean AS target_value')}
+    FROM hourly o LEFT JOIN hourly l ON l.post = o.post AND l.code = o.code AND l.h = o.h + 2""",
+    "hourly",
+)
 def label_join(spark, sf_dir):
     h = S.hourly(spark, sf_dir)
     frame = h.select("monitoring_post_id", "substance_code", F.col("bucket_start").alias("source_bucket"), F.col("filtered_hourly_mean").alias("value"))
@@ -285,9 +289,18 @@ def calendar_features(spark, sf_dir):
     return shown(hours.withColumns(X.cyclic_features(F.col("target_start"), DEFAULTS.timezone)).drop("target_start"), hour="source_bucket")
 
 
-@query(f"SELECT post AS monitoring_post_id, other AS neighbor_id, {r('km AS distance_km', 'bearing')} FROM prs", "prs")
+@query(
+    f"""SELECT from_id, to_id, {r('2 * 6371.0088e0 * asin(least(1.0e0, sqrt(a))) AS distance_km', 'fmod(degrees(atan2(sin(dl) * cos(p2), cos(p1) * sin(p2) - sin(p1) * cos(p2) * cos(dl))) + 360.0e0, 360.0e0) AS bearing')} FROM (
+    SELECT from_id, to_id, radians(a.lat) AS p1, radians(b.lat) AS p2, radians(b.lon - a.lon) AS dl, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS a
+    FROM (SELECT DISTINCT o_custkey AS from_id, l_suppkey AS to_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey) JOIN plc a ON a.post = from_id JOIN plc b ON b.post = to_id WHERE a.lat IS NOT NULL AND b.lat IS NOT NULL AND from_id <> to_id)""",
+    "plc",
+)
 def haversine_bearing(spark, sf_dir):
-    return shown(neighbours.post_pairs(S.posts(spark).withColumnRenamed("id", "monitoring_post_id")))
+    posts = S.places(spark, sf_dir).filter("latitude is not null")
+    end = lambda name, k: posts.select(F.col("id").alias(name), F.col("latitude").alias(f"lat{k}"), F.col("longitude").alias(f"lon{k}"))
+    pairs = S.routes(spark, sf_dir).filter("from_id <> to_id").join(end("from_id", 1), "from_id").join(end("to_id", 2), "to_id")
+    place = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
+    return shown(pairs.select("from_id", "to_id", X.haversine_km(*place).alias("distance_km"), X.bearing_degrees(*place).alias("bearing")))
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -569,10 +582,19 @@ def _placed(spark: SparkSession) -> DataFrame:
     return S.posts(spark).filter("latitude is not null").select(F.col("id").alias("monitoring_post_id"), "latitude", "longitude", x.alias("x"), y.alias("y"))
 
 
-@query(f"SELECT post AS monitoring_post_id, {r('x', 'y', f'{_LAT0}e0 + y / 111320 AS latitude', f'{_LON0}e0 + x / (111320 * cos({_LAT0}e0 * pi() / 180)) AS longitude')} FROM ({_XY})", "pst")
+_PLACED = f"SELECT post, field, (lon - {_LON0}) * 111320e0 * cos({_LAT0}e0 * pi() / 180) AS x, (lat - {_LAT0}) * 111320e0 AS y FROM plc WHERE lat IS NOT NULL"
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' posts on the plane; a hundred ids make a field."""
+    x, y = X.project(F.col("latitude"), F.col("longitude"), F.lit(_LAT0), F.lit(_LON0))
+    return S.places(spark, sf_dir).filter("latitude is not null").select(F.col("id").alias("monitoring_post_id"), "field", x.alias("x"), y.alias("y"))
+
+
+@query(f"SELECT post AS monitoring_post_id, {r('x', 'y', f'{_LAT0}e0 + y / 111320 AS latitude', f'{_LON0}e0 + x / (111320 * cos({_LAT0}e0 * pi() / 180)) AS longitude')} FROM ({_PLACED})", "plc")
 def project_points(spark, sf_dir):
     back = X.unproject(F.col("x"), F.col("y"), F.lit(_LAT0), F.lit(_LON0))
-    return shown(_placed(spark).withColumns({"latitude": back[0], "longitude": back[1]}))
+    return shown(_customers(spark, sf_dir).drop("field").withColumns({"latitude": back[0], "longitude": back[1]}))
 
 
 @query(
@@ -595,14 +617,23 @@ def _mesh(spark: SparkSession) -> DataFrame:
     return grid.mesh(_placed(spark).withColumn("field", F.lit(1)), ["field"], STEP, _PAD)
 
 
-@query(f"SELECT grid_x, grid_y, {r('x', 'y')} FROM ({_MESH})", "pst")
+_CELLS = f"""SELECT field, (c - lx)::INT AS grid_x, (r - ly)::INT AS grid_y, c * 500.0e0 AS x, r * 500.0e0 AS y FROM (SELECT *, unnest(generate_series(lx, hx)) AS c FROM (SELECT *, unnest(generate_series(ly, hy)) AS r FROM (
+    SELECT field, floor((min(x) - {_PAD}) / 500)::BIGINT AS lx, ceil((max(x) + {_PAD}) / 500)::BIGINT AS hx, floor((min(y) - {_PAD}) / 500)::BIGINT AS ly, ceil((max(y) + {_PAD}) / 500)::BIGINT AS hy FROM ({_PLACED}) GROUP BY field)))"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mesh of each field of customers' posts."""
+    return grid.mesh(_customers(spark, sf_dir), ["field"], STEP, _PAD)
+
+
+@query(f"SELECT field, grid_x, grid_y, {r('x', 'y')} FROM ({_CELLS})", "plc")
 def grid_mesh(spark, sf_dir):
-    return shown(_mesh(spark).drop("field"))
+    return shown(_cells(spark, sf_dir))
 
 
-@query(f"SELECT grid_x, grid_y, {r(f'{_LAT0}e0 + y / 111320 AS latitude', f'{_LAT0}e0 + (y - 250) / 111320 AS south', f'{_LON0}e0 + (x + 250) / (111320 * cos({_LAT0}e0 * pi() / 180)) AS east')} FROM ({_MESH})", "pst")
+@query(f"SELECT field, grid_x, grid_y, {r(f'{_LAT0}e0 + y / 111320 AS latitude', f'{_LAT0}e0 + (y - 250) / 111320 AS south', f'{_LON0}e0 + (x + 250) / (111320 * cos({_LAT0}e0 * pi() / 180)) AS east')} FROM ({_CELLS})", "plc")
 def cell_geometry(spark, sf_dir):
-    return shown(grid.cell_geometry(_mesh(spark), STEP, F.lit(_LAT0), F.lit(_LON0)).select("grid_x", "grid_y", "latitude", "south", "east"))
+    return shown(grid.cell_geometry(_cells(spark, sf_dir), STEP, F.lit(_LAT0), F.lit(_LON0)).select("field", "grid_x", "grid_y", "latitude", "south", "east"))
 
 
 def _weathered(spark: SparkSession, w: DataFrame) -> DataFrame:
@@ -642,15 +673,14 @@ def knn_idw_hours(spark, sf_dir):
 
 
 @query(
-    f"""SELECT post AS monitoring_post_id, {r('CASE WHEN d <= 400 THEN val ELSE -1 END AS sampled')} FROM (SELECT p.post, arg_min(m.grid_x * 1.0 + m.grid_y, sqrt(pow(m.x - p.x, 2) + pow(m.y - p.y, 2))) AS val, min(sqrt(pow(m.x - p.x, 2) + pow(m.y - p.y, 2))) AS d
-    FROM ({_XY}) p, (SELECT * FROM ({_MESH}) WHERE (grid_x + grid_y) % 3 <> 0) m GROUP BY p.post)""",
-    "pst",
+    f"""SELECT field, post AS monitoring_post_id, {r('CASE WHEN d <= 400 THEN val ELSE -1 END AS sampled')} FROM (SELECT p.field, p.post, arg_min(m.grid_x * 1.0 + m.grid_y, sqrt(pow(m.x - p.x, 2) + pow(m.y - p.y, 2))) AS val, min(sqrt(pow(m.x - p.x, 2) + pow(m.y - p.y, 2))) AS d
+    FROM ({_PLACED}) p JOIN (SELECT * FROM ({_CELLS}) WHERE (grid_x + grid_y) % 3 <> 0) m ON m.field = p.field GROUP BY p.field, p.post)""",
+    "plc",
 )
 def nearest_within_radius(spark, sf_dir):
-    cells = _mesh(spark).filter("(grid_x + grid_y) % 3 <> 0").withColumn("value", F.col("grid_x") * 1.0 + F.col("grid_y"))
-    queries = _placed(spark).withColumn("field", F.lit(1))
-    out = grid.sample_nearest(queries, cells, ["field"], ["monitoring_post_id"], "value", STEP, -1.0)
-    return shown(out.drop("field"))
+    """Every third cell is empty, so some posts have none near enough."""
+    cells = _cells(spark, sf_dir).filter("(grid_x + grid_y) % 3 <> 0").withColumn("value", F.col("grid_x") * 1.0 + F.col("grid_y"))
+    return shown(grid.sample_nearest(_customers(spark, sf_dir), cells, ["field"], ["monitoring_post_id"], "value", STEP, -1.0))
 
 
 _LOW = f"(SELECT min(x) FROM ({_MESH}))", f"(SELECT min(y) FROM ({_MESH}))"
@@ -746,12 +776,6 @@ def backward_innovation_hours(spark, sf_dir):
 _FIELD = "SELECT x AS grid_x, y AS grid_y, ((x * 7 + y * 13) % 17)::DOUBLE AS value, ((x + y) % 7) - 3.0e0 AS wind_u, ((x * 2 + y) % 5) - 2.0e0 AS wind_v, 4.0e0 + (x * y) % 36 AS diffusivity FROM generate_series(0, 29) a(x), generate_series(0, 19) b(y)"
 
 
-def _field(spark: SparkSession) -> DataFrame:
-    cells = spark.range(30 * 20).select((F.col("id") % 30).cast("int").alias("grid_x"), F.expr("cast(id div 30 as int)").alias("grid_y"))
-    x, y = F.col("grid_x"), F.col("grid_y")
-    return cells.select(F.lit(1).alias("field"), "grid_x", "grid_y", ((x * 7 + y * 13) % 17).cast("double").alias("value"), ((x + y) % 7 - 3.0).alias("wind_u"), ((x * 2 + y) % 5 - 2.0).alias("wind_v"), (4.0 + (x * y) % 36).alias("diffusivity"))
-
-
 def _slope(axis: str, line: str) -> str:
     over = f"OVER (PARTITION BY {line} ORDER BY {axis})"
     b, a = f"(value - lag(value) {over})", f"(lead(value) {over} - value)"
@@ -892,8 +916,8 @@ def oi_two_observations_hours(spark, sf_dir):
 
 @query()
 def transport_field(spark, sf_dir):
-    fields = _field(spark).withColumns({"confidence": F.col("value") / 20, "decay": F.lit(0.05)})
-    return shown(field.transport_fields(fields, ["field"], 3600.0))
+    fields = _field_hours(spark, sf_dir).withColumns({"confidence": F.col("value") / 40, "decay": F.lit(0.05)})
+    return shown(field.transport_fields(fields, ["hour"], 3600.0))
 
 
 @query()

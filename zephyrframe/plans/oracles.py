@@ -21,6 +21,8 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "hourly": (("internal", "rds"), "SELECT * FROM internal UNION ALL SELECT post, code, h, v, v, v, v, v, v, 0.0, 1 FROM rds WHERE code = upper(code)"),
     "pst": ((), """SELECT id AS post, CASE WHEN id <> 6 THEN 55.75e0 + 0.03e0 * id END AS lat, CASE WHEN id <> 6 THEN 37.60e0 + 0.04e0 * ((id * id) % 5) END AS lon,
         id = 7 AS retired, CASE WHEN id = 5 THEN 'mosecom' ELSE 'own' END AS source FROM generate_series(1, 7) t(id)"""),
+    "plc": ((), """SELECT c_custkey AS post, c_custkey // 100 AS field, CASE WHEN c_custkey % 11 <> 0 THEN 55.6e0 + (c_custkey * 7919 % 3000) / 10000e0 END AS lat,
+        CASE WHEN c_custkey % 11 <> 0 THEN 37.3e0 + (c_custkey * 104729 % 6000) / 10000e0 END AS lon, c_custkey % 13 = 0 AS retired FROM customer"""),
     "wxx": (("ev",), """SELECT p AS post, h, kind,
         (h + p) % 30 - 10.0e0 AS air_temp, 40.0e0 + (h + 2 * p) % 60 AS air_hum, 990.0e0 + (h + p) % 40 AS atm_press,
         CASE WHEN (h + p) % 11 <> 0 THEN 2.0e0 + ((7 * h + 3 * p + k) % 50) / 10.0e0 END AS hor_win_spd,

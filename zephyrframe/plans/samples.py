@@ -61,6 +61,26 @@ def posts(spark: SparkSession) -> DataFrame:
     )
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A post for each customer: id, field (a hundred ids each), latitude, longitude, active_to. Every eleventh has no place, every thirteenth is out of service."""
+    key = F.col("c_custkey")
+    known = key % 11 != 0
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        key.alias("id"),
+        F.floor(key / 100).alias("field"),
+        F.when(known, 55.6 + (key * 7919 % 3000) / 10000.0).alias("latitude"),
+        F.when(known, 37.3 + (key * 104_729 % 6000) / 10000.0).alias("longitude"),
+        F.when(key % 13 == 0, F.timestamp_micros(F.lit(1_704_067_200_000_000))).alias("active_to"),
+    )
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer and supplier of each order line, once: two posts by id."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("to_id"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("from_id"))
+    return lines.join(orders, "o_orderkey").select("from_id", "to_id").distinct()
+
+
 def active(spark: SparkSession) -> DataFrame:
     """Posts in service as the frame wants them."""
     return posts(spark).filter("active_to is null").select(F.col("id").alias("monitoring_post_id"), "latitude", "longitude")
