@@ -8,7 +8,7 @@ import pytest
 
 from zephyrframe.operators import frames
 from zephyrframe.settings import Settings
-from zephyrframe.streaming.feature_stream import rolled, stream_features
+from zephyrframe.streaming.feature_stream import rolled, stream_features, stream_weather_roles
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "monitoring_post_id long, substance_code string, bucket_start timestamp, filtered_hourly_mean double"
@@ -54,3 +54,23 @@ def test_rolled_windows():
     nan = np.nan
     mean, std = rolled(np.array([1.0, nan, 3.0, nan, nan, nan]), 5, 3)
     assert np.allclose(mean, [1, 2, 3, 3, nan], equal_nan=True) and np.allclose(std, [nan, 1, nan, nan, nan], equal_nan=True)
+
+
+def test_weather_roles_equal_the_stored_join(spark, tmp_path):
+    """Weather comes before and after its rows, some hours have none; parts run as queries of their own."""
+    hour = lambda h: T0 + timedelta(hours=h)
+    left = [(p, hour(h), float(10 * h + p)) for h in range(30) for p in (1, 2)]
+    right = [(p, hour(h), float(h), float(p)) for h in range(33) for p in (1, 2) if (h + p) % 5]
+    kinds = "monitoring_post_id long, source_bucket timestamp, v double", "monitoring_post_id long, bucket_start timestamp, a double, b double"
+    names = [str(tmp_path / n) for n in ("left", "right", "out", "mark")]
+    # The first part has rows without their weather, the second the rest of both; then rows of another post move the watermarks.
+    parts = [(left[:30], right[:20]), (left[30:], right[20:]), ([(9, hour(200), 0.0)], [(9, hour(200), 0.0, 0.0)]), ([(9, hour(400), 0.0)], [(9, hour(400), 0.0, 0.0)])]
+    for part in parts:
+        for rows, kind, name in zip(part, kinds, names):
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(name)
+        streams = [spark.readStream.schema(k).parquet(n) for k, n in zip(kinds, names)]
+        out = stream_weather_roles(*streams, ("a", "b"), "24 hours")
+        out.writeStream.format("parquet").option("path", names[2]).option("checkpointLocation", names[3]).trigger(availableNow=True).start().awaitTermination()
+    wanted = frames.add_weather(frames.add_times(spark.createDataFrame(left, kinds[0])), spark.createDataFrame(right, kinds[1]), ("a", "b"))
+    got = spark.read.parquet(names[2]).filter("monitoring_post_id <> 9").select(*wanted.columns)
+    assert got.count() == 60 and plain(got.na.fill(-1.0)) == plain(wanted.na.fill(-1.0))

@@ -1,8 +1,8 @@
-"""Lags and rolling features of hourly rows as they stream in."""
+"""Lags, rolling features and weather roles of hourly rows as they stream in."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from zephyrframe.operators.frames import LAGS, WINDOWS
+from zephyrframe.functions.expressions import shift_hours
+from zephyrframe.operators.frames import LAGS, WINDOWS, add_times
 from zephyrframe.settings import DEFAULTS, Settings
+from zephyrframe.sources.readings import WEATHER
 
 #: Hours a post's state keeps: as far as the longest lag and window look back.
 DEPTH = max(max(LAGS), max(WINDOWS) - 1)
@@ -75,3 +77,27 @@ def stream_features(hourly: DataFrame, gas: str, settings: Settings = DEFAULTS,
     made = slim.groupBy("monitoring_post_id").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     whole = [F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in [*lagged, *rolling]]
     return made.select("monitoring_post_id", F.timestamp_seconds("second").alias("source_bucket"), *whole)
+
+
+def stream_weather_roles(frame: DataFrame, weather: DataFrame, measures: Sequence[str] = tuple(WEATHER), lateness: str = "2 hours") -> DataFrame:
+    """`frames.add_weather` where both sides are streams: a row with the weather at its source bucket, cutoff and target.
+
+    One outer join: each weather row is dealt to the three source buckets that it serves, and the roles of a row are
+    gathered from one join instead of three. A row goes out once both watermarks have passed the hours that it needs, with null for weather
+    that hadn't come by then; state on both sides is dropped by the watermarks. `weather` has one row for a post's hour.
+    `frame` has monitoring_post_id and source_bucket (unique together, without a watermark) and columns that go along.
+    """
+    keys = ["monitoring_post_id", "source_bucket"]
+    rest = [c for c in frame.columns if c not in keys]
+    roles = ("source", "transport", "target")
+    values = F.struct(*[F.col(m).cast("double").alias(m) for m in measures])
+    dealt = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), shift_hours(F.col("bucket_start"), -k).alias("at")) for k in range(len(roles))]))
+    side = weather.withWatermark("bucket_start", lateness).select(F.col("monitoring_post_id").alias("__post"), "bucket_start", values.alias("__w"), dealt.alias("__r"))
+    # The hour that a dealt row serves is bound to its own, so the join's state ends by the watermark of either side.
+    near = (F.col("bucket_start") >= F.col("source_bucket")) & (F.col("bucket_start") <= shift_hours(F.col("source_bucket"), len(roles) - 1))
+    known = frame.withWatermark("source_bucket", lateness)
+    met = known.join(side, (F.col("monitoring_post_id") == F.col("__post")) & (F.col("source_bucket") == F.col("__r.at")) & near, "left")
+    one = lambda k: F.max_by("__w", F.when(F.col("__r.k") == k, F.lit(k))).alias(f"__{k}")
+    gathered = met.groupBy("monitoring_post_id", "source_bucket").agg(*[F.first(c).alias(c) for c in rest], *[one(k) for k in range(len(roles))])
+    shown = [F.col(f"__{k}.{m}").alias(f"{role}_weather_{m}") for k, role in enumerate(roles) for m in measures]
+    return add_times(gathered).select(*keys, *rest, "data_cutoff", "target_start", "target_end", *shown)
