@@ -35,6 +35,8 @@ def mesh(points: DataFrame, keys: Sequence[str], step: float, padding: float) ->
     up = lambda c: (F.ceil((F.max(c) + padding) / step)).alias(f"{c}_high")
     box = points.groupBy(*keys).agg(down("x"), up("x"), down("y"), up("y"))
     rows = box.withColumn("row", F.explode(F.sequence("y_low", "y_high")))
+    # Boxes are few and small, so adaptive execution would put them all into one task, which would make every cell.
+    rows = rows.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "row")
     cells = rows.withColumn("column", F.explode(F.sequence("x_low", "x_high")))
     return cells.select(*keys, (F.col("column") - F.col("x_low")).cast("int").alias("grid_x"), (F.col("row") - F.col("y_low")).cast("int").alias("grid_y"), (F.col("column") * step).alias("x"), (F.col("row") * step).alias("y"))
 
@@ -58,7 +60,8 @@ def nearest_stations(cells: DataFrame, stations: DataFrame, keys: Sequence[str],
     box = box.withColumn("__side", side)
     checkpoint_dir(cells.sparkSession)
     # Sides and squares are the same for all rounds but for a power of two.
-    placed, pending, done = stations.join(box.select(*keys, "__side"), list(keys)), cells.join(box, list(keys)), None
+    # Cells are merged: their size is guessed from their boxes', so a broadcast could hold them all.
+    placed, pending, done = stations.join(box.select(*keys, "__side"), list(keys)), cells.hint("merge").join(box, list(keys)), None
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     for ring in range(RINGS):
         now = c("__side") * 2.0**ring
@@ -99,18 +102,28 @@ def nearest_idw(cells: DataFrame, stations: DataFrame, keys: Sequence[str], cell
     return near.select(*keys, *cell, F.when((F.size("near") == 1) | (first["d"] <= 1e-9), first["v"]).otherwise(mean).alias("interpolated"))
 
 
+#: Steps of a cell in the side of a square where cells are sampled.
+SAMPLED_SIDE = 4
+
+
 def sample_nearest(queries: DataFrame, cells: DataFrame, keys: Sequence[str], query: Sequence[str], value: str, step: float, default: float) -> DataFrame:
     """keys, query, sampled: the value of the nearest cell within 0.8 steps, else a default.
 
-    Cells are dealt into squares of a step; a query looks at its own and the eight around it, by equi-join.
+    Cells are dealt into squares of a few steps; a query meets those of the squares less than a step away, mostly one or two, by equi-join.
+    Sizes of cells are guessed from those of their boxes, so a broadcast could hold them all: they are merged.
     """
-    square = lambda c: F.floor(F.col(c) / step)
-    known = cells.select(*keys, square("x").alias("bx"), square("y").alias("by"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col(value).alias("v"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asked = queries.withColumn("o", F.explode(around)).withColumns({"bx": square("x") + F.col("o.i"), "by": square("y") + F.col("o.j")})
-    found = asked.join(known, [*keys, "bx", "by"], "left").withColumn("d", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
-    best = found.groupBy(*keys, *query).agg(F.min_by("v", F.when(F.col("d").isNotNull(), F.struct("d", "cx", "cy"))).alias("v"), F.min("d").alias("d"))
-    return best.select(*keys, *query, F.when((F.col("d") <= 0.8 * step) & F.col("v").isNotNull(), F.col("v")).otherwise(F.lit(default)).alias("sampled"))
+    c, side = F.col, SAMPLED_SIDE * step
+    square = lambda v: F.floor(v / side)
+    reached = lambda x: F.explode_outer(F.sequence(square(c(x) - step), square(c(x) + step)))
+    known = cells.select(*[c(k).alias(f"__{k}") for k in keys], square(c("x")).alias("__bx"), square(c("y")).alias("__by"), c("x").alias("cx"), c("y").alias("cy"), c(value).alias("v"))
+    asked = queries.withColumn("bx", reached("x")).withColumn("by", reached("y"))
+    d = F.hypot(c("x") - c("cx"), c("y") - c("cy"))
+    near = d <= 0.8 * step
+    for k in (*keys, "bx", "by"):
+        near = near & (c(k) == c(f"__{k}"))
+    found = asked.join(known.hint("merge"), near, "left").withColumn("d", d)
+    best = found.groupBy(*keys, *query).agg(F.min_by("v", F.when(c("d").isNotNull(), F.struct("d", "cx", "cy"))).alias("v"))
+    return best.select(*keys, *query, F.coalesce("v", F.lit(default)).alias("sampled"))
 
 
 def correlation(dx: Column, dy: Column, u: Column, v: Column, radius: float) -> Column:
@@ -183,7 +196,7 @@ def backward_correction(cells: DataFrame, stations: DataFrame, keys: Sequence[st
     swept = F.flatten(F.transform(F.sequence(F.lit(0), stops), lambda k: around(c("sx") + c("px") * (k / stops), c("sy") + c("py") * (k / stops))))
     laid = s.withColumn("__square", F.explode(F.array_distinct(swept))).select("*", "__square.bx", "__square.by").drop("__square")
     there = cells.withColumns({"bx": F.floor(c("x") / side), "by": F.floor(c("y") / side)})
-    pairs = there.join(laid, [*keys, "bx", "by"])
+    pairs = there.hint("merge").join(laid, [*keys, "bx", "by"])
     part = clip(((c("x") - c("sx")) * c("px") + (c("y") - c("sy")) * c("py")) / (c("way") * c("way")), step / c("way"), 1.0)
     pairs = pairs.withColumn("part", part).withColumns({"dx": c("x") - c("sx") - c("px") * c("part"), "dy": c("y") - c("sy") - c("py") * c("part")})
     speed = F.hypot("u", "v")

@@ -729,7 +729,7 @@ _PAIRS = f"""SELECT *, CASE WHEN sp > 0.1 THEN u / sp ELSE 0 END AS eu, CASE WHE
 def _correlated(cells: DataFrame, stations: DataFrame, keys: list[str]) -> DataFrame:
     s = stations.select(*keys, "monitoring_post_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "u", "v")
     rho = grid.correlation(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"), F.col("u"), F.col("v"), DEFAULTS.influence_meters)
-    return cells.join(s, keys).withColumn("rho", rho)
+    return cells.hint("merge").join(s, keys).withColumn("rho", rho)
 
 
 def _pairs_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
