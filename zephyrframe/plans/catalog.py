@@ -920,13 +920,26 @@ def transport_field(spark, sf_dir):
     return shown(field.transport_fields(fields, ["hour"], 3600.0))
 
 
+def _day_before(spark: SparkSession, sf_dir: str, first: int) -> tuple[DataFrame, DataFrame]:
+    """Hourly features from an hour before `first` to the cutoff, and the weather around them, each worked out and stored once.
+
+    Three sets of anchors, their predictions and mean weather are made of these few rows. As parts of one plan they
+    would work out the features of all events again for each. A cutoff comes one hour or two after the hour its prediction is made of, so
+    predictions for the cutoffs after the hours from `first` on begin an hour earlier; weather is asked for up to the cutoff itself.
+    """
+    store.checkpoint_dir(spark)
+    known = readings.within(S.hourly(spark, sf_dir), "bucket_start", at(first - 1), at(CUTOFF_HOUR))
+    live = readings.within(S.live(spark, sf_dir), "bucket_start", at(first), at(CUTOFF_HOUR + 1))
+    return known.checkpoint(), live.checkpoint()
+
+
 @query()
 def field_chain(spark, sf_dir):
     """Analyses, nowcasts and forecasts of the day before the cutoff, for all gases."""
-    start = at(CUTOFF_HOUR - DEFAULTS.retention_hours - 2)
-    h = readings.within(S.hourly(spark, sf_dir), "bucket_start", start, at(CUTOFF_HOUR))
-    live, posts = S.live(spark, sf_dir), S.posts(spark)
-    ahead = anchors.forecast_anchors(S.predictions(spark, sf_dir), h, posts, live)
+    first = CUTOFF_HOUR - DEFAULTS.retention_hours - 2
+    known, live = _day_before(spark, sf_dir, first)
+    h, posts = readings.within(known, "bucket_start", at(first), at(CUTOFF_HOUR)), S.posts(spark)
+    ahead = anchors.forecast_anchors(S.predictions_of(known), h, posts, live)
     cells = field.chain_fields(anchors.analysis_anchors(h, posts, live), anchors.nowcast_anchors(h, posts, live), ahead, live)
     return shown(grid.frame_summary(cells), hour="hour_start")
 

@@ -133,7 +133,12 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions an hour ahead of each measured hour's cutoff, in several states."""
-    h = hourly(spark, sf_dir).filter("filtered_hourly_mean is not null")
+    return predictions_of(hourly(spark, sf_dir))
+
+
+def predictions_of(features: DataFrame) -> DataFrame:
+    """The predictions that belong to these hourly features; each is made of its own hour alone."""
+    h = features.filter("filtered_hourly_mean is not null")
     n = hour_number(F.col("bucket_start")) + F.col("monitoring_post_id")
     status = F.when(n % 7 == 0, "failed").when(n % 7 == 1, "running").otherwise("ready")
     value = F.when(n % 5 != 0, F.col("filtered_hourly_mean") * 0.9)
